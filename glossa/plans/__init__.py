@@ -2,5 +2,6 @@
 
 from glossa.plans import (  # noqa: F401
     label_plans,
+    text_plans,
 )
 from glossa.plans.registry import REGISTRY  # noqa: F401
