@@ -4,5 +4,6 @@ from glossa.plans import (  # noqa: F401
     label_plans,
     text_plans,
     model_plans,
+    prep_plans,
 )
 from glossa.plans.registry import REGISTRY  # noqa: F401

@@ -154,6 +154,8 @@ def f8_perplexity_logits(spark, sf):
 # ---- bigram LM ---------------------------------------------------------------------
 
 _TOKS = r"list_filter(regexp_split_to_array(trim({s}), '\s+'), lambda x: x <> '')"
+
+
 def _lm_sql(**cols: str) -> str:
     """CTEs: the bigram model fitted on train, and ``lp_<name>`` log-probs per scored column."""
     out = f"""
