@@ -5,5 +5,6 @@ from glossa.plans import (  # noqa: F401
     text_plans,
     model_plans,
     prep_plans,
+    analysis_plans,
 )
 from glossa.plans.registry import REGISTRY  # noqa: F401
