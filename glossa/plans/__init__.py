@@ -6,5 +6,6 @@ from glossa.plans import (  # noqa: F401
     model_plans,
     prep_plans,
     analysis_plans,
+    report_plans,
 )
 from glossa.plans.registry import REGISTRY  # noqa: F401

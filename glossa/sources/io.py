@@ -88,21 +88,24 @@ def write_errors(df: DataFrame, path: str, key: str = "row_id", mode: str = "ove
 
 def write_summary(df: DataFrame, path: str, run: str = "run", metric: str = "metric", value: str = "value",
                   headline: Sequence[str] = (), mode: str = "overwrite") -> None:
-    """One JSON object per run: ``{run, metrics: {...}, summary: {...}}``.
-    A run has tens of keys, so the per-run map is bounded."""
-    entries = F.collect_list(F.struct(F.col(metric), F.col(value)))
-    head = F.collect_list(F.when(F.col(metric).isin(*headline), F.struct(F.col(metric), F.col(value))))
-    agg = df.groupBy(run).agg(F.map_from_entries(entries).alias("metrics"),
-                              F.map_from_entries(head).alias("summary"))
-    agg.write.mode(mode).json(path)
+    """One flat JSON object per run, ``{"<metric>": value, …, "summary": {headline…}}``,
+    written under ``run=<name>/``. A run has tens of keys, so its map is bounded."""
+    entry = F.struct(F.col(metric), F.col(value))
+    agg = df.groupBy(run).agg(
+        F.to_json(F.map_from_entries(F.collect_list(entry))).alias("_m"),
+        F.to_json(F.map_from_entries(F.collect_list(F.when(F.col(metric).isin(*headline), entry)))).alias("_h"))
+    body = F.concat(F.expr("substring(_m, 1, length(_m) - 1)"), F.lit(',"summary":'), F.col("_h"), F.lit("}"))
+    agg.select(run, body.alias("value")).write.mode(mode).partitionBy(run).text(path)
 
 
-def read_summaries(spark: SparkSession, glob: str, run_from: str = "file") -> DataFrame:
+def read_summaries(spark: SparkSession, glob: str) -> DataFrame:
     """Run-summary JSON files (flat ``/``-keys plus nested objects) → long
-    ``(run, metric, value)``; nested objects are not numbers and are dropped."""
+    ``(run, metric, value)``; nested objects are not numbers and are dropped.
+    The run comes from a ``run=<name>`` folder, else from the file name."""
     raw = spark.read.option("wholetext", True).text(glob).withColumn("_file", F.col("_metadata.file_path"))
     kv = raw.select("_file", F.explode(F.from_json("value", "map<string,string>")).alias("metric", "_v"))
-    run = F.regexp_extract("_file", r"([^/]+?)(\.json)?$", 1) if run_from == "file" else F.lit(run_from)
+    from_dir = F.regexp_extract("_file", r"/run=([^/]+)/", 1)
+    run = F.when(from_dir != "", from_dir).otherwise(F.regexp_extract("_file", r"([^/]+?)(\.json)?$", 1))
     return kv.select(run.alias("run"), "metric", F.expr("try_cast(_v as double)").alias("value")) \
         .filter(F.col("value").isNotNull())
 
