@@ -7,5 +7,6 @@ from glossa.plans import (  # noqa: F401
     prep_plans,
     analysis_plans,
     report_plans,
+    stream_plans,
 )
 from glossa.plans.registry import REGISTRY  # noqa: F401
