@@ -8,5 +8,6 @@ from glossa.plans import (  # noqa: F401
     analysis_plans,
     report_plans,
     stream_plans,
+    udf_plans,
 )
 from glossa.plans.registry import REGISTRY  # noqa: F401
