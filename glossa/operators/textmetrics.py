@@ -37,6 +37,16 @@ def _by(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the compact input rows over all cores when the scan yields
+    fewer partitions than cores (small inputs: one file, few row groups). Large
+    inputs arrive in many splits and are left alone; streams are left alone."""
+    if df.isStreaming:
+        return df
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 # ---- pandas UDFs (Arrow batches; one Python call per batch, not per row) ----
 
 @F.pandas_udf(T.IntegerType())
@@ -122,7 +132,7 @@ def _bleu_sums(n_max: int) -> list[Column]:
 def bleu(df: DataFrame, pred: str = PRED, refs: str = REFS, n_max: int = 3, by=None) -> DataFrame:
     """corpus BLEU (clipped by the max reference count, closest reference
     length with the first listed winning ties, uniform weights, no smoothing)."""
-    stats = _bleu_stats(df.select(*_by(by), pred, refs), pred, refs, n_max)
+    stats = _bleu_stats(spread(df.select(*_by(by), pred, refs)), pred, refs, n_max)
     return stats.groupBy(*_by(by)).agg(*_bleu_sums(n_max)).select(*_by(by), _bleu_formula(n_max).alias("bleu"))
 
 
@@ -152,18 +162,23 @@ def _chrf_formula() -> Column:
 def chrf(df: DataFrame, pred: str = PRED, refs: str = REFS, by=None) -> DataFrame:
     """corpus chrF++ (char order 6, word order 2, beta 2) from the counts of
     each sentence's best reference."""
-    stats = _chrf_stats(df.select(*_by(by), pred, refs), pred, refs)
+    stats = _chrf_stats(spread(df.select(*_by(by), pred, refs)), pred, refs)
     return stats.groupBy(*_by(by)).agg(*_chrf_sums()).select(*_by(by), _chrf_formula().alias("chrf"))
 
 
 # ---- ROUGE (pair level) ------------------------------------------------------------
 
-def _prf(hits: Column, p_len: Column, r_len: Column, name: str) -> list[Column]:
-    zero = (p_len == 0) | (r_len == 0)
-    p = F.when(zero, 0.0).otherwise(hits / p_len)
-    r = F.when(zero, 0.0).otherwise(hits / r_len)
-    f = F.when((p + r) > 0, 2 * p * r / (p + r)).otherwise(0.0)
-    return [p.alias(f"{name}_precision"), r.alias(f"{name}_recall"), f.alias(f"{name}_fmeasure")]
+def _prf(df: DataFrame, hits: Column, p_len: Column, r_len: Column, name: str) -> DataFrame:
+    """Adds {name}_precision/recall/fmeasure. Hits and lengths are materialised
+    first so the (expensive) hit expression is evaluated once per pair."""
+    h, pl, rl = f"_{name}_h", f"_{name}_pl", f"_{name}_rl"
+    df = df.withColumn(h, hits).withColumn(pl, p_len).withColumn(rl, r_len)
+    zero = (F.col(pl) == 0) | (F.col(rl) == 0)
+    df = df.withColumn(f"{name}_precision", F.when(zero, 0.0).otherwise(F.col(h) / F.col(pl))) \
+        .withColumn(f"{name}_recall", F.when(zero, 0.0).otherwise(F.col(h) / F.col(rl)))
+    p, r = F.col(f"{name}_precision"), F.col(f"{name}_recall")
+    return df.withColumn(f"{name}_fmeasure", F.when((p + r) > 0, 2 * p * r / (p + r)).otherwise(0.0)) \
+        .drop(h, pl, rl)
 
 
 ROUGE_KEYS = ("rouge1", "rouge2", "rougeL", "rougeLsum")
@@ -188,16 +203,15 @@ def rouge_pairs(df: DataFrame, pred: str = PRED, refs: str = REFS, keys=ROUGE_KE
     if "rougeLsum" in keys:
         pairs = pairs.withColumn("_rs", F.transform(sentences("_ref"), rouge_tokens))
     pl, rl = F.size("_pt"), F.size("_rt")
-    outs: list[Column] = []
     if "rouge1" in keys:
-        outs += _prf(clipped_overlap(F.col("_pt"), F.col("_rt")), pl, rl, "rouge1")
+        pairs = _prf(pairs, clipped_overlap(F.col("_pt"), F.col("_rt")), pl, rl, "rouge1")
     if "rouge2" in keys:
-        outs += _prf(clipped_overlap(F.col("_pg2"), F.col("_rg2")), F.size("_pg2"), F.size("_rg2"), "rouge2")
+        pairs = _prf(pairs, clipped_overlap(F.col("_pg2"), F.col("_rg2")), F.size("_pg2"), F.size("_rg2"), "rouge2")
     if "rougeL" in keys:
-        outs += _prf(lcs_length_udf(F.col("_pt"), F.col("_rt")), pl, rl, "rougeL")
+        pairs = _prf(pairs, lcs_length_udf(F.col("_pt"), F.col("_rt")), pl, rl, "rougeL")
     if "rougeLsum" in keys:
-        outs += _prf(union_lcs_hits_udf(F.col("_ps"), F.col("_rs")), pl, rl, "rougeLsum")
-    return pairs.select(*carry, "ref_idx", *outs)
+        pairs = _prf(pairs, union_lcs_hits_udf(F.col("_ps"), F.col("_rs")), pl, rl, "rougeLsum")
+    return pairs.select(*carry, "ref_idx", *_rouge_cols(keys))
 
 
 def _rouge_cols(keys) -> list[str]:
@@ -207,7 +221,7 @@ def _rouge_cols(keys) -> list[str]:
 def rouge(df: DataFrame, pred: str = PRED, refs: str = REFS, keys=ROUGE_KEYS, by=None) -> DataFrame:
     """Unweighted mean of per-pair P/R/F over all 3N pairs."""
     b = _by(by)
-    pairs = rouge_pairs(df.select(*b, pred, refs), pred, refs, keys, carry=b)
+    pairs = rouge_pairs(spread(df.select(*b, pred, refs)), pred, refs, keys, carry=b)
     return pairs.groupBy(*b).agg(*[F.avg(c).alias(c) for c in _rouge_cols(keys)])
 
 
@@ -233,7 +247,7 @@ def generation_scores(df: DataFrame, pred: str = PRED, refs: str = REFS, by=None
     single aggregate serves both corpus-level and pair-level metrics.
     """
     b = _by(by)
-    rows = _chrf_stats(_bleu_stats(df.select(*b, pred, refs), pred, refs, n_max), pred, refs)
+    rows = _chrf_stats(_bleu_stats(spread(df.select(*b, pred, refs)), pred, refs, n_max), pred, refs)
     row_cols = ["bleu_c", "bleu_r"] + [f"bleu_{x}_{k}" for k in range(1, n_max + 1) for x in ("num", "den")]
     pairs = rouge_pairs(rows, pred, refs, rouge_keys, carry=b + row_cols + ["_chrf"])
     first = F.col("ref_idx") == 0
@@ -264,7 +278,7 @@ def report_names(rouge_keys=ROUGE_KEYS) -> dict[str, str]:
 def scaled_report(df: DataFrame, pred: str = PRED, refs: str = REFS, by=None) -> DataFrame:
     """ROUGE F-measures ×100 rounded to 4 places, plus mean generated length."""
     b = _by(by)
-    pairs = rouge_pairs(df.select(*b, pred, refs).withColumn("_len", F.size(tokens(pred))), pred, refs,
+    pairs = rouge_pairs(spread(df.select(*b, pred, refs)).withColumn("_len", F.size(tokens(pred))), pred, refs,
                         ROUGE_KEYS, carry=b + ["_len"])
     agg = pairs.groupBy(*b).agg(
         *[F.round(F.avg(f"{k}_fmeasure") * 100, 4).alias(k) for k in ROUGE_KEYS],
