@@ -102,7 +102,7 @@ def read_summaries(spark: SparkSession, glob: str) -> DataFrame:
     """Run-summary JSON files (flat ``/``-keys plus nested objects) → long
     ``(run, metric, value)``; nested objects are not numbers and are dropped.
     The run comes from a ``run=<name>`` folder, else from the file name."""
-    raw = spark.read.option("wholetext", True).text(glob).withColumn("_file", F.col("_metadata.file_path"))
+    raw = spark.read.text(glob, wholetext=True).withColumn("_file", F.col("_metadata.file_path"))
     kv = raw.select("_file", F.explode(F.from_json("value", "map<string,string>")).alias("metric", "_v"))
     from_dir = F.regexp_extract("_file", r"/run=([^/]+)/", 1)
     run = F.when(from_dir != "", from_dir).otherwise(F.regexp_extract("_file", r"([^/]+?)(\.json)?$", 1))
