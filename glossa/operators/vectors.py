@@ -1,9 +1,10 @@
 """Vector operators: greedy-match similarity (F7) and masked mean pooling.
 
-F7 groups a pair's token vectors once (one shuffle on ``pair_id``; a group is
-bounded by the sequence length) and scores the whole pred × ref similarity
-matrix inside the group with one numpy matmul — the pairs of tokens are never
-materialised as rows. J2 uses MLlib's ``Summarizer`` so pooling is a partial
+F7 never gathers a whole pair: the other side's tokens are grouped into
+blocks of at most ``block`` vectors, each token meets each block of its pair
+once (rows = tokens × blocks, not tokens × tokens), and the best cosine per
+token is a max over blocks. A hot pair with a third of all tokens is spread
+over many rows and tasks (AQE splits the skewed join partition). J2 uses MLlib's ``Summarizer`` so pooling is a partial
 (map-side) aggregate and no group is ever collected.
 """
 
@@ -17,37 +18,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_PRF = T.StructType([T.StructField(n, T.DoubleType()) for n in ("precision", "recall", "f1")])
+@F.pandas_udf(T.DoubleType())
+def max_cosine_udf(vec: pd.Series, block: pd.Series) -> pd.Series:
+    """max over the block of cos(vec, b): one small matmul per row."""
+    out = np.empty(len(vec))
+    for i, (v, blk) in enumerate(zip(vec, block)):
+        a = np.asarray(v, dtype=np.float64)
+        m = np.stack([np.asarray(x, dtype=np.float64) for x in blk])
+        out[i] = float((m @ a / (np.linalg.norm(m, axis=1) * np.linalg.norm(a))).max())
+    return pd.Series(out)
 
 
-def _greedy(pred, ref) -> tuple[float, float, float]:
-    a = np.asarray([np.asarray(v, dtype=np.float64) for v in pred])
-    b = np.asarray([np.asarray(v, dtype=np.float64) for v in ref])
-    a = a / np.linalg.norm(a, axis=1, keepdims=True)
-    b = b / np.linalg.norm(b, axis=1, keepdims=True)
-    sim = a @ b.T
-    p = float(sim.max(axis=1).mean())
-    r = float(sim.max(axis=0).mean())
-    f = 2 * p * r / (p + r) if (p + r) != 0 else 0.0
-    return p, r, f
-
-
-@F.pandas_udf(_PRF)
-def greedy_match_udf(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    rows = [_greedy(p, r) for p, r in zip(pred, ref)]
-    return pd.DataFrame(rows, columns=["precision", "recall", "f1"])
+def _best_match(one: DataFrame, other: DataFrame, pair: str, block: int) -> DataFrame:
+    """For every token of ``one``: the best cosine against the tokens of
+    ``other`` in the same pair. ``other`` is cut into blocks of at most
+    ``block`` vectors, so a row carries one token and one bounded block; a pair
+    of any size becomes (#tokens × #blocks) rows, never one giant group."""
+    blocks = other.groupBy(pair, F.floor(F.col("pos") / block).alias("_blk")).agg(
+        F.collect_list("vec").alias("_vecs"))
+    scored = one.join(blocks, pair).select(pair, "pos", max_cosine_udf("vec", "_vecs").alias("_m"))
+    return scored.groupBy(pair, "pos").agg(F.max("_m").alias("_best")) \
+        .groupBy(pair).agg(F.avg("_best").alias("_score"))
 
 
 def greedy_match_pairs(df: DataFrame, pair: str = "pair_id", side: str = "side", pos: str = "pos",
-                       vec: str = "vec", mask: str = "mask") -> DataFrame:
+                       vec: str = "vec", mask: str = "mask", block: int = 64) -> DataFrame:
     """Per pair: P = mean over pred tokens of the best cosine to a ref token,
-    R symmetric, F = 2PR/(P+R). Masked (padding) tokens take no part."""
-    toks = df.filter(F.col(mask) == 1).select(pair, side, pos, vec)
-    grouped = toks.groupBy(pair).agg(
-        F.collect_list(F.when(F.col(side) == "pred", F.col(vec))).alias("_p"),
-        F.collect_list(F.when(F.col(side) == "ref", F.col(vec))).alias("_r"))
-    both = grouped.filter((F.size("_p") > 0) & (F.size("_r") > 0))
-    return both.select(pair, greedy_match_udf("_p", "_r").alias("s")).select(pair, "s.*")
+    R symmetric, F = 2PR/(P+R). Masked (padding) tokens take no part. Pairs
+    without tokens on both sides drop out (nothing to compare)."""
+    toks = df.filter(F.col(mask) == 1).select(F.col(pair), F.col(side), F.col(pos).alias("pos"),
+                                             F.col(vec).alias("vec"))
+    pred = toks.filter(F.col(side) == "pred").drop(side)
+    ref = toks.filter(F.col(side) == "ref").drop(side)
+    p = _best_match(pred, ref, pair, block).withColumnRenamed("_score", "precision")
+    r = _best_match(ref, pred, pair, block).withColumnRenamed("_score", "recall")
+    prf = p.join(r, pair)
+    f = F.when((F.col("precision") + F.col("recall")) != 0,
+               2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
+    return prf.select(pair, "precision", "recall", f.alias("f1"))
 
 
 def greedy_match(df: DataFrame, **kw) -> DataFrame:

@@ -47,6 +47,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder (a machine-local one would not "
+                               "survive executor loss)")
         configured = tempfile.mkdtemp(prefix="glossa-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

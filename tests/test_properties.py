@@ -63,3 +63,12 @@ def test_pool_with_all_ones_mask_is_mean(spark):
                                 "pair_id long, side string, vec array<float>, mask int")
     assert VEC.masked_mean_pool(df0).collect()[0]["pooled"] == pytest.approx([0.5, 1.0])
     assert VEC.masked_mean_pool(df0, divide_by="mask").collect()[0]["pooled"] == pytest.approx([1.0, 2.0])
+
+
+def test_greedy_match_blocking_does_not_change_scores(spark):
+    tv = V.tokvec(spark, SF_SMALL)
+    a = {r["pair_id"]: (r["precision"], r["recall"]) for r in VEC.greedy_match_pairs(tv, block=64).collect()}
+    b = {r["pair_id"]: (r["precision"], r["recall"]) for r in VEC.greedy_match_pairs(tv, block=1).collect()}
+    assert a.keys() == b.keys() and len(a) > 0
+    for k in a:
+        assert a[k] == pytest.approx(b[k])
