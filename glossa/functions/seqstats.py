@@ -123,12 +123,23 @@ def chrf_words(text: str) -> list[str]:
     return out
 
 
-def chrf_counters(text: str) -> list[Counter]:
+def chrf_counters(text: str) -> tuple[list[Counter], list[int]]:
+    """Counters of character 1..6-grams (spaces removed) and word 1..2-grams, and their totals."""
     chars = (text or "").strip().replace(" ", "")
     words = chrf_words(text or "")
-    out = [Counter(chars[i:i + n] for i in range(len(chars) - n + 1)) for n in range(1, CHAR_ORDER + 1)]
-    out += [Counter(tuple(words[i:i + n]) for i in range(len(words) - n + 1)) for n in range(1, WORD_ORDER + 1)]
-    return out
+    out = [Counter(chars)]
+    out += [Counter([chars[i:i + n] for i in range(len(chars) - n + 1)]) for n in range(2, CHAR_ORDER + 1)]
+    out.append(Counter(words))
+    out += [Counter([tuple(words[i:i + n]) for i in range(len(words) - n + 1)]) for n in range(2, WORD_ORDER + 1)]
+    totals = [max(len(chars) - n + 1, 0) for n in range(1, CHAR_ORDER + 1)]
+    totals += [max(len(words) - n + 1, 0) for n in range(1, WORD_ORDER + 1)]
+    return out, totals
+
+
+def _matches(a: Counter, b: Counter) -> int:
+    if len(a) > len(b):
+        a, b = b, a
+    return sum(min(v, b[k]) for k, v in a.items() if k in b)
 
 
 def chrf_fscore(match, hyp, ref) -> float:
@@ -146,13 +157,11 @@ def chrf_sentence_stats(pred: str, refs) -> tuple[list[int], list[int], list[int
     """(match, hyp, ref) counts per order for the best reference; the first
     reference wins ties, and when every reference scores 0 no reference
     counts are added (only the hypothesis counts)."""
-    pc = chrf_counters(pred)
-    hyp = [sum(c.values()) for c in pc]
+    pc, hyp = chrf_counters(pred)
     best_f, best_m, best_r = 0.0, [0] * len(pc), [0] * len(pc)
     for r in (refs if refs is not None else []):
-        rc = chrf_counters(r)
-        match = [sum((a & b).values()) for a, b in zip(pc, rc)]
-        ref = [sum(c.values()) for c in rc]
+        rc, ref = chrf_counters(r)
+        match = [_matches(a, b) for a, b in zip(pc, rc)]
         f = chrf_fscore(match, hyp, ref)
         if f > best_f:
             best_f, best_m, best_r = f, match, ref
