@@ -78,19 +78,21 @@ def compose_summary(*parts: DataFrame, headline: Sequence[str] = HEADLINE) -> Da
     return full.unionByName(head)
 
 
-def prevalence(df: DataFrame, text: str = "generated_text", pattern: str = NEGATION_PATTERN) -> DataFrame:
+def prevalence(df: DataFrame, text: str = "generated_text", pattern: str = NEGATION_PATTERN,
+               by: Sequence[str] | str = ()) -> DataFrame:
     """Matches / rows for all rows and for the wrong rows (a ratio, not %).
     ``count(*)`` counts rows with null text, as ``len()`` does."""
     m = count_matches(text, pattern)
     wrong = ~correct_expr()
-    return df.agg(
+    keys = [by] if isinstance(by, str) else list(by)
+    return df.groupBy(*keys).agg(
         F.sum(m).alias("matches_all"), F.count(F.lit(1)).alias("rows_all"),
         F.sum(F.when(wrong, m)).alias("matches_errors"), F.count(F.when(wrong, 1)).alias("rows_errors"),
     ).select(
-        F.explode(F.array(
+        *keys, F.explode(F.array(
             F.struct(F.lit("all").alias("scope"), F.col("matches_all").alias("matches"),
                      F.col("rows_all").alias("rows")),
             F.struct(F.lit("errors").alias("scope"), F.coalesce("matches_errors", F.lit(0)).alias("matches"),
                      F.col("rows_errors").alias("rows")))).alias("s")
-    ).select("s.scope", "s.matches", "s.rows",
+    ).select(*keys, "s.scope", "s.matches", "s.rows",
              F.expr("try_divide(s.matches, s.rows)").cast("double").alias("rate"))

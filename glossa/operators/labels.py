@@ -110,12 +110,14 @@ def f1_micro(df: DataFrame, by=None, ref: str = REF, pred: str = PRED,
 
 def label_report(df: DataFrame, by=None, ref: str = REF, pred: str = PRED) -> DataFrame:
     """E2–E4 from one confusion table: the input is scanned once."""
-    conf = confusion(df, by, ref, pred).cache()
-    b = _by(by)
-    out = (weighted_prf(conf, by, ref, pred, True)
-           .join(accuracy(conf, by, ref, pred, True).drop("n"), b if b else F.lit(True))
-           .join(f1_micro(conf, by, ref, pred, True), b if b else F.lit(True)))
-    return out
+    # without a group key, a constant key makes the three K-row results joinable by equality
+    b = _by(by) or ["_all"]
+    src = df if by else df.withColumn("_all", F.lit(0))
+    conf = confusion(src, b, ref, pred).cache()
+    out = (weighted_prf(conf, b, ref, pred, True)
+           .join(accuracy(conf, b, ref, pred, True).drop("n"), b)
+           .join(f1_micro(conf, b, ref, pred, True), b))
+    return out if by else out.drop("_all")
 
 
 # ---- logits (E6, E7) --------------------------------------------------------

@@ -27,17 +27,19 @@ def _sys(df, s):
 
 
 @query("d1_zip_columns", ops=("D1",), sql=_with("""
-, l AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_idx, row_id, generated_text
-        FROM gen_eval WHERE system = 'A'),
-r AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_idx, row_id AS label_row_id, reference_label,
-             predicted_label FROM label_preds WHERE system = 'A')
-SELECT coalesce(l.row_idx, r.row_idx) AS row_idx, row_id, generated_text, label_row_id, reference_label,
-       predicted_label
+, l AS (SELECT row_number() OVER (ORDER BY row_id, system) - 1 AS row_idx, row_id, system, generated_text
+        FROM gen_eval),
+r AS (SELECT row_number() OVER (ORDER BY row_id, system) - 1 AS row_idx, row_id AS label_row_id,
+             system AS label_system, reference_label, predicted_label FROM label_preds)
+SELECT coalesce(l.row_idx, r.row_idx) AS row_idx, row_id, system, generated_text, label_row_id, label_system,
+       reference_label, predicted_label
 FROM l FULL OUTER JOIN r ON l.row_idx = r.row_idx""", "gen_eval", "label_preds"))
 def d1_zip_columns(spark, sf):
-    text = _sys(V.gen_eval(spark, sf), "A").select("row_id", "generated_text")
-    lab = _sys(V.label_preds(spark, sf), "A").withColumnRenamed("row_id", "label_row_id")
-    return AN.zip_columns(text, lab, ["row_id"], ["label_row_id"])
+    """Positional concat of the two prediction files (different lengths: the outer join keeps both tails)."""
+    text = V.gen_eval(spark, sf).select("row_id", "system", "generated_text")
+    lab = V.label_preds(spark, sf).withColumnRenamed("row_id", "label_row_id") \
+        .withColumnRenamed("system", "label_system")
+    return AN.zip_columns(text, lab, ["row_id", "system"], ["label_row_id", "label_system"])
 
 
 @query("d2_merge_predictions", ops=("D2", "B7", "B1"), sql=_with(f"""
@@ -98,16 +100,19 @@ def d5_compare_runs(spark, sf):
 
 
 @query("e10_prevalence", ops=("E10", "G1"), sql=_with(f"""
-, j AS (SELECT g.generated_text, coalesce(l.reference_label = l.predicted_label, false) AS ok
-        FROM gen_eval g JOIN label_preds l ON l.row_id = g.row_id AND l.system = g.system WHERE g.system = 'A'),
-c AS (SELECT ok, len(regexp_extract_all(generated_text, '{THE_PATTERN}')) AS m FROM j)
-SELECT 'all' AS scope, sum(m) AS matches, count(*) AS rows, round(sum(m) / count(*), 6) AS rate FROM c
+, j AS (SELECT g.system, g.generated_text, coalesce(l.reference_label = l.predicted_label, false) AS ok
+        FROM gen_eval g JOIN label_preds l ON l.row_id = g.row_id AND l.system = g.system),
+c AS (SELECT system, ok, len(regexp_extract_all(generated_text, '{THE_PATTERN}')) AS m FROM j)
+SELECT system, 'all' AS scope, sum(m) AS matches, count(*) AS rows, round(sum(m) / count(*), 6) AS rate
+FROM c GROUP BY system
 UNION ALL
-SELECT 'errors', coalesce(sum(m), 0), count(*), round(CASE WHEN count(*) > 0 THEN coalesce(sum(m), 0) / count(*) END, 6)
-FROM c WHERE NOT ok""", "gen_eval", "label_preds"))
+SELECT system, 'errors', coalesce(sum(m) FILTER (WHERE NOT ok), 0), count(*) FILTER (WHERE NOT ok),
+       round(CASE WHEN count(*) FILTER (WHERE NOT ok) > 0
+                  THEN coalesce(sum(m) FILTER (WHERE NOT ok), 0) / count(*) FILTER (WHERE NOT ok) END, 6)
+FROM c GROUP BY system""", "gen_eval", "label_preds"))
 def e10_prevalence(spark, sf):
-    merged = _sys(V.gen_eval(spark, sf), "A").join(_sys(V.label_preds(spark, sf), "A"), "row_id")
-    return round_doubles(AN.prevalence(merged, "generated_text", THE_PATTERN))
+    merged = V.gen_eval(spark, sf).join(V.label_preds(spark, sf), ["row_id", "system"])
+    return round_doubles(AN.prevalence(merged, "generated_text", THE_PATTERN, by="system"))
 
 
 @query("g1_count_matches", ops=("G1",), sql=V.with_views(
@@ -153,13 +158,13 @@ def h3_row_at(spark, sf):
 
 
 @query("h4_sample_batches", ops=("H4",), sql=V.with_views("""
-SELECT row_id, row_idx, batch_id FROM (
-  SELECT row_id, idx AS row_idx, idx // 8 AS batch_id, idx % 8 AS pos
-  FROM (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS idx FROM gen_eval WHERE system = 'A'))
+SELECT row_id, system, row_idx, batch_id FROM (
+  SELECT row_id, system, idx AS row_idx, idx // 8 AS batch_id, idx % 8 AS pos
+  FROM (SELECT row_id, system, row_number() OVER (ORDER BY row_id, system) - 1 AS idx FROM gen_eval))
 WHERE (batch_id + 1) % 5 = 0 AND pos < 3""", "gen_eval"))
 def h4_sample_batches(spark, sf):
-    a = _sys(V.gen_eval(spark, sf), "A").select("row_id")
-    return TM.sample_batches(B.assign_batches(a, ["row_id"], 8), 5, 3)
+    g = V.gen_eval(spark, sf).select("row_id", "system")
+    return TM.sample_batches(B.assign_batches(g, ["row_id", "system"], 8), 5, 3)
 
 
 def _whole_log(spark, sf):

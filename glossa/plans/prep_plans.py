@@ -149,14 +149,14 @@ def b9_refs_roundtrip(spark, sf):
 
 
 @query("b10_unbatch", ops=("B10", "C7"), sql=V.with_views("""
-SELECT idx // 8 AS batch_id, idx % 8 AS pos_in_batch, row_id, generated_text
-FROM (SELECT row_id, generated_text, row_number() OVER (ORDER BY row_id) - 1 AS idx FROM gen_eval WHERE system = 'A')""",
+SELECT idx // 8 AS batch_id, idx % 8 AS pos_in_batch, row_id, system, generated_text
+FROM (SELECT row_id, system, generated_text, row_number() OVER (ORDER BY row_id, system) - 1 AS idx FROM gen_eval)""",
                                                            "gen_eval"))
 def b10_unbatch(spark, sf):
-    a = V.gen_eval(spark, sf).filter(F.col("system") == "A").select("row_id", "generated_text")
-    batched = P.batch_arrays(B.assign_batches(a, ["row_id"], 8), "batch_id", "row_idx",
-                             ["row_id", "generated_text"])
-    return P.unbatch(batched, "batch_id", ["row_id", "generated_text"])
+    g = V.gen_eval(spark, sf).select("row_id", "system", "generated_text")
+    cols = ["row_id", "system", "generated_text"]
+    batched = P.batch_arrays(B.assign_batches(g, ["row_id", "system"], 8), "batch_id", "row_idx", cols)
+    return P.unbatch(batched, "batch_id", cols)
 
 
 # ---- C ------------------------------------------------------------------------
@@ -209,11 +209,11 @@ def c6_decode(spark, sf):
 
 
 @query("c7_assign_batches", ops=("C7",), sql=V.with_views("""
-SELECT row_id, idx AS row_idx, idx // 32 AS batch_id
-FROM (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS idx FROM gen_eval WHERE system = 'A')""", "gen_eval"))
+SELECT row_id, system, idx AS row_idx, idx // 32 AS batch_id
+FROM (SELECT row_id, system, row_number() OVER (ORDER BY row_id, system) - 1 AS idx FROM gen_eval)""", "gen_eval"))
 def c7_assign_batches(spark, sf):
-    a = V.gen_eval(spark, sf).filter(F.col("system") == "A").select("row_id")
-    return B.assign_batches(a, ["row_id"], 32)
+    g = V.gen_eval(spark, sf).select("row_id", "system")
+    return B.assign_batches(g, ["row_id", "system"], 32)
 
 
 _BATCHED_CTE = _ENC_CTE + f""",
@@ -263,12 +263,13 @@ def c11_shuffle(spark, sf):
 
 
 @query("c12_limit_batches", ops=("C12",), sql=V.with_views("""
-SELECT row_id, idx AS row_idx, idx // 32 AS batch_id
-FROM (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS idx FROM gen_eval WHERE system = 'A')
+SELECT row_id, system, idx AS row_idx, idx // 32 AS batch_id
+FROM (SELECT row_id, system, row_number() OVER (ORDER BY row_id, system) - 1 AS idx FROM gen_eval)
 WHERE idx // 32 < 3""", "gen_eval"))
 def c12_limit_batches(spark, sf):
-    a = V.gen_eval(spark, sf).filter(F.col("system") == "A").select("row_id")
-    return B.limit_batches(B.assign_batches(a, ["row_id"], 32), 3)
+    """The first k batches is the operator itself (the reference's limit_*_batches)."""
+    g = V.gen_eval(spark, sf).select("row_id", "system")
+    return B.limit_batches(B.assign_batches(g, ["row_id", "system"], 32), 3)
 
 
 @query("c13_gen_len", ops=("C13",), sql=_with(_BATCHED_CTE + """
@@ -322,14 +323,15 @@ def a3_a4_predictions_csv(spark, sf):
 
 
 @query("a5_errors_csv", ops=("A5", "B4"), sql=V.with_views(
-    "SELECT row_id, reference_label, predicted_label FROM label_preds WHERE system = 'A' "
-    "AND NOT coalesce(reference_label = predicted_label, false)", "label_preds"))
+    "SELECT row_id, system, reference_label, predicted_label FROM label_preds "
+    "WHERE NOT coalesce(reference_label = predicted_label, false)", "label_preds"))
 def a5_errors_csv(spark, sf):
     from pyspark.sql import types as T
     path = shared_path(spark, f"errors-{_tag(sf)}")
-    errs = L.errors(V.label_preds(spark, sf).filter(F.col("system") == "A")).drop("system")
+    errs = L.errors(V.label_preds(spark, sf))
     io.write_errors(errs, path)
-    schema = T.StructType([T.StructField("row_id", T.LongType())] + list(io.LABEL_PRED_SCHEMA.fields))
+    schema = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("system", T.StringType())]
+                          + list(io.LABEL_PRED_SCHEMA.fields))
     return io.read_predictions(spark, path, schema=schema, with_file=False)
 
 

@@ -139,9 +139,9 @@ def a6_a7_summary_json(spark, sf):
 
 
 @query("g3_sentences", ops=("G3",), sql=V.with_views(
-    "SELECT row_id, unnest(range(0, len(s))) AS sent_idx, unnest(s) AS sentence FROM (SELECT row_id, "
-    "list_filter(string_split(regexp_replace(trim(\"references\"[1]), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), "
-    "lambda x: x <> '') AS s FROM gen_eval WHERE system = 'A')", "gen_eval"))
+    "SELECT row_id, system, unnest(range(0, len(s))) AS sent_idx, unnest(s) AS sentence FROM (SELECT row_id, system, "
+    "list_filter(string_split(regexp_replace(trim(generated_text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), "
+    "lambda x: x <> '') AS s FROM gen_eval)", "gen_eval"))
 def g3_sentences(spark, sf):
-    a = V.gen_eval(spark, sf).filter(F.col("system") == "A")
-    return a.select("row_id", F.posexplode(sentences(F.col("references")[0])).alias("sent_idx", "sentence"))
+    g = V.gen_eval(spark, sf)
+    return g.select("row_id", "system", F.posexplode(sentences("generated_text")).alias("sent_idx", "sentence"))

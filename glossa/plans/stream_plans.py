@@ -50,13 +50,13 @@ def i2_stream_bucket_mean(spark, sf):
 @query("i3_stream_samples", ops=("I3", "H4"), sql=REGISTRY["h4_sample_batches"].sql)
 def i3_stream_samples(spark, sf):
     src, out, ck = _paths(spark, "samples")
-    a = V.gen_eval(spark, sf).filter(F.col("system") == "A").select("row_id", "generated_text")
-    staged = B.assign_batches(a, ["row_id"], 8)
+    g = V.gen_eval(spark, sf).select("row_id", "system", "generated_text")
+    staged = B.assign_batches(g, ["row_id", "system"], 8)
     S.stage_files(staged, src, 4, ["row_idx"])
     q = S.stream_samples(S.file_stream(spark, src, staged.schema), every=5, n=3, batch_size=8, sink=out,
                          checkpoint=ck)
     q.awaitTermination()
-    return spark.read.parquet(out).select("row_id", "row_idx", "batch_id")
+    return spark.read.parquet(out).select("row_id", "system", "row_idx", "batch_id")
 
 
 @query("k3_on_batch", ops=("K3",), sql=V.with_views(
