@@ -40,12 +40,17 @@ def merge_predictions(text: DataFrame, labels: DataFrame, key: Sequence[str] | s
 
 
 def error_diff(a: DataFrame, b: DataFrame, key: Sequence[str] | str = "row_id") -> DataFrame:
-    """D3: rows A gets wrong but B right (``only_a_wrong``) and the reverse."""
+    """D3: rows A gets wrong but B right (``only_a_wrong``) and the reverse.
+
+    One pass: the two error sets are tagged, unioned and grouped by key (at most
+    two rows per key); a key wrong on exactly one side is kept. Each input is
+    read once and no key can be hot."""
     keys = [key] if isinstance(key, str) else list(key)
-    ea = a.filter(~correct_expr()).select(*keys)
-    eb = b.filter(~correct_expr()).select(*keys)
-    return (ea.join(eb, keys, "left_anti").withColumn("kind", F.lit("only_a_wrong"))
-            .unionByName(eb.join(ea, keys, "left_anti").withColumn("kind", F.lit("only_b_wrong"))))
+    ea = a.filter(~correct_expr()).select(*keys, F.lit(1).alias("_a"), F.lit(0).alias("_b"))
+    eb = b.filter(~correct_expr()).select(*keys, F.lit(0).alias("_a"), F.lit(1).alias("_b"))
+    g = ea.unionByName(eb).groupBy(*keys).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    return g.filter(F.col("_a") != F.col("_b")).select(
+        *keys, F.when(F.col("_a") == 1, F.lit("only_a_wrong")).otherwise(F.lit("only_b_wrong")).alias("kind"))
 
 
 def error_diff_counts(a: DataFrame, b: DataFrame, key="row_id") -> DataFrame:

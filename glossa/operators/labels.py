@@ -46,19 +46,21 @@ def confusion(df: DataFrame, by=None, ref: str = REF, pred: str = PRED) -> DataF
 
 
 def _class_counts(conf: DataFrame, by, ref: str, pred: str) -> DataFrame:
-    """Per class (union of classes in both columns): tp, support, predicted count."""
+    """Per class (union of classes in both columns): tp, support, predicted count.
+
+    Each confusion cell is exploded into its reference-side and prediction-side
+    contribution, so the input is consumed by ONE lineage (a union of two
+    filtered branches would scan the source twice)."""
     b = _by(by)
     n = F.col("n")
-    as_ref = conf.filter(F.col(ref).isNotNull()).select(
-        *b, F.col(ref).alias("label"),
-        F.when(F.col(ref) == F.col(pred), n).otherwise(0).alias("tp"),
-        n.alias("support"), F.lit(0).cast("bigint").alias("predicted"))
-    as_pred = conf.filter(F.col(pred).isNotNull()).select(
-        *b, F.col(pred).alias("label"), F.lit(0).cast("bigint").alias("tp"),
-        F.lit(0).cast("bigint").alias("support"), n.alias("predicted"))
-    return (as_ref.unionByName(as_pred).groupBy(*b, "label")
-            .agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"),
-                 F.sum("predicted").alias("predicted")))
+    zero = F.lit(0).cast("bigint")
+    sides = F.array(
+        F.struct(F.col(ref).alias("label"), F.when(F.col(ref) == F.col(pred), n).otherwise(zero).alias("tp"),
+                 n.alias("support"), zero.alias("predicted")),
+        F.struct(F.col(pred).alias("label"), zero.alias("tp"), zero.alias("support"), n.alias("predicted")))
+    parts = conf.select(*b, F.explode(sides).alias("_c")).select(*b, "_c.*").filter(F.col("label").isNotNull())
+    return parts.groupBy(*b, "label").agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"),
+                                         F.sum("predicted").alias("predicted"))
 
 
 def _ratio(num: Column, den: Column) -> Column:

@@ -29,33 +29,31 @@ def max_cosine_udf(vec: pd.Series, block: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def _best_match(one: DataFrame, other: DataFrame, pair: str, block: int) -> DataFrame:
-    """For every token of ``one``: the best cosine against the tokens of
-    ``other`` in the same pair. ``other`` is cut into blocks of at most
-    ``block`` vectors, so a row carries one token and one bounded block; a pair
-    of any size becomes (#tokens × #blocks) rows, never one giant group."""
-    blocks = other.groupBy(pair, F.floor(F.col("pos") / block).alias("_blk")).agg(
-        F.collect_list("vec").alias("_vecs"))
-    scored = one.join(blocks, pair).select(pair, "pos", max_cosine_udf("vec", "_vecs").alias("_m"))
-    return scored.groupBy(pair, "pos").agg(F.max("_m").alias("_best")) \
-        .groupBy(pair).agg(F.avg("_best").alias("_score"))
-
-
 def greedy_match_pairs(df: DataFrame, pair: str = "pair_id", side: str = "side", pos: str = "pos",
                        vec: str = "vec", mask: str = "mask", block: int = 64) -> DataFrame:
     """Per pair: P = mean over pred tokens of the best cosine to a ref token,
-    R symmetric, F = 2PR/(P+R). Masked (padding) tokens take no part. Pairs
-    without tokens on both sides drop out (nothing to compare)."""
-    toks = df.filter(F.col(mask) == 1).select(F.col(pair), F.col(side), F.col(pos).alias("pos"),
-                                             F.col(vec).alias("vec"))
-    pred = toks.filter(F.col(side) == "pred").drop(side)
-    ref = toks.filter(F.col(side) == "ref").drop(side)
-    p = _best_match(pred, ref, pair, block).withColumnRenamed("_score", "precision")
-    r = _best_match(ref, pred, pair, block).withColumnRenamed("_score", "recall")
-    prf = p.join(r, pair)
-    f = F.when((F.col("precision") + F.col("recall")) != 0,
-               2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
-    return prf.select(pair, "precision", "recall", f.alias("f1"))
+    R symmetric, F = 2PR/(P+R). Masked (padding) tokens take no part; pairs
+    without tokens on both sides drop out (nothing to compare).
+
+    Both directions in one join: every token meets the blocks (≤ ``block``
+    vectors) of the *other* side of its pair, so a row carries one token and one
+    bounded block, whatever the pair size."""
+    toks = df.filter(F.col(mask) == 1).select(F.col(pair).alias("_pair"), F.col(side).alias("_side"),
+                                             F.col(pos).alias("_pos"), F.col(vec).alias("_vec"))
+    other = F.when(F.col("_side") == "pred", F.lit("ref")).otherwise(F.lit("pred"))
+    blocks = toks.groupBy(F.col("_pair").alias("_bpair"), other.alias("_side"),
+                          F.floor(F.col("_pos") / block).alias("_blk")) \
+        .agg(F.collect_list("_vec").alias("_vecs")).withColumnRenamed("_bpair", "_pair")
+    scored = toks.join(blocks, ["_pair", "_side"]) \
+        .select("_pair", "_side", "_pos", max_cosine_udf("_vec", "_vecs").alias("_m"))
+    best = scored.groupBy("_pair", "_side", "_pos").agg(F.max("_m").alias("_best"))
+    per_side = best.groupBy("_pair").agg(
+        F.avg(F.when(F.col("_side") == "pred", F.col("_best"))).alias("precision"),
+        F.avg(F.when(F.col("_side") == "ref", F.col("_best"))).alias("recall"))
+    p, r = F.col("precision"), F.col("recall")
+    return per_side.filter(p.isNotNull() & r.isNotNull()).select(
+        F.col("_pair").alias(pair), "precision", "recall",
+        F.when((p + r) != 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
 
 
 def greedy_match(df: DataFrame, **kw) -> DataFrame:

@@ -69,3 +69,23 @@ def test_predictions_csv_roundtrip_with_newlines_and_quotes(spark, tmp_path):
     io.write_predictions(df, path)
     back = io.read_predictions(spark, os.path.join(path, "*.csv"), with_file=False).collect()
     assert back[0]["input_text"] == "a \"quoted\"\nline"
+
+
+def test_stream_bucket_mean_drops_late_rows(spark, tmp_path):
+    """Rows older than the watermark are dropped: the bucket they belong to stays
+    incomplete and is never emitted (as the reference never flushes a partial bucket)."""
+    import datetime as dt
+
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("run", T.StringType()), T.StructField("step", T.LongType()),
+                           T.StructField("loss", T.DoubleType()), T.StructField("ts", T.TimestampType())])
+    day = lambda d: dt.datetime(2024, 1, d)
+    on_time = [("r", s, float(s), day(10)) for s in (3, 4, 5, 6)]
+    late = [("r", s, float(s), day(1)) for s in (0, 1, 2)]
+    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    spark.createDataFrame(on_time, schema).coalesce(1).write.parquet(src)
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(src)
+    S.stream_bucket_mean(S.file_stream(spark, src, schema), 2, out, ck).awaitTermination()
+    got = {r["step"]: r["loss_reduced"] for r in spark.read.parquet(out).collect()}
+    assert got == {4: pytest.approx(3.5), 6: pytest.approx(5.5)}
