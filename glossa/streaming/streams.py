@@ -151,3 +151,12 @@ def stream_samples(stream: DataFrame, every: int, n: int, batch_size: int, sink:
         (picked.withColumn("micro_batch", F.lit(batch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy(batch, "micro_batch").parquet(sink))
     return on_batch(stream, write, checkpoint, available_now)
+
+
+def observe_batch(df: DataFrame, name: str, *metrics) -> tuple[DataFrame, "Observation"]:
+    """K3 for batch jobs: attach named aggregate metrics that are computed while
+    the job runs (no second pass); read them from the Observation after an action."""
+    from pyspark.sql import Observation
+
+    obs = Observation(name)
+    return df.observe(obs, *metrics), obs

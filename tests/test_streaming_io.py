@@ -89,3 +89,23 @@ def test_stream_bucket_mean_drops_late_rows(spark, tmp_path):
     S.stream_bucket_mean(S.file_stream(spark, src, schema), 2, out, ck).awaitTermination()
     got = {r["step"]: r["loss_reduced"] for r in spark.read.parquet(out).collect()}
     assert got == {4: pytest.approx(3.5), 6: pytest.approx(5.5)}
+
+
+def test_observe_batch_collects_metrics_in_the_same_pass(spark):
+    g = V.gen_eval(spark, SF_SMALL)
+    out, obs = S.observe_batch(g, "gen", F.count(F.lit(1)).alias("rows"),
+                               F.sum(F.length("generated_text")).alias("chars"))
+    n = out.write.format("noop").mode("overwrite").save() or g.count()
+    got = obs.get
+    assert got["rows"] == n and got["chars"] > 0
+
+
+def test_probe_is_deterministic_by_seed(spark):
+    from glossa.operators import probe
+    from glossa.sources.tables import load
+    emb = load(spark, SF_SMALL, "embeddings").select("vec_id", "embedding", "label")
+    m1 = probe.fit_probe(emb, hidden=16, n_classes=10, max_iter=5, seed=7)
+    m2 = probe.fit_probe(emb, hidden=16, n_classes=10, max_iter=5, seed=7)
+    p1 = sorted(tuple(r) for r in probe.score_probe(m1, emb).collect())
+    p2 = sorted(tuple(r) for r in probe.score_probe(m2, emb).collect())
+    assert p1 == p2 and len(p1) == emb.count()
