@@ -57,7 +57,7 @@ def test_read_reference_style_summary(spark, tmp_path):
     d = tmp_path / "runs"
     d.mkdir()
     (d / "Score_X.json").write_text(json.dumps(
-        {"test/blue": 0.45, "test/chrf": 0.52, "epoch": 0, "_wandb": {"runtime": 39},
+        {"test/blue": 0.45, "test/chrf": 0.52, "epoch": 0, "_tracker": {"runtime": 39},
          "summary": {"test/chrf": 0.52}}, indent=4))
     rows = {(r["run"], r["metric"]): r["value"] for r in io.read_summaries(spark, str(d / "*.json")).collect()}
     assert rows == {("Score_X", "test/blue"): 0.45, ("Score_X", "test/chrf"): 0.52, ("Score_X", "epoch"): 0.0}
