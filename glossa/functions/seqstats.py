@@ -153,14 +153,15 @@ def chrf_fscore(match, hyp, ref) -> float:
     return total / (CHAR_ORDER + WORD_ORDER)
 
 
-def chrf_sentence_stats(pred: str, refs) -> tuple[list[int], list[int], list[int]]:
+def chrf_sentence_stats(pred: str, refs, counters=chrf_counters) -> tuple[list[int], list[int], list[int]]:
     """(match, hyp, ref) counts per order for the best reference; the first
     reference wins ties, and when every reference scores 0 no reference
-    counts are added (only the hypothesis counts)."""
-    pc, hyp = chrf_counters(pred)
+    counts are added (only the hypothesis counts). ``counters`` may memoise
+    (references are shared by every system scored on the same rows)."""
+    pc, hyp = counters(pred)
     best_f, best_m, best_r = 0.0, [0] * len(pc), [0] * len(pc)
     for r in (refs if refs is not None else []):
-        rc, ref = chrf_counters(r)
+        rc, ref = counters(r)
         match = [_matches(a, b) for a, b in zip(pc, rc)]
         f = chrf_fscore(match, hyp, ref)
         if f > best_f:

@@ -37,14 +37,25 @@ def _by(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the compact input rows over all cores when the scan yields
-    fewer partitions than cores (small inputs: one file, few row groups). Large
-    inputs arrive in many splits and are left alone; streams are left alone."""
+def spread(df: DataFrame, key: str = "row_id") -> DataFrame:
+    """Spread the compact input rows over all cores when the scan yields fewer
+    partitions than cores (small inputs: one file, few row groups). Rows are
+    hashed on the row key when present, so every system's row for one input
+    lands in the same task (shared reference statistics are then computed
+    once per batch). Large inputs arrive in many splits and are left alone;
+    streams are left alone."""
     if df.isStreaming:
         return df
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n, key) if key in df.columns else df.repartition(n)
+
+
+def _inputs(df: DataFrame, by: list[str], pred: str, refs: str, key: str = "row_id") -> DataFrame:
+    """Only the columns a metric needs (plus the row key, if any, for co-location)."""
+    cols = [*by, pred, refs] + ([key] if key in df.columns and key not in by else [])
+    return spread(df.select(*cols), key)
 
 
 # ---- pandas UDFs (Arrow batches; one Python call per batch, not per row) ----
@@ -66,7 +77,15 @@ _COUNTS = T.ArrayType(T.LongType())
 @F.pandas_udf(T.StructType([T.StructField("match", _COUNTS), T.StructField("hyp", _COUNTS),
                              T.StructField("ref", _COUNTS)]))
 def chrf_stats_udf(pred: pd.Series, refs: pd.Series) -> pd.DataFrame:
-    rows = [seqstats.chrf_sentence_stats(p, r) for p, r in zip(pred, refs)]
+    cache: dict = {}  # per Arrow batch: a reference text is counted once for all systems
+
+    def counters(text):
+        hit = cache.get(text)
+        if hit is None:
+            hit = cache[text] = seqstats.chrf_counters(text)
+        return hit
+
+    rows = [seqstats.chrf_sentence_stats(p, r, counters) for p, r in zip(pred, refs)]
     return pd.DataFrame({"match": [r[0] for r in rows], "hyp": [r[1] for r in rows],
                          "ref": [r[2] for r in rows]})
 
@@ -132,7 +151,7 @@ def _bleu_sums(n_max: int) -> list[Column]:
 def bleu(df: DataFrame, pred: str = PRED, refs: str = REFS, n_max: int = 3, by=None) -> DataFrame:
     """corpus BLEU (clipped by the max reference count, closest reference
     length with the first listed winning ties, uniform weights, no smoothing)."""
-    stats = _bleu_stats(spread(df.select(*_by(by), pred, refs)), pred, refs, n_max)
+    stats = _bleu_stats(_inputs(df, _by(by), pred, refs), pred, refs, n_max)
     return stats.groupBy(*_by(by)).agg(*_bleu_sums(n_max)).select(*_by(by), _bleu_formula(n_max).alias("bleu"))
 
 
@@ -162,7 +181,7 @@ def _chrf_formula() -> Column:
 def chrf(df: DataFrame, pred: str = PRED, refs: str = REFS, by=None) -> DataFrame:
     """corpus chrF++ (char order 6, word order 2, beta 2) from the counts of
     each sentence's best reference."""
-    stats = _chrf_stats(spread(df.select(*_by(by), pred, refs)), pred, refs)
+    stats = _chrf_stats(_inputs(df, _by(by), pred, refs), pred, refs)
     return stats.groupBy(*_by(by)).agg(*_chrf_sums()).select(*_by(by), _chrf_formula().alias("chrf"))
 
 
@@ -221,7 +240,7 @@ def _rouge_cols(keys) -> list[str]:
 def rouge(df: DataFrame, pred: str = PRED, refs: str = REFS, keys=ROUGE_KEYS, by=None) -> DataFrame:
     """Unweighted mean of per-pair P/R/F over all 3N pairs."""
     b = _by(by)
-    pairs = rouge_pairs(spread(df.select(*b, pred, refs)), pred, refs, keys, carry=b)
+    pairs = rouge_pairs(_inputs(df, b, pred, refs), pred, refs, keys, carry=b)
     return pairs.groupBy(*b).agg(*[F.avg(c).alias(c) for c in _rouge_cols(keys)])
 
 
@@ -247,7 +266,7 @@ def generation_scores(df: DataFrame, pred: str = PRED, refs: str = REFS, by=None
     single aggregate serves both corpus-level and pair-level metrics.
     """
     b = _by(by)
-    rows = _chrf_stats(_bleu_stats(spread(df.select(*b, pred, refs)), pred, refs, n_max), pred, refs)
+    rows = _chrf_stats(_bleu_stats(_inputs(df, b, pred, refs), pred, refs, n_max), pred, refs)
     row_cols = ["bleu_c", "bleu_r"] + [f"bleu_{x}_{k}" for k in range(1, n_max + 1) for x in ("num", "den")]
     pairs = rouge_pairs(rows, pred, refs, rouge_keys, carry=b + row_cols + ["_chrf"])
     first = F.col("ref_idx") == 0
@@ -278,7 +297,7 @@ def report_names(rouge_keys=ROUGE_KEYS) -> dict[str, str]:
 def scaled_report(df: DataFrame, pred: str = PRED, refs: str = REFS, by=None) -> DataFrame:
     """ROUGE F-measures ×100 rounded to 4 places, plus mean generated length."""
     b = _by(by)
-    pairs = rouge_pairs(spread(df.select(*b, pred, refs)).withColumn("_len", F.size(tokens(pred))), pred, refs,
+    pairs = rouge_pairs(_inputs(df, b, pred, refs).withColumn("_len", F.size(tokens(pred))), pred, refs,
                         ROUGE_KEYS, carry=b + ["_len"])
     agg = pairs.groupBy(*b).agg(
         *[F.round(F.avg(f"{k}_fmeasure") * 100, 4).alias(k) for k in ROUGE_KEYS],
