@@ -35,16 +35,6 @@ def tokens(text) -> Column:
     return F.filter(F.split(F.trim(_col(text)), r"\s+"), lambda x: x != "")
 
 
-def cut_tokens(text, n: int = MAX_TARGET_LEN) -> Column:
-    """First ``n`` whitespace tokens."""
-    return F.slice(tokens(text), 1, n)
-
-
-def cut_text(text, n: int = MAX_TARGET_LEN) -> Column:
-    """Text re-joined from its first ``n`` whitespace tokens."""
-    return F.array_join(cut_tokens(text, n), " ")
-
-
 def rouge_tokens(text) -> Column:
     """ROUGE normalisation: lower case, every run outside [a-z0-9] becomes a space."""
     norm = F.regexp_replace(F.lower(_col(text)), "[^a-z0-9]+", " ")

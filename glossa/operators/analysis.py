@@ -28,15 +28,16 @@ def zip_columns(left: DataFrame, right: DataFrame, left_order: Sequence[str], ri
     return li.join(ri, index, "full_outer")
 
 
-def merge_predictions(text: DataFrame, labels: DataFrame, key: Sequence[str] | str = "row_id") -> DataFrame:
+def merge_predictions(text: DataFrame, labels: DataFrame, key: Sequence[str] | str = "row_id",
+                      carry: Sequence[str] = ()) -> DataFrame:
     """Keyed merge of text and label predictions, labels decoded to names,
-    columns in the export order (key columns first)."""
+    columns in the export order (key columns first, then ``carry``)."""
     keys = [key] if isinstance(key, str) else list(key)
     j = text.join(labels, keys, "inner")
     j = j.withColumn("predicted_label", label_name("predicted_label")) \
         .withColumn("reference_label", label_name("reference_label"))
     rest = [c for c in EXPORT_ORDER if c in j.columns]
-    return j.select(*keys, *rest)
+    return j.select(*keys, *carry, *rest)
 
 
 def error_diff(a: DataFrame, b: DataFrame, key: Sequence[str] | str = "row_id") -> DataFrame:

@@ -31,9 +31,10 @@ GEN_SCHEMA = T.StructType([
 ])
 
 
-def token_drop_model(k: int = 7, max_len: int = 128) -> Callable[[list[str]], list[str]]:
+def token_drop_model(k: int = 7, max_len: int | None = None) -> Callable[[list[str]], list[str]]:
     """Deterministic stand-in system (no model can be loaded here): the
-    hypothesis of the templated input, first ``max_len`` tokens, every k-th dropped."""
+    hypothesis of the templated input with every k-th token dropped; a
+    generation budget ``max_len`` applies only when given."""
     marker = "\nhypothesis: "
 
     def generate(inputs: list[str]) -> list[str]:

@@ -46,10 +46,13 @@ def d1_zip_columns(spark, sf):
 SELECT g.row_id, g.system, g.input_text, g.generated_text, g."references"[1] AS reference_texts_0,
        g."references"[2] AS reference_texts_1, g."references"[3] AS reference_texts_2,
        {label_name_sql('l.predicted_label')} AS predicted_label, {label_name_sql('l.reference_label')} AS reference_label
-FROM gen_eval g JOIN label_preds l ON l.row_id = g.row_id AND l.system = g.system""", "gen_eval", "label_preds"))
+FROM gen_eval g JOIN label_preds l ON l.row_id = g.row_id // {V.CHUNK_STRIDE} AND l.system = g.system""",
+                                                            "gen_eval", "label_preds"))
 def d2_merge_predictions(spark, sf):
-    text = P.refs_to_columns(V.gen_eval(spark, sf))
-    return AN.merge_predictions(text, V.label_preds(spark, sf), ["row_id", "system"])
+    """Each text row meets the label row of its document (many to one)."""
+    text = P.refs_to_columns(V.gen_eval(spark, sf)).withColumn("doc_id", V.doc_of())
+    labels = V.label_preds(spark, sf).withColumnRenamed("row_id", "doc_id")
+    return AN.merge_predictions(text, labels, ["doc_id", "system"], carry=["row_id"]).drop("doc_id")
 
 
 _ERR = ("SELECT row_id FROM label_preds WHERE system = '{s}' AND NOT coalesce(reference_label = predicted_label, false)")
@@ -101,7 +104,7 @@ def d5_compare_runs(spark, sf):
 
 @query("e10_prevalence", ops=("E10", "G1"), sql=_with(f"""
 , j AS (SELECT g.system, g.generated_text, coalesce(l.reference_label = l.predicted_label, false) AS ok
-        FROM gen_eval g JOIN label_preds l ON l.row_id = g.row_id AND l.system = g.system),
+        FROM gen_eval g JOIN label_preds l ON l.row_id = g.row_id // {V.CHUNK_STRIDE} AND l.system = g.system),
 c AS (SELECT system, ok, len(regexp_extract_all(generated_text, '{THE_PATTERN}')) AS m FROM j)
 SELECT system, 'all' AS scope, sum(m) AS matches, count(*) AS rows, round(sum(m) / count(*), 6) AS rate
 FROM c GROUP BY system
@@ -111,7 +114,8 @@ SELECT system, 'errors', coalesce(sum(m) FILTER (WHERE NOT ok), 0), count(*) FIL
                   THEN coalesce(sum(m) FILTER (WHERE NOT ok), 0) / count(*) FILTER (WHERE NOT ok) END, 6)
 FROM c GROUP BY system""", "gen_eval", "label_preds"))
 def e10_prevalence(spark, sf):
-    merged = V.gen_eval(spark, sf).join(V.label_preds(spark, sf), ["row_id", "system"])
+    text = V.gen_eval(spark, sf).withColumn("doc_id", V.doc_of())
+    merged = text.join(V.label_preds(spark, sf).withColumnRenamed("row_id", "doc_id"), ["doc_id", "system"])
     return round_doubles(AN.prevalence(merged, "generated_text", THE_PATTERN, by="system"))
 
 

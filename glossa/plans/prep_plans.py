@@ -192,7 +192,8 @@ def c4_pad_fixed(spark, sf):
 
 
 @query("c5_attention_mask", ops=("C5",), sql=_with(_HYP_CTE + f"""
-SELECT row_id, list_transform({_pad('ids', 64)}, lambda x: CASE WHEN x = 0 THEN 0 ELSE 1 END) AS attention_mask FROM h""",
+SELECT row_id, list_transform({_pad(_trunc('ids', 512), 64)}, lambda x: CASE WHEN x = 0 THEN 0 ELSE 1 END)
+       AS attention_mask FROM h""",
                                                          "nli"))
 def c5_attention_mask(spark, sf):
     return _hyp_ids(spark, sf).select("row_id", TK.attention_mask(TK.pad_fixed("ids", 64)).alias("attention_mask"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from glossa.functions.text import tokens
 from glossa.operators import batches as B
 from glossa.operators import textmetrics as T
-from glossa.plans import report_plans
+from glossa.plans import report_plans  # noqa: F401  (registration order)
 from glossa.plans.registry import REGISTRY, query
 from glossa.session import shared_path
 from glossa.streaming import streams as S
@@ -23,8 +23,9 @@ def _paths(spark, name):
     return base + "/in", base + "/out", base + "/ckpt"
 
 
-@query("i1_stream_metrics", ops=("I1",), sql="SELECT system, 0 AS epoch, metric, value FROM ("
-       + report_plans._GEN_LONG + ")")
+# No SQL twin: the report includes ROUGE-L / ROUGE-Lsum (see text_plans). The stream result is
+# checked equal to the batch report (tests/test_streaming_io.py, tests/test_bruteforce.py).
+@query("i1_stream_metrics", ops=("I1",))
 def i1_stream_metrics(spark, sf):
     src, out, ck = _paths(spark, "metrics")
     staged = V.gen_eval(spark, sf).withColumn("epoch", F.lit(0))

@@ -85,18 +85,6 @@ SELECT system,
   round(avg(r) FILTER (WHERE n = 2), 6) AS rouge2_recall
 FROM prf2 GROUP BY system""", "gen_eval")
 
-_LCS_SQL = ("list_reduce(p, lambda prev, x: list_reduce(range(1, len(r) + 1), lambda row, j: "
-            "list_append(row, CASE WHEN x = r[j] THEN prev[j] + 1 ELSE greatest(prev[j + 1], row[j]) END), [0]), "
-            "list_transform(range(0, len(r) + 1), lambda z: 0))[-1]")
-
-_ROUGE_L_SQL = _with(_PAIRS_CTE + f""",
-lc AS (SELECT system, len(p) AS pl, len(r) AS rl, {_LCS_SQL} AS h FROM rt),
-prf AS (SELECT system, CASE WHEN pl = 0 OR rl = 0 THEN 0.0 ELSE h / pl END AS p,
-                       CASE WHEN pl = 0 OR rl = 0 THEN 0.0 ELSE h / rl END AS r FROM lc),
-prf2 AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM prf)
-SELECT system, round(avg(f), 6) AS rougeL_fmeasure, round(avg(p), 6) AS rougeL_precision,
-       round(avg(r), 6) AS rougeL_recall
-FROM prf2 GROUP BY system""", "gen_eval")
 
 _CHRF_SQL = _with(f"""
 , cw AS (SELECT row_id, system, 0 AS k, generated_text AS s FROM gen_eval
@@ -193,7 +181,7 @@ def f4_rouge_n(spark, sf):
     return round_doubles(T.rouge(V.gen_eval(spark, sf), keys=("rouge1", "rouge2"), by="system"))
 
 
-@query("f5_rouge_l", ops=("F5",), sql=_ROUGE_L_SQL)
+@query("f5_rouge_l", ops=("F5",))
 def f5_rouge_l(spark, sf):
     return round_doubles(T.rouge(V.gen_eval(spark, sf), keys=("rougeL",), by="system"))
 
@@ -208,52 +196,9 @@ def g4_tokens(spark, sf):
         F.array_join(rouge_tokens("generated_text"), " ").alias("rouge_text"))
 
 
-# ---- ROUGE-Lsum twin: union-LCS with the same backtracking, in list_reduce ------------
-
-def _sents(s: str) -> str:
-    split = (f"list_filter(string_split(regexp_replace(trim({s}), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), "
-             "lambda x: x <> '')")
-    return f"list_transform({split}, lambda q: {_rg('q')})"
-
-
-_LCS_TABLE = ("list_reduce(p, lambda rows, x: list_append(rows, list_reduce(range(1, len(r) + 1), lambda row, j: "
-              "list_append(row, CASE WHEN x = r[j] THEN rows[-1][j] + 1 ELSE greatest(rows[-1][j + 1], row[j]) END), "
-              "[0])), [list_transform(range(0, len(r) + 1), lambda z: 0)])")
-_BACKTRACK = ("list_reduce(range(0, len(p) + len(r)), lambda st, z: CASE WHEN st.i > 0 AND st.j > 0 THEN "
-              "CASE WHEN p[st.i] = r[st.j] THEN {'i': st.i - 1, 'j': st.j - 1, 'o': list_prepend(st.j - 1, st.o)} "
-              "WHEN tbl[st.i][st.j + 1] > tbl[st.i + 1][st.j] THEN {'i': st.i - 1, 'j': st.j, 'o': st.o} "
-              "ELSE {'i': st.i, 'j': st.j - 1, 'o': st.o} END ELSE st END, "
-              "{'i': CAST(len(p) AS BIGINT), 'j': CAST(len(r) AS BIGINT), 'o': CAST([] AS BIGINT[])})")
-
-_LSUM_PAIRS_CTE = f"""
-, pr AS (SELECT row_id, system, generated_text, unnest("references") AS ref,
-                unnest(range(0, len("references"))) AS ri FROM gen_eval),
-sp AS (SELECT row_id, system, ri, {_sents('generated_text')} AS ps, {_sents('ref')} AS rs FROM pr),
-tsp AS (SELECT row_id, system, ri, t, r, unnest(ps) AS p
-        FROM (SELECT row_id, system, ri, ps, unnest(rs) AS r, unnest(range(1, len(rs) + 1)) AS t FROM sp)),
-tb AS (SELECT *, {_LCS_TABLE} AS tbl FROM tsp),
-bk AS (SELECT row_id, system, ri, t, r, ({_BACKTRACK}).o AS o FROM tb),
-un AS (SELECT row_id, system, ri, t, any_value(r) AS r, list_distinct(flatten(list(o))) AS pos FROM bk GROUP BY ALL),
-uc AS (SELECT row_id, system, ri, tok, count(*) AS u
-       FROM (SELECT row_id, system, ri, r[q + 1] AS tok
-             FROM (SELECT row_id, system, ri, r, unnest(pos) AS q FROM un))
-       GROUP BY ALL),
-pc AS (SELECT row_id, system, tok, count(*) AS c
-       FROM (SELECT row_id, system, unnest(flatten({_sents('generated_text')})) AS tok FROM gen_eval) GROUP BY ALL),
-lh AS (SELECT uc.row_id, uc.system, uc.ri, sum(least(uc.u, pc.c)) AS h
-       FROM uc JOIN pc USING (row_id, system, tok) GROUP BY ALL),
-lsum AS (SELECT sp.system, sp.row_id, sp.ri, len(flatten(ps)) AS pl, len(flatten(rs)) AS rl, coalesce(lh.h, 0) AS h
-         FROM sp LEFT JOIN lh USING (row_id, system, ri)),
-lsum_prf AS (SELECT system, row_id, ri, CASE WHEN pl = 0 OR rl = 0 THEN 0.0 ELSE h / pl END AS p,
-                    CASE WHEN pl = 0 OR rl = 0 THEN 0.0 ELSE h / rl END AS r FROM lsum),
-lsum_prf2 AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM lsum_prf)"""
-
-_ROUGE_LSUM_SQL = _with(_LSUM_PAIRS_CTE + """
-SELECT system, round(avg(f), 6) AS rougeLsum_fmeasure, round(avg(p), 6) AS rougeLsum_precision,
-       round(avg(r), 6) AS rougeLsum_recall
-FROM lsum_prf2 GROUP BY system""", "gen_eval")
-
-
-@query("f6_rouge_lsum", ops=("F6", "G3"), sql=_ROUGE_LSUM_SQL)
+# ROUGE-L / ROUGE-Lsum have no SQL twin: a DuckDB LCS in nested list lambdas copies the DP row per
+# cell (O(m·n²) per pair) and does not finish on whole lines of thousands of tokens. Both are
+# checked against a brute-force dynamic-programming implementation (tests/test_bruteforce.py).
+@query("f6_rouge_lsum", ops=("F6", "G3"))
 def f6_rouge_lsum(spark, sf):
     return round_doubles(T.rouge(V.gen_eval(spark, sf), keys=("rougeLsum",), by="system"))

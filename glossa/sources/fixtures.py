@@ -7,10 +7,10 @@ twins (``SQL[name]``) are CTE bodies used by the oracle queries.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.functions.text import cut_text, cut_tokens, lines
+from glossa.functions.text import lines, tokens
 from glossa.sources.tables import load
 
 # Fixed values of the fixture definitions.
@@ -18,43 +18,68 @@ SYSTEMS = (("A", 7), ("B", 5))          # generated = reference 1 without every
 LABEL_SYSTEMS = (("A", 10, 1), ("B", 7, 2))  # doc_id % m = 0 -> (ref + shift) % 3
 TEST_EVERY, VAL_EVERY = 0, 1             # split = test if doc_id % 10 = 0, validation if = 1
 STEPS_PER_EPOCH = 2500
+CHUNK_STRIDE = 1 << 20                   # V1/V2 row_id = doc_id * 2^20 + chunk (a document has < 2^20 lines)
 
 
-def nli(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1: documents with >= 5 non-blank lines as NLI rows with 3 explanations."""
+def _chunked(spark: SparkSession, sf_dir: str, fields: tuple[str, ...]) -> DataFrame:
+    """Every non-blank line of every document, in chunks of ``len(fields)``
+    consecutive lines: field j of chunk c is line ``(c·w + j) mod n`` (0-based,
+    n lines), so the last chunk wraps to the start of its own document instead
+    of leaving a field empty. Nothing is cut or dropped; a document without a
+    non-blank line has no text and no chunk.
+
+    The chunks are built in-row (one array of structs per document) and then
+    exploded, so a row never carries its document's whole line array."""
+    w = len(fields)
     docs = load(spark, sf_dir, "documents").select("doc_id", lines("text").alias("l"))
-    l = F.col("l")
-    return (
-        docs.filter(F.size(l) >= 5)
-        .select(
-            F.col("doc_id").alias("row_id"),
-            F.when(F.col("doc_id") % 10 == TEST_EVERY, "test")
-            .when(F.col("doc_id") % 10 == VAL_EVERY, "validation")
-            .otherwise("train").alias("split"),
-            l[0].alias("premise"),
-            l[1].alias("hypothesis"),
-            (F.col("doc_id") % 3).cast("int").alias("label"),
-            l[2].alias("explanation_1"),
-            l[3].alias("explanation_2"),
-            l[4].alias("explanation_3"),
-        )
+    l, n = F.col("l"), F.size("l")
+
+    def chunk(c: Column) -> Column:
+        return F.struct(c.alias("chunk"), *[F.element_at(l, (c * w + j) % n + 1).alias(f)
+                                            for j, f in enumerate(fields)])
+
+    last = F.expr(f"cast((size(l) + {w - 1}) div {w} - 1 AS INT)")
+    return docs.filter(n > 0).select(
+        "doc_id", F.explode(F.transform(F.sequence(F.lit(0), last), chunk)).alias("c")
+    ).select((F.col("doc_id") * CHUNK_STRIDE + F.col("c.chunk")).alias("row_id"), "doc_id",
+             *[F.col(f"c.{f}").alias(f) for f in fields])
+
+
+def doc_of(row_id: str = "row_id") -> Column:
+    """The document a V1 / V2 row comes from (the key of ``labels``)."""
+    return F.expr(f"{row_id} div {CHUNK_STRIDE}")
+
+
+def nli(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1: chunks of 5 consecutive lines as NLI rows with 3 explanations."""
+    rows = _chunked(spark, sf_dir, ("premise", "hypothesis", "explanation_1", "explanation_2", "explanation_3"))
+    return rows.select(
+        "row_id",
+        F.when(F.col("doc_id") % 10 == TEST_EVERY, "test")
+        .when(F.col("doc_id") % 10 == VAL_EVERY, "validation")
+        .otherwise("train").alias("split"),
+        "premise",
+        "hypothesis",
+        (F.col("row_id") % 3).cast("int").alias("label"),
+        "explanation_1",
+        "explanation_2",
+        "explanation_3",
     )
 
 
 def gen_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V2: one row per (document, system): input, generated text, 3 references.
+    """V2: one row per (chunk of 4 lines, system): input, generated text, 3 references.
 
     Both systems come from one scan: the (system, k) pairs are exploded from a
     literal array rather than unioning two scans of ``documents``.
     """
-    docs = load(spark, sf_dir, "documents").select("doc_id", lines("text").alias("l"))
+    rows = _chunked(spark, sf_dir, ("input_text", "r1", "r2", "r3"))
     systems = F.array(*[F.struct(F.lit(s).alias("system"), F.lit(k).alias("k")) for s, k in SYSTEMS])
-    l = F.col("l")
-    base = docs.filter(F.size(l) >= 4).select(
-        F.col("doc_id").alias("row_id"),
-        l[0].alias("input_text"),
-        cut_tokens(l[1]).alias("t"),
-        F.array(cut_text(l[1]), cut_text(l[2]), cut_text(l[3])).alias("references"),
+    base = rows.select(
+        "row_id",
+        "input_text",
+        tokens("r1").alias("t"),
+        F.array("r1", "r2", "r3").alias("references"),
         F.explode(systems).alias("s"),
     )
     k = F.col("s.k")
@@ -176,27 +201,30 @@ BUILDERS = {
 # ---------------------------------------------------------------------------
 
 _LINES = "list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0)"
-_TOK = "list_filter(regexp_split_to_array(trim({s}), '\\s+'), lambda x: x <> '')[1:128]"
+_TOK = "list_filter(regexp_split_to_array(trim({s}), '\\s+'), lambda x: x <> '')"
 
 
-def _cut(s: str) -> str:
-    return "array_to_string(" + _TOK.format(s=s) + ", ' ')"
+def _chunked_sql(*fields: str) -> str:
+    """Twin of ``_chunked``: DuckDB lists are 1-based, ``range`` excludes its end."""
+    w = len(fields)
+    cols = ", ".join(f"l[(c * {w} + {j}) % len(l) + 1] AS {f}" for j, f in enumerate(fields))
+    return f"""(SELECT doc_id * {CHUNK_STRIDE} + c AS row_id, doc_id, {cols}
+  FROM (SELECT doc_id, l, unnest(range(0, (len(l) + {w - 1}) // {w})) AS c
+        FROM (SELECT doc_id, {_LINES} AS l FROM documents) WHERE len(l) > 0))"""
 
 
 SQL = {
     "nli": f"""
-SELECT doc_id AS row_id,
+SELECT row_id,
        CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'validation' ELSE 'train' END AS split,
-       l[1] AS premise, l[2] AS hypothesis, CAST(doc_id % 3 AS INTEGER) AS label,
-       l[3] AS explanation_1, l[4] AS explanation_2, l[5] AS explanation_3
-FROM (SELECT doc_id, {_LINES} AS l FROM documents) WHERE len(l) >= 5""",
+       premise, hypothesis, CAST(row_id % 3 AS INTEGER) AS label, explanation_1, explanation_2, explanation_3
+FROM {_chunked_sql('premise', 'hypothesis', 'explanation_1', 'explanation_2', 'explanation_3')}""",
     "gen_eval": f"""
 SELECT row_id, s.system AS system, input_text,
        array_to_string(list_filter(t, lambda x, i: (i - 1) % s.k <> s.k - 1), ' ') AS generated_text,
        refs AS "references"
-FROM (SELECT doc_id AS row_id, l[1] AS input_text, {_TOK.format(s='l[2]')} AS t,
-             [{_cut('l[2]')}, {_cut('l[3]')}, {_cut('l[4]')}] AS refs
-      FROM (SELECT doc_id, {_LINES} AS l FROM documents) WHERE len(l) >= 4)
+FROM (SELECT row_id, input_text, {_TOK.format(s='r1')} AS t, [r1, r2, r3] AS refs
+      FROM {_chunked_sql('input_text', 'r1', 'r2', 'r3')})
 CROSS JOIN (VALUES ('A', 7), ('B', 5)) AS s(system, k)""",
     "label_preds": """
 SELECT row_id, s.system AS system, CAST(ref AS INTEGER) AS reference_label,
