@@ -1,9 +1,8 @@
-"""Native n-gram expressions (F1) and clipped multiset overlap.
+"""Native n-gram expressions (F1) and the BLEU closest reference length.
 
-A gram is the space-joined token window (tokens never contain spaces). The
-clipped overlap Σ_g min(c_pred(g), max_r c_ref_r(g)) is computed in-row with
-``array_distinct`` + ``array_remove`` (compiled loops), so no row is exploded
-and nothing is shuffled for sentence-level counts.
+A gram is the space-joined token window (tokens never contain spaces). Clipped
+overlaps are counted per text with hashed counters (``functions.seqstats``),
+which stay linear on whole lines.
 """
 
 from __future__ import annotations
@@ -33,26 +32,6 @@ def char_ngrams(text: Column, n: int) -> Column:
     ).otherwise(_empty())
 
 
-def count_of(arr: Column, x: Column) -> Column:
-    return F.size(arr) - F.size(F.array_remove(arr, x))
-
-
-def clipped_overlap(pred_grams: Column, ref_grams: Column) -> Column:
-    """Σ_g min(count in pred, count in ref) for one reference."""
-    return F.aggregate(
-        F.array_distinct(pred_grams), F.lit(0).cast("bigint"),
-        lambda acc, g: acc + F.least(count_of(pred_grams, g), count_of(ref_grams, g)))
-
-
-def clipped_overlap_multi(pred_grams: Column, refs_grams: Column) -> Column:
-    """Σ_g min(count in pred, max over references of count in ref) (BLEU clipping)."""
-    return F.aggregate(
-        F.array_distinct(pred_grams), F.lit(0).cast("bigint"),
-        lambda acc, g: acc + F.least(
-            count_of(pred_grams, g),
-            F.coalesce(F.array_max(F.transform(refs_grams, lambda r: count_of(r, g))), F.lit(0))))
-
-
 def closest_length(pred_len: Column, ref_lens: Column) -> Column:
     """Length of the reference closest to pred_len; the first listed wins a tie."""
     init = F.struct(F.lit(None).cast("int").alias("d"), F.lit(0).alias("len"))

@@ -5,7 +5,11 @@ array functions cannot express in linear time:
   bit-parallel row recurrence V' = (V + U) | (V - U), U = V & match(t): one
   machine-word pass per predicted token instead of an O(m·n) table of lambdas;
 * chrF++ n-gram statistics (character 1–6-grams, word 1–2-grams) with hashed
-  counters, which are O(n) where sorted-array tricks are O(n²).
+  counters, which are O(n) where sorted-array tricks are O(n²);
+* clipped n-gram overlaps for BLEU (max count over references) and ROUGE-1/2,
+  also with hashed counters: native ``array_remove`` counting is
+  O(distinct × n) per text, which whole lines of thousands of tokens make
+  quadratic.
 
 They run inside Arrow-batched pandas UDFs on Spark partitions (see
 ``glossa.operators.textmetrics``); nothing here touches Spark.
@@ -83,6 +87,58 @@ def lcs_target_positions(pred, target) -> list[int]:
     return out
 
 
+def ngram_counts(toks, n: int) -> Counter:
+    """Counts of the n-token windows of ``toks`` (tuples)."""
+    return Counter(zip(*(toks[i:] for i in range(n)))) if n > 1 else Counter(toks)
+
+
+def clipped(pred: Counter, ref: Counter) -> int:
+    """Σ_g min(pred(g), ref(g)), iterating the smaller counter."""
+    if len(pred) > len(ref):
+        pred, ref = ref, pred
+    return sum(min(c, ref[g]) for g, c in pred.items() if g in ref)
+
+
+def bleu_clipped(pred, refs, n_max: int) -> list[int]:
+    """Per order 1..n_max: Σ_g min(count in pred, max over references of count)."""
+    pred = list(pred)
+    refs = [list(r) for r in (refs if refs is not None else [])]
+    out = []
+    for n in range(1, n_max + 1):
+        pc = ngram_counts(pred, n)
+        if not pc:
+            out.append(0)
+            continue
+        best: Counter = Counter()
+        for r in refs:
+            rc = ngram_counts(r, n)
+            for g in pc.keys() & rc.keys():
+                if rc[g] > best[g]:
+                    best[g] = rc[g]
+        out.append(sum(min(c, best[g]) for g, c in pc.items() if g in best))
+    return out
+
+
+def rouge_hits(pred_sents, target_sents, keys) -> dict:
+    """Hit counts of one (prediction, reference) pair for the requested ROUGE
+    keys, from sentence-split normalised tokens (the flattened sentences are
+    the text's tokens)."""
+    ps = [list(s) for s in (pred_sents if pred_sents is not None else [])]
+    ts = [list(s) for s in (target_sents if target_sents is not None else [])]
+    p = [t for s in ps for t in s]
+    t = [x for s in ts for x in s]
+    out = {"pl": len(p), "tl": len(t)}
+    if "rouge1" in keys:
+        out["rouge1"] = clipped(Counter(p), Counter(t))
+    if "rouge2" in keys:
+        out["rouge2"] = clipped(ngram_counts(p, 2), ngram_counts(t, 2))
+    if "rougeL" in keys:
+        out["rougeL"] = lcs_length(p, t)
+    if "rougeLsum" in keys:
+        out["rougeLsum"] = union_lcs_hits(ps, ts)
+    return out
+
+
 def union_lcs_hits(pred_sents, target_sents) -> int:
     """ROUGE-Lsum hits: for each target sentence, the union of its LCS-matched
     positions over all predicted sentences; each token type is consumed at most

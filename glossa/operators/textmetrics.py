@@ -7,14 +7,18 @@ Plan shape for every corpus metric:
          → closed-form formula on K rows.
 
 Texts are never collected; the only exchange carries one row of partial sums
-per task and group. n-gram clipping runs natively (``glossa.functions.ngrams``);
-LCS and chrF++ counting run in Arrow-batched pandas UDFs because their
-sequential / hashed-counter form has no linear-time native expression.
+per task and group. Tokenisation, sentence splitting, lengths and the
+closing formulas are native expressions; the per-text counting (clipped
+n-gram overlaps, LCS, union-LCS, chrF++ n-grams) runs in Arrow-batched pandas
+UDFs because its hashed-counter / bit-parallel form is linear per text and
+has no linear-time native expression (native ``array_remove`` counting is
+O(distinct × n), quadratic on whole lines of thousands of tokens).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,9 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossa.functions import seqstats
-from glossa.functions.ngrams import (
-    char_ngrams, clipped_overlap, clipped_overlap_multi, closest_length, word_ngrams,
-)
+from glossa.functions.ngrams import char_ngrams, closest_length, word_ngrams
 from glossa.functions.text import chrf_words, rouge_tokens, sentences, tokens
 
 PRED, REFS = "generated_text", "references"
@@ -60,15 +62,26 @@ def _inputs(df: DataFrame, by: list[str], pred: str, refs: str, key: str = "row_
 
 # ---- pandas UDFs (Arrow batches; one Python call per batch, not per row) ----
 
-@F.pandas_udf(T.IntegerType())
-def lcs_length_udf(pred: pd.Series, target: pd.Series) -> pd.Series:
-    return pd.Series([seqstats.lcs_length(p, t) for p, t in zip(pred, target)], dtype="int32")
+@lru_cache(maxsize=None)
+def bleu_clip_udf(n_max: int):
+    """(tokens, reference tokens) → clipped n-gram matches for orders 1..n_max."""
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def clip(pred: pd.Series, refs: pd.Series) -> pd.Series:
+        return pd.Series([seqstats.bleu_clipped(p, r, n_max) for p, r in zip(pred, refs)], dtype=object)
+    return clip
 
 
-@F.pandas_udf(T.IntegerType())
-def union_lcs_hits_udf(pred_sents: pd.Series, target_sents: pd.Series) -> pd.Series:
-    return pd.Series([seqstats.union_lcs_hits(p, t) for p, t in zip(pred_sents, target_sents)],
-                     dtype="int32")
+@lru_cache(maxsize=None)
+def rouge_hits_udf(keys: tuple[str, ...]):
+    """(prediction sentences, reference sentences) of one pair → token counts and
+    the hit count of every requested ROUGE key, in one Python call per pair."""
+    names = ("pl", "tl", *keys)
+
+    @F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in names]))
+    def hits(ps: pd.Series, ts: pd.Series) -> pd.DataFrame:
+        rows = [seqstats.rouge_hits(p, t, keys) for p, t in zip(ps, ts)]
+        return pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype="int32") for n in names})
+    return hits
 
 
 _COUNTS = T.ArrayType(T.LongType())
@@ -114,24 +127,16 @@ def expand_refs(df: DataFrame, refs: str = REFS) -> DataFrame:
 
 # ---- row statistics ------------------------------------------------------------
 
-def _ngrams_of(k: int):
-    """One-argument lambda for ``transform`` (a 2-argument one would get the index)."""
-    return lambda r: word_ngrams(r, k)
-
-
 def _bleu_stats(df: DataFrame, pred: str, refs: str, n_max: int) -> DataFrame:
     """Adds bleu_c, bleu_r, bleu_num_k, bleu_den_k (k = 1..n_max) per row."""
     s1 = df.withColumn("_pt", tokens(pred)).withColumn("_rt", F.transform(refs, tokens))
-    for k in range(1, n_max + 1):
-        s1 = s1.withColumn(f"_pg{k}", word_ngrams(F.col("_pt"), k)).withColumn(
-            f"_rg{k}", F.transform("_rt", _ngrams_of(k)))
+    s1 = s1.withColumn("_clip", bleu_clip_udf(n_max)(F.col("_pt"), F.col("_rt")))
     out = s1.withColumn("bleu_c", F.size("_pt")).withColumn(
         "bleu_r", closest_length(F.size("_pt"), F.transform("_rt", F.size)))
     for k in range(1, n_max + 1):
-        out = out.withColumn(f"bleu_num_{k}", clipped_overlap_multi(F.col(f"_pg{k}"), F.col(f"_rg{k}")))
-        out = out.withColumn(f"bleu_den_{k}", F.size(f"_pg{k}").cast("bigint"))
-    return out.drop("_pt", "_rt", *[f"_pg{k}" for k in range(1, n_max + 1)],
-                    *[f"_rg{k}" for k in range(1, n_max + 1)])
+        out = out.withColumn(f"bleu_num_{k}", F.col("_clip")[k - 1])
+        out = out.withColumn(f"bleu_den_{k}", F.greatest(F.size("_pt") - (k - 1), F.lit(0)).cast("bigint"))
+    return out.drop("_pt", "_rt", "_clip")
 
 
 def _bleu_formula(n_max: int) -> Column:
@@ -207,29 +212,24 @@ def rouge_pairs(df: DataFrame, pred: str = PRED, refs: str = REFS, keys=ROUGE_KE
                 carry: Sequence[str] = ()) -> DataFrame:
     """Per (prediction, reference) pair: P/R/F for the requested ROUGE keys.
 
-    Prediction-side tokens are computed once per row, before the references are
-    exploded (F9), so the explode multiplies only the reference side.
+    Prediction sentences are split and normalised once per row, before the
+    references are exploded (F9); every key's hit count for a pair comes from
+    one Python call on the sentence tokens (whose concatenation is the text's
+    ROUGE tokens).
     """
     keys = tuple(keys)
-    row = df.withColumn("_pt", rouge_tokens(pred))
-    if "rouge2" in keys:
-        row = row.withColumn("_pg2", word_ngrams(F.col("_pt"), 2))
-    if "rougeLsum" in keys:
-        row = row.withColumn("_ps", F.transform(sentences(pred), rouge_tokens))
-    pairs = row.select("*", F.posexplode(refs).alias("ref_idx", "_ref")).withColumn("_rt", rouge_tokens("_ref"))
-    if "rouge2" in keys:
-        pairs = pairs.withColumn("_rg2", word_ngrams(F.col("_rt"), 2))
-    if "rougeLsum" in keys:
-        pairs = pairs.withColumn("_rs", F.transform(sentences("_ref"), rouge_tokens))
-    pl, rl = F.size("_pt"), F.size("_rt")
-    if "rouge1" in keys:
-        pairs = _prf(pairs, clipped_overlap(F.col("_pt"), F.col("_rt")), pl, rl, "rouge1")
-    if "rouge2" in keys:
-        pairs = _prf(pairs, clipped_overlap(F.col("_pg2"), F.col("_rg2")), F.size("_pg2"), F.size("_rg2"), "rouge2")
-    if "rougeL" in keys:
-        pairs = _prf(pairs, lcs_length_udf(F.col("_pt"), F.col("_rt")), pl, rl, "rougeL")
-    if "rougeLsum" in keys:
-        pairs = _prf(pairs, union_lcs_hits_udf(F.col("_ps"), F.col("_rs")), pl, rl, "rougeLsum")
+    if not keys:
+        return df.select(*carry, F.posexplode(refs).alias("ref_idx", "_ref")).drop("_ref")
+    row = df.withColumn("_ps", F.transform(sentences(pred), rouge_tokens))
+    pairs = row.select("*", F.posexplode(refs).alias("ref_idx", "_ref")) \
+        .withColumn("_rs", F.transform(sentences("_ref"), rouge_tokens))
+    pairs = pairs.withColumn("_h", rouge_hits_udf(keys)(F.col("_ps"), F.col("_rs")))
+    pl, tl = F.col("_h.pl"), F.col("_h.tl")
+    for k in keys:
+        if k == "rouge2":
+            pairs = _prf(pairs, F.col("_h.rouge2"), F.greatest(pl - 1, F.lit(0)), F.greatest(tl - 1, F.lit(0)), k)
+        else:
+            pairs = _prf(pairs, F.col(f"_h.{k}"), pl, tl, k)
     return pairs.select(*carry, "ref_idx", *_rouge_cols(keys))
 
 
