@@ -33,9 +33,9 @@ def _masks(target) -> dict:
     return masks
 
 
-def _rows(pred, target):
+def _rows(pred, target, masks=None):
     """Bit rows V_0..V_m over target positions; bit j set = no LCS step at j."""
-    masks = _masks(target)
+    masks = _masks(target) if masks is None else masks
     full = (1 << len(target)) - 1
     v = full
     rows = [v]
@@ -62,12 +62,13 @@ def lcs_length(pred, target) -> int:
     return len(target) - v.bit_count()
 
 
-def lcs_target_positions(pred, target) -> list[int]:
+def lcs_target_positions(pred, target, masks=None) -> list[int]:
     """Target positions of one LCS, backtracking from the end; on a tie the
-    prediction index moves first only when that keeps a strictly longer LCS."""
+    prediction index moves first only when that keeps a strictly longer LCS.
+    ``masks`` (``_masks(target)``) may be passed when the target is reused."""
     if len(pred) == 0 or len(target) == 0:
         return []
-    rows = _rows(pred, target)
+    rows = _rows(pred, target, masks)
 
     def table(i: int, j: int) -> int:
         return j - (rows[i] & ((1 << j) - 1)).bit_count()
@@ -149,11 +150,19 @@ def union_lcs_hits(pred_sents, target_sents) -> int:
         return 0
     pred_left = Counter(t for s in pred_sents for t in s)
     target_left = Counter(t for s in target_sents for t in s)
+    pred_sets = [set(p) for p in pred_sents]
     hits = 0
     for tgt in target_sents:
+        masks = _masks(tgt)  # once per target sentence, shared by every predicted sentence
+        # positions an LCS can reach: target tokens that occur somewhere in the prediction
+        reachable = sum(1 for t in tgt if t in pred_left)
         union: set[int] = set()
-        for p in pred_sents:
-            union.update(lcs_target_positions(p, tgt))
+        for p, ps in zip(pred_sents, pred_sets):
+            if len(union) == reachable:
+                break  # nothing left to add
+            if ps.isdisjoint(masks):
+                continue  # LCS 0: contributes no position
+            union.update(lcs_target_positions(p, tgt, masks))
         for pos in sorted(union):
             tok = tgt[pos]
             if pred_left[tok] > 0 and target_left[tok] > 0:

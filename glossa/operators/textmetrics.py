@@ -51,7 +51,8 @@ def spread(df: DataFrame, key: str = "row_id") -> DataFrame:
     n = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= n:
         return df
-    return df.repartition(n, key) if key in df.columns else df.repartition(n)
+    # several tasks per core: per-row cost is heavy-tailed (whole lines of thousands of tokens)
+    return df.repartition(4 * n, key) if key in df.columns else df.repartition(4 * n)
 
 
 def _inputs(df: DataFrame, by: list[str], pred: str, refs: str, key: str = "row_id") -> DataFrame:
