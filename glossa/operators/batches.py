@@ -55,20 +55,30 @@ def prepare(nli: DataFrame, vocab: DataFrame, style: str = "canonical", max_sour
     validation/test splits also get ``explanation_1..3`` padded to 128 with 0
     (train rows carry nulls there).
 
-    The four texts of a row are encoded together: explode (in-stage) →
-    vocabulary lookup (broadcast when bounded) → ONE shuffle on ``row_id``."""
+    The four texts of a row are encoded together: one lookup in the broadcast
+    vocabulary when its measured size fits (in-stage, no shuffle); else
+    explode → join on the token → ONE shuffle on ``row_id``."""
     texts = [prep.input_text(style=style), F.col("explanation_1"), F.col("explanation_2"), F.col("explanation_3")]
-    long = nli.select("row_id", "split", "label", F.posexplode(F.array(*texts)).alias("_field", "_text"))
-    toks = long.select("row_id", "split", "label", "_field",
-                       F.posexplode_outer(TK.tokens("_text")).alias("_pos", "token"))
-    joined = toks.join(TK._vocab_side(vocab, max_size, 64), "token", "left")
-    item = F.when(F.col("_pos").isNotNull(),
-                  F.struct("_field", "_pos", F.coalesce("id", F.lit(TK.UNK)).alias("id")))
-    per_row = joined.groupBy("row_id", "split", "label").agg(F.sort_array(F.collect_list(item)).alias("_all"))
+    table = TK.vocab_table(vocab)
+    if table is not None:
+        per_row = nli.select("row_id", "split", "label", TK.token_ids(nli.sparkSession, table, texts).alias("_f"))
+
+        def own(i: int):
+            return F.col("_f")[i]
+    else:
+        long = nli.select("row_id", "split", "label", F.posexplode(F.array(*texts)).alias("_field", "_text"))
+        toks = long.select("row_id", "split", "label", "_field",
+                           F.posexplode_outer(TK.tokens("_text")).alias("_pos", "token"))
+        joined = toks.join(TK._vocab_side(vocab), "token", "left")
+        item = F.when(F.col("_pos").isNotNull(),
+                      F.struct("_field", "_pos", F.coalesce("id", F.lit(TK.UNK)).alias("id")))
+        per_row = joined.groupBy("row_id", "split", "label").agg(F.sort_array(F.collect_list(item)).alias("_all"))
+
+        def own(i: int):
+            return F.transform(F.filter("_all", lambda s: s["_field"] == i), lambda s: s["id"])
 
     def ids(i: int, n: int):
-        own = F.transform(F.filter("_all", lambda s: s["_field"] == i), lambda s: s["id"])
-        return TK.truncate(F.concat(own, F.array(F.lit(TK.EOS))), n)
+        return TK.truncate(F.concat(own(i), F.array(F.lit(TK.EOS))), n)
 
     enc = per_row.select("row_id", "split", "label", ids(0, max_source).alias("input_ids"),
                          *[ids(i, max_target).alias(f"_e{i}") for i in (1, 2, 3)])

@@ -4,17 +4,23 @@ tokenizer to a corpus vocabulary DataFrame.
 Special ids (fixed values): pad 0, eos 1, unk 2; ordinary ids start at 3.
 Label ignore index -100.
 
-The vocabulary has at most ``max_size`` rows by construction (a top-k), so it
-is broadcast only when ``max_size`` × the longest token fits the broadcast
-budget; beyond that the joins shuffle on the token.
+The vocabulary has at most ``max_size`` rows by construction (a top-k), but a
+token's length is unbounded, so its byte size is *measured* (in the same job
+that gathers it) and it is broadcast only when that fits the budget. Then
+encoding and decoding are per-row lookups in the broadcast table (one Arrow
+UDF call per batch: no explode, no shuffle of the tokens). Beyond the budget,
+tokens are exploded and joined with the vocabulary, which shuffles on the
+token, and regrouped by row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glossa.functions.text import tokens  # noqa: F401  (re-exported)
 
@@ -33,9 +39,40 @@ def build_vocab(df: DataFrame, cols: Sequence[str], max_size: int = 32000) -> Da
     return top.select("token", (F.row_number().over(w) + (FIRST_ID - 1)).cast("int").alias("id"))
 
 
-def _vocab_side(vocab: DataFrame, max_size: int, max_token_bytes: int) -> DataFrame:
-    if max_size * (max_token_bytes + 16) <= BROADCAST_BUDGET:
-        return F.broadcast(vocab)
+def vocab_table(vocab: DataFrame, budget: int | None = None) -> dict | None:
+    """``{token: id}`` when the vocabulary's measured size fits ``budget``, else None.
+
+    One job: the byte size and the entries are aggregated together (the top-k
+    is already a single partition of at most ``max_size`` rows) and the entries
+    reach the driver only when the size fits."""
+    budget = BROADCAST_BUDGET if budget is None else budget
+    nbytes = F.coalesce(F.sum(F.octet_length("token") + 16), F.lit(0))
+    row = vocab.agg(nbytes.alias("b"), F.collect_list(F.struct("token", "id")).alias("e")).select(
+        F.when(F.col("b") <= budget, F.col("e")).alias("e")).first()
+    if row is None or row["e"] is None:
+        return None
+    return {t: i for t, i in row["e"]}
+
+
+def _lookup_udf(spark, table: dict, out_type: T.DataType, default):
+    """Arrow UDF mapping ``array<array<key>>`` through a broadcast dict; None lists become []."""
+    bc = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(out_type)))
+    def lookup(rows: pd.Series) -> pd.Series:
+        get = bc.value.get
+        return pd.Series([[[get(x, default) for x in xs] if xs is not None else [] for xs in row]
+                          for row in rows], dtype=object)
+    return lookup
+
+
+def token_ids(spark, table: dict, texts: Sequence[Column]) -> Column:
+    """``array<array<int>>``: the ids of the whitespace tokens of each text (OOV → unk), no eos."""
+    return _lookup_udf(spark, table, T.IntegerType(), UNK)(F.array(*[tokens(t) for t in texts]))
+
+
+def _vocab_side(vocab: DataFrame) -> DataFrame:
+    """Join side when the vocabulary did not fit the broadcast budget (measured)."""
     return vocab
 
 
@@ -76,17 +113,22 @@ def shift_right(ids) -> Column:
 
 
 def encode(df: DataFrame, col: str, vocab: DataFrame, max_len: int, key: str = "row_id",
-           out: str | None = None, max_size: int = 32000, max_token_bytes: int = 64) -> DataFrame:
+           out: str | None = None, max_size: int = 32000) -> DataFrame:
     """C2 (+C3): ids of the whitespace tokens of ``col`` (OOV → unk), eos
     appended, truncated to ``max_len`` with eos kept. Returns ``(key, out)``.
 
-    Plan: explode (in-stage) → vocabulary lookup (broadcast when bounded) →
-    one shuffle on ``key`` to regroup a row's ids; ``posexplode_outer`` keeps
-    rows without tokens so no second join is needed.
+    Plan: lookup in the broadcast vocabulary, in-stage (no shuffle), when its
+    measured size fits; else explode → join on the token → one shuffle on
+    ``key`` to regroup a row's ids (``posexplode_outer`` keeps rows without
+    tokens). ``max_size`` bounds the vocabulary's rows (it is a top-k).
     """
     out = out or f"{col}_ids"
+    table = vocab_table(vocab)
+    if table is not None:
+        ids = F.concat(token_ids(df.sparkSession, table, [F.col(col)])[0], F.array(F.lit(EOS)))
+        return df.select(key, truncate(ids, max_len).alias(out))
     exploded = df.select(key, F.posexplode_outer(tokens(col)).alias("_pos", "token"))
-    joined = exploded.join(_vocab_side(vocab, max_size, max_token_bytes), "token", "left")
+    joined = exploded.join(_vocab_side(vocab), "token", "left")
     item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("id", F.lit(UNK)).alias("id")))
     per_row = joined.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("_ids"))
     ids = F.concat(F.transform("_ids", lambda s: s["id"]), F.array(F.lit(EOS)))
@@ -94,11 +136,18 @@ def encode(df: DataFrame, col: str, vocab: DataFrame, max_len: int, key: str = "
 
 
 def decode(df: DataFrame, col: str, vocab: DataFrame, key: str = "row_id", out: str | None = None,
-           max_size: int = 32000, max_token_bytes: int = 64) -> DataFrame:
-    """Ids → text joined by spaces, skipping special ids (pad, eos, unk)."""
+           max_size: int = 32000) -> DataFrame:
+    """Ids → text joined by spaces, skipping special ids (pad, eos, unk)
+    and ids outside the vocabulary. Same plan choice as ``encode``."""
     out = out or f"{col}_text"
+    table = vocab_table(vocab)
+    if table is not None:
+        inverse = {i: t for t, i in table.items()}
+        kept = F.filter(unmask_labels(col), lambda x: ~x.isin(*SPECIAL_IDS))
+        toks = _lookup_udf(df.sparkSession, inverse, T.StringType(), None)(F.array(kept))[0]
+        return df.select(key, F.array_join(toks, " ").alias(out))  # array_join skips nulls (unknown ids)
     exploded = df.select(key, F.posexplode_outer(unmask_labels(col)).alias("_pos", "id"))
-    joined = exploded.join(_vocab_side(vocab, max_size, max_token_bytes), "id", "left")
+    joined = exploded.join(_vocab_side(vocab), "id", "left")
     keep = F.col("_pos").isNotNull() & ~F.col("id").isin(*SPECIAL_IDS) & F.col("token").isNotNull()
     per_row = joined.groupBy(key).agg(
         F.sort_array(F.collect_list(F.when(keep, F.struct("_pos", "token")))).alias("_t"))

@@ -72,3 +72,25 @@ def test_greedy_match_blocking_does_not_change_scores(spark):
     assert a.keys() == b.keys() and len(a) > 0
     for k in a:
         assert a[k] == pytest.approx(b[k])
+
+
+def test_vocabulary_paths_agree(spark, monkeypatch):
+    """Broadcast-table lookup (measured size fits) and explode+join+regroup (it does not) give the same ids and text."""
+    from glossa.operators import batches as B
+    from glossa.operators import tokens as TK
+    from glossa.plans import prep_plans as PP
+    nli = V.nli(spark, SF_SMALL)
+    vocab = PP._vocab(spark, SF_SMALL)
+
+    def run():
+        ids = TK.encode(nli, "hypothesis", vocab, 64, out="ids")
+        text = TK.decode(ids, "ids", vocab, out="text")
+        prep = B.prepare(nli, vocab)
+        return (sorted(map(tuple, ids.collect())), sorted(map(tuple, text.collect())),
+                sorted((r.row_id, tuple(r.input_ids), tuple(r.labels)) for r in prep.collect()))
+
+    assert TK.vocab_table(vocab) is not None
+    fast = run()
+    monkeypatch.setattr(TK, "BROADCAST_BUDGET", 0)
+    assert TK.vocab_table(vocab) is None
+    assert run() == fast
