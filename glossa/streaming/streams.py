@@ -28,13 +28,20 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from glossa.operators import textmetrics as TM
 
 
+ROWS_PER_FILE = 1 << 20  # bound on the rows one staging task writes
+
+
 def stage_files(df: DataFrame, path: str, n_files: int, order: Sequence[str]) -> str:
-    """Write ``df`` as ``n_files`` Parquet files in ``order`` ranges (a replayable
-    file source whose files arrive as separate micro-batches). The ranges are
-    written one after the other, so file modification times follow the order
-    and the file source replays them in event-time order."""
+    """Write ``df`` as at least ``n_files`` Parquet files in ``order`` ranges (a
+    replayable file source whose files arrive as separate micro-batches). The
+    ranges are written one after the other, so file modification times follow
+    the order and the file source replays them in event-time order. Each range
+    is one sorted file written by one task, so the number of ranges grows with
+    the rows (at most about ``ROWS_PER_FILE`` per range). Range bounds are
+    approximate quantiles: every row still falls in exactly one range."""
     first = order[0]
-    bounds = df.approxQuantile(first, [i / n_files for i in range(1, n_files)], 0.0) if n_files > 1 else []
+    n_files = max(n_files, -(-df.count() // ROWS_PER_FILE))
+    bounds = df.approxQuantile(first, [i / n_files for i in range(1, n_files)], 1e-3) if n_files > 1 else []
     edges = [None] + bounds + [None]
     for i in range(n_files):
         lo, hi = edges[i], edges[i + 1]
