@@ -221,9 +221,14 @@ def rouge_pairs(df: DataFrame, pred: str = PRED, refs: str = REFS, keys=ROUGE_KE
     keys = tuple(keys)
     if not keys:
         return df.select(*carry, F.posexplode(refs).alias("ref_idx", "_ref")).drop("_ref")
-    row = df.withColumn("_ps", F.transform(sentences(pred), rouge_tokens))
-    pairs = row.select("*", F.posexplode(refs).alias("ref_idx", "_ref")) \
-        .withColumn("_rs", F.transform(sentences("_ref"), rouge_tokens))
+    if "rougeLsum" in keys:
+        def split(t):
+            return F.transform(sentences(t), rouge_tokens)
+    else:  # no sentence structure needed: the whole text is one "sentence"
+        def split(t):
+            return F.array(rouge_tokens(t))
+    row = df.withColumn("_ps", split(pred))
+    pairs = row.select("*", F.posexplode(refs).alias("ref_idx", "_ref")).withColumn("_rs", split("_ref"))
     pairs = pairs.withColumn("_h", rouge_hits_udf(keys)(F.col("_ps"), F.col("_rs")))
     pl, tl = F.col("_h.pl"), F.col("_h.tl")
     for k in keys:
