@@ -17,6 +17,7 @@ They run inside Arrow-batched pandas UDFs on Spark partitions (see
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 # chrF++ orders and beta.
@@ -25,6 +26,28 @@ WORD_ORDER = 2
 BETA = 2.0
 _PUNCT = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
+# The tokenisation of ``glossa.functions.text`` in Python ``re``. Java's ``\s`` (no
+# Unicode flag) is exactly [ \t\n\x0B\f\r]; Spark's ``trim`` strips spaces only; empties are
+# dropped. tests/test_seqstats.py checks token-for-token equality with the Spark expressions.
+_WS = re.compile(r"[ \t\n\x0b\f\r]+")
+_SENTENCE = re.compile(r"(?<=[.!?])[ \t\n\x0b\f\r]+")
+_NON_ALNUM = re.compile(r"[^a-z0-9]+")
+
+
+def ws_tokens(text) -> list[str]:
+    """``text.tokens``: whitespace tokens, no empties ([] for None)."""
+    return [t for t in _WS.split(text) if t] if text else []
+
+
+def rouge_tokens(text) -> list[str]:
+    """``text.rouge_tokens``: lower case, runs outside [a-z0-9] separate tokens."""
+    return [t for t in _NON_ALNUM.split(text.lower()) if t] if text else []
+
+
+def rouge_sentences(text) -> list[list[str]]:
+    """``transform(text.sentences, rouge_tokens)``."""
+    return [rouge_tokens(s) for s in _SENTENCE.split(text.strip(" ")) if s] if text else []
+
 
 def _masks(target) -> dict:
     masks: dict = {}

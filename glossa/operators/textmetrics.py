@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from glossa.functions import seqstats
 from glossa.functions.ngrams import char_ngrams, closest_length, word_ngrams
-from glossa.functions.text import chrf_words, rouge_tokens, sentences, tokens
+from glossa.functions.text import chrf_words, tokens
 
 PRED, REFS = "generated_text", "references"
 N_ORDERS = seqstats.CHAR_ORDER + seqstats.WORD_ORDER
@@ -63,24 +63,42 @@ def _inputs(df: DataFrame, by: list[str], pred: str, refs: str, key: str = "row_
 
 # ---- pandas UDFs (Arrow batches; one Python call per batch, not per row) ----
 
+# The UDFs take raw strings and tokenise in Python with the same rules as the
+# native expressions (seqstats.ws_tokens / rouge_sentences): strings cross
+# Arrow far more cheaply than nested token arrays.
+
 @lru_cache(maxsize=None)
 def bleu_clip_udf(n_max: int):
-    """(tokens, reference tokens) → clipped n-gram matches for orders 1..n_max."""
+    """(text, reference texts) → clipped n-gram matches for orders 1..n_max."""
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def clip(pred: pd.Series, refs: pd.Series) -> pd.Series:
-        return pd.Series([seqstats.bleu_clipped(p, r, n_max) for p, r in zip(pred, refs)], dtype=object)
+        tok = seqstats.ws_tokens
+        return pd.Series([seqstats.bleu_clipped(tok(p), [tok(r) for r in (rs if rs is not None else [])], n_max)
+                          for p, rs in zip(pred, refs)], dtype=object)
     return clip
 
 
 @lru_cache(maxsize=None)
 def rouge_hits_udf(keys: tuple[str, ...]):
-    """(prediction sentences, reference sentences) of one pair → token counts and
-    the hit count of every requested ROUGE key, in one Python call per pair."""
+    """(prediction, reference) texts of one pair → token counts and the hit
+    count of every requested ROUGE key, in one Python call per pair. The
+    prediction's sentences are memoised within a batch (its pairs are adjacent)."""
     names = ("pl", "tl", *keys)
+    split = seqstats.rouge_sentences if "rougeLsum" in keys else (lambda t: [seqstats.rouge_tokens(t)])
 
     @F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in names]))
-    def hits(ps: pd.Series, ts: pd.Series) -> pd.DataFrame:
-        rows = [seqstats.rouge_hits(p, t, keys) for p, t in zip(ps, ts)]
+    def hits(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
+        memo: dict = {}
+
+        def pred_split(t):
+            got = memo.get(t)
+            if got is None:
+                if len(memo) > 64:
+                    memo.clear()
+                got = memo[t] = split(t)
+            return got
+
+        rows = [seqstats.rouge_hits(pred_split(p), split(r), keys) for p, r in zip(pred, ref)]
         return pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype="int32") for n in names})
     return hits
 
@@ -130,8 +148,8 @@ def expand_refs(df: DataFrame, refs: str = REFS) -> DataFrame:
 
 def _bleu_stats(df: DataFrame, pred: str, refs: str, n_max: int) -> DataFrame:
     """Adds bleu_c, bleu_r, bleu_num_k, bleu_den_k (k = 1..n_max) per row."""
-    s1 = df.withColumn("_pt", tokens(pred)).withColumn("_rt", F.transform(refs, tokens))
-    s1 = s1.withColumn("_clip", bleu_clip_udf(n_max)(F.col("_pt"), F.col("_rt")))
+    s1 = df.withColumn("_clip", bleu_clip_udf(n_max)(F.col(pred), F.col(refs)))
+    s1 = s1.withColumn("_pt", tokens(pred)).withColumn("_rt", F.transform(refs, tokens))
     out = s1.withColumn("bleu_c", F.size("_pt")).withColumn(
         "bleu_r", closest_length(F.size("_pt"), F.transform("_rt", F.size)))
     for k in range(1, n_max + 1):
@@ -213,23 +231,15 @@ def rouge_pairs(df: DataFrame, pred: str = PRED, refs: str = REFS, keys=ROUGE_KE
                 carry: Sequence[str] = ()) -> DataFrame:
     """Per (prediction, reference) pair: P/R/F for the requested ROUGE keys.
 
-    Prediction sentences are split and normalised once per row, before the
-    references are exploded (F9); every key's hit count for a pair comes from
-    one Python call on the sentence tokens (whose concatenation is the text's
-    ROUGE tokens).
+    The references are exploded (F9); every key's hit count and both token
+    counts of a pair come from one Python call on the two texts, which are
+    normalised and sentence-split there exactly as by the native expressions.
     """
     keys = tuple(keys)
     if not keys:
         return df.select(*carry, F.posexplode(refs).alias("ref_idx", "_ref")).drop("_ref")
-    if "rougeLsum" in keys:
-        def split(t):
-            return F.transform(sentences(t), rouge_tokens)
-    else:  # no sentence structure needed: the whole text is one "sentence"
-        def split(t):
-            return F.array(rouge_tokens(t))
-    row = df.withColumn("_ps", split(pred))
-    pairs = row.select("*", F.posexplode(refs).alias("ref_idx", "_ref")).withColumn("_rs", split("_ref"))
-    pairs = pairs.withColumn("_h", rouge_hits_udf(keys)(F.col("_ps"), F.col("_rs")))
+    pairs = df.select("*", F.posexplode(refs).alias("ref_idx", "_ref"))
+    pairs = pairs.withColumn("_h", rouge_hits_udf(keys)(F.col(pred), F.col("_ref")))
     pl, tl = F.col("_h.pl"), F.col("_h.tl")
     for k in keys:
         if k == "rouge2":

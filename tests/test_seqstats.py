@@ -53,3 +53,31 @@ def test_chrf_identical_and_disjoint():
 
 def test_chrf_words_punct():
     assert S.chrf_words("Hello, (world) a. b") == ["Hello", ",", "(world", ")", "a", ".", "b"]
+
+
+def test_python_tokenisation_equals_spark(spark):
+    """The UDFs tokenise in Python: token for token equal to the native expressions on every fixture text
+    plus edge cases (tabs, form feeds, non-ASCII whitespace and letters, terminal marks)."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from conftest import SF_SMALL
+    from glossa.functions import seqstats as S
+    from glossa.functions.text import rouge_tokens, sentences, tokens
+    from glossa.sources import fixtures as V
+
+    @F.pandas_udf("int")
+    def mismatch(t: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([int(S.ws_tokens(t_) != list(a_)) | 2 * int(S.rouge_tokens(t_) != list(b_))
+                          | 4 * int(S.rouge_sentences(t_) != [list(x) for x in c_])
+                          for t_, a_, b_, c_ in zip(t, a, b, c)], dtype="int32")
+
+    edge = spark.createDataFrame([(x,) for x in [
+        "  a\tb\x0bc\x0cd\re\nf  ", "Ünïcode nbsp em  İstanbul KELVINK", "One. Two!  Three?x. ",
+        "...", " ", "end.\tnext", "a. b"]], "t string")
+    g = V.gen_eval(spark, SF_SMALL)
+    texts = g.select(F.explode(F.concat(F.array("generated_text", "input_text"), "references")).alias("t")) \
+        .unionByName(edge)
+    bad = texts.select(mismatch("t", tokens("t"), rouge_tokens("t"), F.transform(sentences("t"), rouge_tokens))
+                       .alias("m")).filter("m <> 0").count()
+    assert bad == 0
