@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glossa.functions import seqstats
 from glossa.functions.text import tokens  # noqa: F401  (re-exported)
 
 PAD, EOS, UNK, FIRST_ID, IGNORE = 0, 1, 2, 3, -100
@@ -67,8 +68,15 @@ def _lookup_udf(spark, table: dict, out_type: T.DataType, default):
 
 
 def token_ids(spark, table: dict, texts: Sequence[Column]) -> Column:
-    """``array<array<int>>``: the ids of the whitespace tokens of each text (OOV → unk), no eos."""
-    return _lookup_udf(spark, table, T.IntegerType(), UNK)(F.array(*[tokens(t) for t in texts]))
+    """``array<array<int>>``: the ids of the whitespace tokens of each text (OOV → unk), no eos.
+    The texts cross Arrow as strings and are tokenised in Python exactly as ``tokens`` does."""
+    bc = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+    def lookup(rows: pd.Series) -> pd.Series:
+        get, tok = bc.value.get, seqstats.ws_tokens
+        return pd.Series([[[get(t, UNK) for t in tok(x)] for x in row] for row in rows], dtype=object)
+    return lookup(F.array(*texts))
 
 
 def _vocab_side(vocab: DataFrame) -> DataFrame:
