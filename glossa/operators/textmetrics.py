@@ -69,12 +69,21 @@ def _inputs(df: DataFrame, by: list[str], pred: str, refs: str, key: str = "row_
 
 @lru_cache(maxsize=None)
 def bleu_clip_udf(n_max: int):
-    """(text, reference texts) → clipped n-gram matches for orders 1..n_max."""
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def clip(pred: pd.Series, refs: pd.Series) -> pd.Series:
+    """(text, reference texts) → clipped n-gram matches for orders 1..n_max, the
+    text's token count and each reference's token count."""
+    @F.pandas_udf(T.StructType([T.StructField("clip", T.ArrayType(T.LongType())),
+                                T.StructField("c", T.IntegerType()),
+                                T.StructField("rl", T.ArrayType(T.IntegerType()))]))
+    def clip(pred: pd.Series, refs: pd.Series) -> pd.DataFrame:
         tok = seqstats.ws_tokens
-        return pd.Series([seqstats.bleu_clipped(tok(p), [tok(r) for r in (rs if rs is not None else [])], n_max)
-                          for p, rs in zip(pred, refs)], dtype=object)
+        out_clip, out_c, out_rl = [], [], []
+        for p, rs in zip(pred, refs):
+            pt, rts = tok(p), [tok(r) for r in (rs if rs is not None else [])]
+            out_clip.append(seqstats.bleu_clipped(pt, rts, n_max))
+            out_c.append(len(pt))
+            out_rl.append([len(r) for r in rts])
+        return pd.DataFrame({"clip": pd.Series(out_clip, dtype=object), "c": pd.Series(out_c, dtype="int32"),
+                             "rl": pd.Series(out_rl, dtype=object)})
     return clip
 
 
@@ -148,14 +157,13 @@ def expand_refs(df: DataFrame, refs: str = REFS) -> DataFrame:
 
 def _bleu_stats(df: DataFrame, pred: str, refs: str, n_max: int) -> DataFrame:
     """Adds bleu_c, bleu_r, bleu_num_k, bleu_den_k (k = 1..n_max) per row."""
-    s1 = df.withColumn("_clip", bleu_clip_udf(n_max)(F.col(pred), F.col(refs)))
-    s1 = s1.withColumn("_pt", tokens(pred)).withColumn("_rt", F.transform(refs, tokens))
-    out = s1.withColumn("bleu_c", F.size("_pt")).withColumn(
-        "bleu_r", closest_length(F.size("_pt"), F.transform("_rt", F.size)))
+    out = df.withColumn("_b", bleu_clip_udf(n_max)(F.col(pred), F.col(refs)))
+    c = F.col("_b.c")
+    out = out.withColumn("bleu_c", c).withColumn("bleu_r", closest_length(c, F.col("_b.rl")))
     for k in range(1, n_max + 1):
-        out = out.withColumn(f"bleu_num_{k}", F.col("_clip")[k - 1])
-        out = out.withColumn(f"bleu_den_{k}", F.greatest(F.size("_pt") - (k - 1), F.lit(0)).cast("bigint"))
-    return out.drop("_pt", "_rt", "_clip")
+        out = out.withColumn(f"bleu_num_{k}", F.col("_b.clip")[k - 1])
+        out = out.withColumn(f"bleu_den_{k}", F.greatest(c - (k - 1), F.lit(0)).cast("bigint"))
+    return out.drop("_b")
 
 
 def _bleu_formula(n_max: int) -> Column:
