@@ -94,3 +94,30 @@ def test_vocabulary_paths_agree(spark, monkeypatch):
     monkeypatch.setattr(TK, "BROADCAST_BUDGET", 0)
     assert TK.vocab_table(vocab) is None
     assert run() == fast
+
+
+@pytest.mark.parametrize("view,width,fields", [
+    ("gen_eval", 4, ["input_text", "references"]),
+    ("nli", 5, ["premise", "hypothesis", "explanation_1", "explanation_2", "explanation_3"]),
+])
+def test_text_views_cover_every_line_whole(spark, view, width, fields):
+    """Whole texts: per document, ceil(n / width) rows, and the rows' fields are exactly the
+    document's non-blank lines (every line present, none cut, nothing else)."""
+    from glossa.functions.text import lines
+    from glossa.sources.tables import load
+
+    docs = load(spark, SF_SMALL, "documents").select("doc_id", lines("text").alias("l")) \
+        .filter(F.size("l") > 0) \
+        .select("doc_id", F.size("l").alias("n"), F.array_sort(F.array_distinct("l")).alias("want"))
+    rows = V.BUILDERS[view](spark, SF_SMALL)
+    if "system" in rows.columns:
+        rows = rows.filter(F.col("system") == "A")
+    cols = [F.array(c) if c != "references" else F.col(c) for c in fields]
+    got = rows.select(V.doc_of().alias("doc_id"), F.concat(*cols).alias("f")).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("f")))).alias("got"))
+    j = docs.join(got, "doc_id", "full_outer")
+    bad = j.filter(F.col("rows").isNull() | F.col("n").isNull()
+                   | (F.col("rows") != F.expr(f"(n + {width - 1}) div {width}"))
+                   | (F.col("got") != F.col("want")))
+    assert docs.count() == load(spark, SF_SMALL, "documents").count()  # every document has text
+    assert bad.count() == 0
