@@ -118,11 +118,16 @@ _COUNTS = T.ArrayType(T.LongType())
 @F.pandas_udf(T.StructType([T.StructField("match", _COUNTS), T.StructField("hyp", _COUNTS),
                              T.StructField("ref", _COUNTS)]))
 def chrf_stats_udf(pred: pd.Series, refs: pd.Series) -> pd.DataFrame:
-    cache: dict = {}  # per Arrow batch: a reference text is counted once for all systems
+    # A reference is counted once for all systems: the rows of one input row are adjacent
+    # (systems are exploded together), so a small cache keeps every hit while bounding the
+    # memory a batch of long texts could otherwise hold in n-gram counters.
+    cache: dict = {}
 
     def counters(text):
         hit = cache.get(text)
         if hit is None:
+            if len(cache) > 64:
+                cache.clear()
             hit = cache[text] = seqstats.chrf_counters(text)
         return hit
 
