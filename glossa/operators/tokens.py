@@ -27,7 +27,10 @@ from glossa.functions.text import tokens  # noqa: F401  (re-exported)
 
 PAD, EOS, UNK, FIRST_ID, IGNORE = 0, 1, 2, 3, -100
 SPECIAL_IDS = (PAD, EOS, UNK)
-BROADCAST_BUDGET = 64 << 20  # bytes
+# Measured vocabulary bytes (tokens + 16 per entry) above which it is joined, not broadcast. Every
+# Python worker holds its own dict copy (~3-4x the bytes), one worker per core: 16 MB keeps that
+# under about 0.5 GB per 8-core executor; a 32k-entry vocabulary is about 1 MB.
+BROADCAST_BUDGET = 16 << 20
 
 
 def build_vocab(df: DataFrame, cols: Sequence[str], max_size: int = 32000) -> DataFrame:
