@@ -88,12 +88,30 @@ def prevalence(df: DataFrame, text: str = "generated_text", pattern: str = NEGAT
                by: Sequence[str] | str = ()) -> DataFrame:
     """Matches / rows for all rows and for the wrong rows (a ratio, not %).
     ``count(*)`` counts rows with null text, as ``len()`` does."""
-    m = count_matches(text, pattern)
-    wrong = ~correct_expr()
     keys = [by] if isinstance(by, str) else list(by)
+    per_row = df.select(*keys, count_matches(text, pattern).alias("_m"), F.lit(1).cast("bigint").alias("_n"),
+                        (~correct_expr()).alias("_wrong"))
+    return _prevalence(per_row, keys)
+
+
+def prevalence_keyed(texts: DataFrame, labels: DataFrame, keys: Sequence[str], text: str = "generated_text",
+                     pattern: str = NEGATION_PATTERN, by: Sequence[str] | str = ()) -> DataFrame:
+    """E10 when many text rows share one label row (joined on ``keys``): the text
+    side is reduced to (keys → matches, rows) before the join, so the join and its
+    shuffle carry one row per key and a key holding a third of the texts is one
+    partial row per task. Same result as joining first."""
+    group = [by] if isinstance(by, str) else list(by)
+    t = texts.groupBy(*keys).agg(F.sum(count_matches(text, pattern)).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    per_key = t.join(labels, list(keys)).select(*group, "_m", "_n", (~correct_expr()).alias("_wrong"))
+    return _prevalence(per_key, group)
+
+
+def _prevalence(df: DataFrame, keys: list[str]) -> DataFrame:
+    wrong = F.col("_wrong")
     return df.groupBy(*keys).agg(
-        F.sum(m).alias("matches_all"), F.count(F.lit(1)).alias("rows_all"),
-        F.sum(F.when(wrong, m)).alias("matches_errors"), F.count(F.when(wrong, 1)).alias("rows_errors"),
+        F.sum("_m").alias("matches_all"), F.sum("_n").alias("rows_all"),
+        F.sum(F.when(wrong, F.col("_m"))).alias("matches_errors"),
+        F.coalesce(F.sum(F.when(wrong, F.col("_n"))), F.lit(0).cast("bigint")).alias("rows_errors"),
     ).select(
         *keys, F.explode(F.array(
             F.struct(F.lit("all").alias("scope"), F.col("matches_all").alias("matches"),

@@ -114,9 +114,10 @@ SELECT system, 'errors', coalesce(sum(m) FILTER (WHERE NOT ok), 0), count(*) FIL
                   THEN coalesce(sum(m) FILTER (WHERE NOT ok), 0) / count(*) FILTER (WHERE NOT ok) END, 6)
 FROM c GROUP BY system""", "gen_eval", "label_preds"))
 def e10_prevalence(spark, sf):
-    text = V.gen_eval(spark, sf).withColumn("doc_id", V.doc_of())
-    merged = text.join(V.label_preds(spark, sf).withColumnRenamed("row_id", "doc_id"), ["doc_id", "system"])
-    return round_doubles(AN.prevalence(merged, "generated_text", THE_PATTERN, by="system"))
+    text = V.gen_eval(spark, sf).select(V.doc_of().alias("doc_id"), "system", "generated_text")
+    labels = V.label_preds(spark, sf).withColumnRenamed("row_id", "doc_id")
+    return round_doubles(AN.prevalence_keyed(text, labels, ["doc_id", "system"], "generated_text", THE_PATTERN,
+                                             by="system"))
 
 
 @query("g1_count_matches", ops=("G1",), sql=V.with_views(

@@ -121,3 +121,13 @@ def test_text_views_cover_every_line_whole(spark, view, width, fields):
                    | (F.col("got") != F.col("want")))
     assert docs.count() == load(spark, SF_SMALL, "documents").count()  # every document has text
     assert bad.count() == 0
+
+
+def test_prevalence_preaggregated_equals_join_first(spark):
+    """Reducing the texts per key before the join gives the join-first result."""
+    text = V.gen_eval(spark, SF_SMALL).select(V.doc_of().alias("doc_id"), "system", "generated_text")
+    labels = V.label_preds(spark, SF_SMALL).withColumnRenamed("row_id", "doc_id")
+    pattern = r"(.+?) (the) (.+)"
+    keyed = AN.prevalence_keyed(text, labels, ["doc_id", "system"], "generated_text", pattern, by="system")
+    first = AN.prevalence(text.join(labels, ["doc_id", "system"]), "generated_text", pattern, by="system")
+    assert sorted(map(tuple, keyed.collect())) == sorted(map(tuple, first.collect()))
