@@ -44,12 +44,14 @@ def spread(df: DataFrame, key: str = "row_id") -> DataFrame:
     partitions than cores (small inputs: one file, few row groups). Rows are
     hashed on the row key when present, so every system's row for one input
     lands in the same task (shared reference statistics are then computed
-    once per batch). Large inputs arrive in many splits and are left alone;
-    streams are left alone."""
-    if df.isStreaming:
-        return df
+    once per batch). Large inputs arrive in many splits and are left alone.
+
+    A stream's micro-batch has as many partitions as the files it picked up
+    (often one), which is unknown when the plan is built, so streams are always
+    spread: the shuffle of one micro-batch (bounded by its trigger) is cheap
+    next to the CPU-bound per-row metrics it parallelises."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:
+    if not df.isStreaming and df.rdd.getNumPartitions() >= n:
         return df
     # several tasks per core: per-row cost is heavy-tailed (whole lines of thousands of tokens)
     return df.repartition(4 * n, key) if key in df.columns else df.repartition(4 * n)
