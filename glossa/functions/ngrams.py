@@ -24,14 +24,6 @@ def word_ngrams(toks: Column, n: int) -> Column:
     ).otherwise(_empty())
 
 
-def char_ngrams(text: Column, n: int) -> Column:
-    """Substrings of length n; [] when the text is shorter than n."""
-    return F.when(
-        F.length(text) >= n,
-        F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)),
-    ).otherwise(_empty())
-
-
 def closest_length(pred_len: Column, ref_lens: Column) -> Column:
     """Length of the reference closest to pred_len; the first listed wins a tie."""
     init = F.struct(F.lit(None).cast("int").alias("d"), F.lit(0).alias("len"))

@@ -6,6 +6,8 @@ functions); none crosses into Python.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,12 +70,29 @@ def chrf_words(text) -> Column:
     return F.flatten(F.transform(tokens(text), split_word))
 
 
+def required_literal(pattern: str) -> str | None:
+    """The literal every match of a ``(.+?) (word) (.+)`` pattern contains
+    (`` word ``), else None. Java's backtracking engine spends O(n²) on a long
+    text without a match of such a pattern (every start position expands the
+    lazy group to the end); an ``instr`` guard on the literal skips exactly
+    those texts, whose result is known to be no match."""
+    m = re.fullmatch(r"\(\.\+\?\) \(([A-Za-z]+)\) \(\.\+\)", pattern)
+    return f" {m.group(1)} " if m else None
+
+
+def _guarded(text: Column, pattern: str, expr: Column, empty: Column) -> Column:
+    lit = required_literal(pattern)
+    return expr if lit is None else F.when(F.instr(text, lit) == 0, empty).otherwise(expr)
+
+
 def count_matches(text, pattern: str = NEGATION_PATTERN) -> Column:
     """Non-overlapping matches per string (G1). ``(?d)`` restricts Java's line
     terminators to ``\\n`` so ``.`` behaves as in Python ``re``."""
-    return F.regexp_count(_col(text), F.lit("(?d)" + pattern))
+    t = _col(text)
+    return _guarded(t, pattern, F.regexp_count(t, F.lit("(?d)" + pattern)), F.lit(0))
 
 
 def match_group(text, idx: int, pattern: str = NEGATION_PATTERN) -> Column:
     """Capture group ``idx`` of the first match (G2); '' when no match."""
-    return F.regexp_extract(_col(text), "(?d)" + pattern, idx)
+    t = _col(text)
+    return _guarded(t, pattern, F.regexp_extract(t, "(?d)" + pattern, idx), F.lit(""))

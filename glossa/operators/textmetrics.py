@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossa.functions import seqstats
-from glossa.functions.ngrams import char_ngrams, closest_length, word_ngrams
+from glossa.functions.ngrams import closest_length, word_ngrams
 from glossa.functions.text import chrf_words, tokens
 
 PRED, REFS = "generated_text", "references"
@@ -141,16 +141,30 @@ def chrf_stats_udf(pred: pd.Series, refs: pd.Series) -> pd.DataFrame:
 # ---- F1, F9 ------------------------------------------------------------------
 
 def ngrams(df: DataFrame, col: str, n: int, unit: str = "word", keys: Sequence[str] = ("row_id",)) -> DataFrame:
-    """``(keys…, gram, count)``; word grams are space-joined tokens."""
+    """``(keys…, gram, count)``; word grams are space-joined tokens, char
+    grams are substrings of the text without spaces.
+
+    The unit array is projected first, so the window lambda reads a column
+    instead of re-evaluating the tokenisation per position (O(L²)); character
+    windows are sliced from the character array, as ``substring`` by character
+    index rescans the text from its start."""
     if unit == "word":
-        grams = word_ngrams(tokens(col), n)
+        units = tokens(col)
     elif unit == "char":
-        grams = char_ngrams(F.regexp_replace(F.trim(F.col(col)), " ", ""), n)
+        units = F.split(F.regexp_replace(F.trim(F.col(col)), " ", ""), "")
     elif unit == "chrf_word":
-        grams = word_ngrams(chrf_words(col), n)
+        units = chrf_words(col)
     else:
         raise ValueError(unit)
-    return (df.select(*keys, F.explode(grams).alias("gram"))
+    base = df.select(*keys, units.alias("_u"))
+    u = F.col("_u")
+    if unit == "char":
+        grams = F.when(F.size(u) >= n, F.transform(F.sequence(F.lit(1), F.size(u) - n + 1),
+                                                   lambda i: F.array_join(F.slice(u, i, n), ""))) \
+            .otherwise(F.array().cast("array<string>"))
+    else:
+        grams = word_ngrams(u, n)
+    return (base.select(*keys, F.explode(grams).alias("gram"))
             .groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("count")))
 
 
