@@ -131,3 +131,19 @@ def test_prevalence_preaggregated_equals_join_first(spark):
     keyed = AN.prevalence_keyed(text, labels, ["doc_id", "system"], "generated_text", pattern, by="system")
     first = AN.prevalence(text.join(labels, ["doc_id", "system"]), "generated_text", pattern, by="system")
     assert sorted(map(tuple, keyed.collect())) == sorted(map(tuple, first.collect()))
+
+
+def test_regex_literal_guard_is_exact(spark):
+    """count_matches / match_group with the literal guard equal the bare regex everywhere."""
+    from glossa.functions.text import count_matches, match_group
+    pattern = r"(.+?) (the) (.+)"
+    edge = spark.createDataFrame([(x,) for x in [
+        " the start", "x the", "the the the", "a the b the c", "nothe here", None, "", " the ", "a\nthe b the c",
+        "ü the ß"]], "generated_text string")
+    texts = V.gen_eval(spark, SF_SMALL).select("generated_text").unionByName(edge)
+    raw = F.regexp_count("generated_text", F.lit("(?d)" + pattern))
+    got = texts.select(
+        (count_matches("generated_text", pattern).eqNullSafe(raw)).alias("c"),
+        *[(match_group("generated_text", i, pattern).eqNullSafe(
+            F.regexp_extract("generated_text", "(?d)" + pattern, i))).alias(f"g{i}") for i in (1, 2, 3)])
+    assert got.filter(~(F.col("c") & F.col("g1") & F.col("g2") & F.col("g3"))).count() == 0
