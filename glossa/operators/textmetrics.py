@@ -160,7 +160,7 @@ def ngrams(df: DataFrame, col: str, n: int, unit: str = "word", keys: Sequence[s
     u = F.col("_u")
     if unit == "char":
         grams = F.when(F.size(u) >= n, F.transform(F.sequence(F.lit(1), F.size(u) - n + 1),
-                                                   lambda i: F.array_join(F.slice(u, i, n), ""))) \
+                                                   lambda i: F.concat(*[F.element_at(u, i + j) for j in range(n)]))) \
             .otherwise(F.array().cast("array<string>"))
     else:
         grams = word_ngrams(u, n)
