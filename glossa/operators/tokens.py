@@ -58,18 +58,6 @@ def vocab_table(vocab: DataFrame, budget: int | None = None) -> dict | None:
     return {t: i for t, i in row["e"]}
 
 
-def _lookup_udf(spark, table: dict, out_type: T.DataType, default):
-    """Arrow UDF mapping ``array<array<key>>`` through a broadcast dict; None lists become []."""
-    bc = spark.sparkContext.broadcast(table)
-
-    @F.pandas_udf(T.ArrayType(T.ArrayType(out_type)))
-    def lookup(rows: pd.Series) -> pd.Series:
-        get = bc.value.get
-        return pd.Series([[[get(x, default) for x in xs] if xs is not None else [] for xs in row]
-                          for row in rows], dtype=object)
-    return lookup
-
-
 def token_ids(spark, table: dict, texts: Sequence[Column]) -> Column:
     """``array<array<int>>``: the ids of the whitespace tokens of each text (OOV → unk), no eos.
     The texts cross Arrow as strings and are tokenised in Python exactly as ``tokens`` does."""
@@ -153,10 +141,15 @@ def decode(df: DataFrame, col: str, vocab: DataFrame, key: str = "row_id", out:
     out = out or f"{col}_text"
     table = vocab_table(vocab)
     if table is not None:
-        inverse = {i: t for t, i in table.items()}
+        bc = df.sparkSession.sparkContext.broadcast({i: t for t, i in table.items()})
+
+        @F.pandas_udf(T.StringType())
+        def text_of(rows: pd.Series) -> pd.Series:
+            get = bc.value.get  # unknown ids are skipped, as array_join skips nulls
+            return pd.Series([" ".join(t for t in map(get, ids) if t is not None) if ids is not None else ""
+                              for ids in rows], dtype=object)
         kept = F.filter(unmask_labels(col), lambda x: ~x.isin(*SPECIAL_IDS))
-        toks = _lookup_udf(df.sparkSession, inverse, T.StringType(), None)(F.array(kept))[0]
-        return df.select(key, F.array_join(toks, " ").alias(out))  # array_join skips nulls (unknown ids)
+        return df.select(key, text_of(kept).alias(out))
     exploded = df.select(key, F.posexplode_outer(unmask_labels(col)).alias("_pos", "id"))
     joined = exploded.join(_vocab_side(vocab), "id", "left")
     keep = F.col("_pos").isNotNull() & ~F.col("id").isin(*SPECIAL_IDS) & F.col("token").isNotNull()
