@@ -12,10 +12,17 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm import ppm
+    docs = _documents(spark, sf_dir)
+    held = ppm.held_out(4, 2)
+    return ppm.predict(docs, ppm.train(docs.filter(~held)), held)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm import bpe
     return bpe.round_trip_digests(_documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe,)}
+QUERIES = {f.__name__: f for f in (op1_ppm_language, op4_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
