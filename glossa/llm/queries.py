@@ -24,5 +24,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op9_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm import pii
+    docs = _documents(spark, sf_dir)
+    return pii.find_pii(docs, pii.train(docs))
+
+
 QUERIES = {f.__name__: f for f in (op1_ppm_language, op4_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
