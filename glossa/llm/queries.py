@@ -30,5 +30,15 @@ def op9_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(docs, pii.train(docs))
 
 
+def op10_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm import toxicity
+    from glossa.llm.ppm import held_out
+    docs = _documents(spark, sf_dir)
+    held = held_out(3, 1)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    machine = toxicity.train(docs.select("doc_id", "text"), labels.filter(~held))
+    return toxicity.score(docs, machine, held)
+
+
 QUERIES = {f.__name__: f for f in (op1_ppm_language, op4_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
