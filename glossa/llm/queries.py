@@ -24,6 +24,13 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm import resample
+    docs = _documents(spark, sf_dir)
+    model = resample.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return resample.resample(docs, model)[0].drop("key_bits", "tie")
+
+
 def op9_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm import pii
     docs = _documents(spark, sf_dir)
@@ -40,5 +47,6 @@ def op10_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, machine, held)
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm_language, op4_byte_bpe)}
+QUERIES = {f.__name__: f for f in (
+    op1_ppm_language, op4_byte_bpe, op6_importance_resampling, op9_skip_chain_pii, op10_string_kernel_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
