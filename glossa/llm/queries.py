@@ -31,6 +31,11 @@ def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(docs, model)[0].drop("key_bits", "tie")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm import ngram_join
+    return ngram_join.near_duplicates(_documents(spark, sf_dir))
+
+
 def op9_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm import pii
     docs = _documents(spark, sf_dir)
@@ -48,5 +53,5 @@ def op10_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ppm_language, op4_byte_bpe, op6_importance_resampling, op9_skip_chain_pii, op10_string_kernel_toxicity)}
+    op1_ppm_language, op4_byte_bpe, op6_importance_resampling, op8_ngram_jaccard_join, op9_skip_chain_pii, op10_string_kernel_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
