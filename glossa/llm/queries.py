@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -24,6 +25,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op5_qalsh_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm import qalsh
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return qalsh.nearest(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
 def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm import resample
     docs = _documents(spark, sf_dir)
@@ -53,5 +60,5 @@ def op10_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ppm_language, op4_byte_bpe, op6_importance_resampling, op8_ngram_jaccard_join, op9_skip_chain_pii, op10_string_kernel_toxicity)}
+    op1_ppm_language, op4_byte_bpe, op5_qalsh_neighbours, op6_importance_resampling, op8_ngram_jaccard_join, op9_skip_chain_pii, op10_string_kernel_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
