@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.llm import licenses
+
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -20,6 +22,11 @@ def op1_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.predict(docs, ppm.train(docs.filter(~held)), held)
 
 
+def op2_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = licenses.known_digests(licenses.builtin_texts(spark))
+    return licenses.scan(_documents(spark, sf_dir), known)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm import bpe
     return bpe.round_trip_digests(_documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -38,6 +45,11 @@ def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(docs, model)[0].drop("key_bits", "tie")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm import packing
+    return packing.pack(packing.text_items(_documents(spark, sf_dir)))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm import ngram_join
     return ngram_join.near_duplicates(_documents(spark, sf_dir))
@@ -60,5 +72,6 @@ def op10_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ppm_language, op4_byte_bpe, op5_qalsh_neighbours, op6_importance_resampling, op8_ngram_jaccard_join, op9_skip_chain_pii, op10_string_kernel_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+    op1_ppm_language, op2_license_digests, op4_byte_bpe, op5_qalsh_neighbours, op6_importance_resampling,
+    op7_best_fit_packing, op8_ngram_jaccard_join, op9_skip_chain_pii, op10_string_kernel_toxicity)}
+ORACLE_SQL: dict[str, str] = {"op2_license_digests": licenses.oracle_sql()}
