@@ -27,6 +27,11 @@ def op2_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_documents(spark, sf_dir), known)
 
 
+def op3_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm import iblt
+    return iblt.fingerprints(_documents(spark, sf_dir))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm import bpe
     return bpe.round_trip_digests(_documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -72,6 +77,6 @@ def op10_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ppm_language, op2_license_digests, op4_byte_bpe, op5_qalsh_neighbours, op6_importance_resampling,
-    op7_best_fit_packing, op8_ngram_jaccard_join, op9_skip_chain_pii, op10_string_kernel_toxicity)}
+    op1_ppm_language, op2_license_digests, op3_iblt_fingerprints, op4_byte_bpe, op5_qalsh_neighbours,
+    op6_importance_resampling, op7_best_fit_packing, op8_ngram_jaccard_join, op9_skip_chain_pii, op10_string_kernel_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op2_license_digests": licenses.oracle_sql()}
