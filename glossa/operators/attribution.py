@@ -50,35 +50,25 @@ def span_aggregate(df: DataFrame, spans: Sequence[tuple[int, int]] = ((1, 3),),
     return mapped.groupBy(*other, axis).agg(_agg(how, F.col(SCORE)).alias(SCORE))
 
 
-def pair_diff(a: DataFrame, b: DataFrame, keys: Sequence[str] = (SRC, TGT)) -> DataFrame:
-    """A − b for aligned attributions; a missing cell on either side fails the job."""
-    k = list(keys)
-    j = a.select(*k, F.col(SCORE).alias("_a")).join(b.select(*k, F.col(SCORE).alias("_b")), k, "full_outer")
-    check = F.assert_true(F.col("_a").isNotNull() & F.col("_b").isNotNull(),
-                          F.lit("pair_diff: attributions are not aligned"))
-    return j.select(*k, F.when(check.isNull(), F.col("_a") - F.col("_b")).alias(SCORE))
-
-
-def paired_next(df: DataFrame, group_size: int) -> DataFrame:
-    """The fixture's J7 pairing: sequence s against sequence s + 1, both complete
-    (``group_size`` target positions). One scan and one shuffle: every row is
-    emitted as side ``a`` of pair s and side ``b`` of pair s − 1; a window over
-    the pair (bounded: two sequences) checks completeness, and the cell diff is
-    a grouping already satisfied by the window's partitioning."""
-    keys = [SRC, TGT] + ([HID] if HID in df.columns else [])
-    sides = F.array(F.struct(F.col(SEQ).alias("_k"), F.lit(0).alias("_side")),
-                    F.struct((F.col(SEQ) - 1).alias("_k"), F.lit(1).alias("_side")))
-    rows = df.select(*keys, SCORE, F.explode(sides).alias("_e")).select(*keys, SCORE, "_e._k", "_e._side")
-    w = Window.partitionBy("_k")
-    full = rows.withColumn("_na", F.size(F.collect_set(F.when(F.col("_side") == 0, F.col(TGT))).over(w))) \
-        .withColumn("_nb", F.size(F.collect_set(F.when(F.col("_side") == 1, F.col(TGT))).over(w))) \
-        .filter((F.col("_na") == group_size) & (F.col("_nb") == group_size))
-    cells = full.groupBy("_k", *keys).agg(F.first(F.when(F.col("_side") == 0, F.col(SCORE)), ignorenulls=True).alias("_a"),
-                                         F.first(F.when(F.col("_side") == 1, F.col(SCORE)), ignorenulls=True).alias("_b"))
-    check = F.assert_true(F.col("_a").isNotNull() & F.col("_b").isNotNull(),
-                          F.lit("pair_diff: attributions are not aligned"))
-    return cells.select(F.col("_k").alias(SEQ), *keys,
-                        F.when(check.isNull(), F.col("_a") - F.col("_b")).alias(SCORE))
+def pair_diff(a: DataFrame, b: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    """A − b for aligned attributions, cell by cell. The keys default to the sequence, source, target
+    and hidden positions present; a cell that is missing on either side, or repeated, fails the job."""
+    k = list(keys) if keys else [c for c in (SEQ, SRC, TGT, HID) if c in a.columns]
+    sides = a.select(*k, F.col(SCORE).alias("_s"), F.lit(1).alias("_w")).unionAll(
+        b.select(*k, F.col(SCORE).alias("_s"), F.lit(-1).alias("_w")))
+    cells = sides.groupBy(*k).agg(F.sum(F.col("_s") * F.col("_w")).alias("_d"), F.count(F.lit(1)).alias("_n"),
+                                  F.sum("_w").alias("_b"))
+    check = F.assert_true((F.col("_n") == 2) & (F.col("_b") == 0), F.lit("pair_diff: attributions are not aligned"))
+    return cells.select(*k, F.when(check.isNull(), F.col("_d")).alias(SCORE))
+
+
+def next_pairs(df: DataFrame, group_size: int) -> tuple[DataFrame, DataFrame]:
+    """The fixture's J7 pairing: sequence s and, renumbered to s, sequence s + 1, for every s of which both are
+    complete (``group_size`` target positions). Which sequences are complete is one row a sequence."""
+    full = df.groupBy(SEQ).agg(F.count_distinct(TGT).alias("_n")).filter(F.col("_n") == group_size).select(SEQ)
+    firsts = full.join(full.select((F.col(SEQ) - 1).alias(SEQ)), SEQ, "left_semi")
+    shifted = df.withColumn(SEQ, F.col(SEQ) - 1)
+    return df.join(firsts, SEQ, "left_semi"), shifted.join(firsts, SEQ, "left_semi")
 
 
 def contrast_diff(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("row_id", "step"),

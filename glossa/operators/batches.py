@@ -49,7 +49,7 @@ def batch_shapes(df: DataFrame, batch: str = "batch_id", ids: str = "input_ids",
 
 
 def prepare(nli: DataFrame, vocab: DataFrame, style: str = "canonical", max_source: int = MAX_SOURCE_LEN,
-            max_target: int = MAX_TARGET_LEN, max_size: int = 32000) -> DataFrame:
+            max_target: int = MAX_TARGET_LEN) -> DataFrame:
     """B8 (+B5, C2–C5): processed rows. Every split gets ``input_ids``,
     ``attention_mask``, ``int_labels`` and ``labels`` (explanation 1); the
     validation/test splits also get ``explanation_1..3`` padded to 128 with 0
@@ -57,7 +57,8 @@ def prepare(nli: DataFrame, vocab: DataFrame, style: str = "canonical", max_sour
 
     The four texts of a row are encoded together: one lookup in the broadcast
     vocabulary when its measured size fits (in-stage, no shuffle); else
-    explode → join on the token → ONE shuffle on ``row_id``."""
+    explode → join on the token → ONE shuffle on a generated row number, with
+    the same rows as result (rows with equal ``row_id`` stay apart)."""
     texts = [prep.input_text(style=style), F.col("explanation_1"), F.col("explanation_2"), F.col("explanation_3")]
     table = TK.vocab_table(vocab)
     if table is not None:
@@ -66,13 +67,14 @@ def prepare(nli: DataFrame, vocab: DataFrame, style: str = "canonical", max_sour
         def own(i: int):
             return F.col("_f")[i]
     else:
-        long = nli.select("row_id", "split", "label", F.posexplode(F.array(*texts)).alias("_field", "_text"))
-        toks = long.select("row_id", "split", "label", "_field",
+        rows = TK.numbered(nli, "row_id", "split", "label", F.array(*texts).alias("_texts"))
+        long = rows.select("_rid", "row_id", "split", "label", F.posexplode("_texts").alias("_field", "_text"))
+        toks = long.select("_rid", "row_id", "split", "label", "_field",
                            F.posexplode_outer(TK.tokens("_text")).alias("_pos", "token"))
-        joined = toks.join(TK._vocab_side(vocab), "token", "left")
+        joined = toks.join(vocab, "token", "left")
         item = F.when(F.col("_pos").isNotNull(),
                       F.struct("_field", "_pos", F.coalesce("id", F.lit(TK.UNK)).alias("id")))
-        per_row = joined.groupBy("row_id", "split", "label").agg(F.sort_array(F.collect_list(item)).alias("_all"))
+        per_row = joined.groupBy("_rid", "row_id", "split", "label").agg(F.sort_array(F.collect_list(item)).alias("_all"))
 
         def own(i: int):
             return F.transform(F.filter("_all", lambda s: s["_field"] == i), lambda s: s["id"])

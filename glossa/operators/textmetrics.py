@@ -30,6 +30,7 @@ from glossa.functions.ngrams import closest_length, word_ngrams
 from glossa.functions.text import chrf_words, tokens
 
 PRED, REFS = "generated_text", "references"
+SPREAD_CONF = "spark.glossa.spreadTasks"
 N_ORDERS = seqstats.CHAR_ORDER + seqstats.WORD_ORDER
 
 
@@ -40,21 +41,21 @@ def _by(by) -> list[str]:
 
 
 def spread(df: DataFrame, key: str = "row_id") -> DataFrame:
-    """Spread the compact input rows over all cores when the scan yields fewer
-    partitions than cores (small inputs: one file, few row groups). Rows are
-    hashed on the row key when present, so every system's row for one input
-    lands in the same task (shared reference statistics are then computed
-    once per batch). Large inputs arrive in many splits and are left alone.
-
-    A stream's micro-batch has as many partitions as the files it picked up
-    (often one), which is unknown when the plan is built, so streams are always
-    spread: the shuffle of one micro-batch (bounded by its trigger) is cheap
-    next to the CPU-bound per-row metrics it parallelises."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    if not df.isStreaming and df.rdd.getNumPartitions() >= n:
+    """Spread the compact input rows over ``SPREAD_CONF`` tasks where the session sets it (an explicit
+    choice for inputs of fewer splits than cores; ``get_session`` sets it for local masters). Rows are
+    hashed on the row key when present, so every system's row for one input lands in the same task
+    (shared reference statistics are then computed once per batch). Unset, a batch input keeps its
+    splits; nothing is run to find their number.
+
+    A stream's micro-batch has as many partitions as the files it picked up (often one), so streams are
+    always spread: the shuffle of one micro-batch (bounded by its trigger) is cheap next to the
+    CPU-bound per-row metrics it parallelises."""
+    spark = df.sparkSession
+    tasks = spark.conf.get(SPREAD_CONF, None)
+    if tasks is None and not df.isStreaming:
         return df
-    # several tasks per core: per-row cost is heavy-tailed (whole lines of thousands of tokens)
-    return df.repartition(4 * n, key) if key in df.columns else df.repartition(4 * n)
+    n = int(tasks) if tasks else 4 * spark.sparkContext.defaultParallelism
+    return df.repartition(n, key) if key in df.columns else df.repartition(n)
 
 
 def _inputs(df: DataFrame, by: list[str], pred: str, refs: str, key: str = "row_id") -> DataFrame:

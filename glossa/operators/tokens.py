@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from glossa.functions import seqstats
 from glossa.functions.text import tokens  # noqa: F401  (re-exported)
+from glossa.session import cut_lineage
 
 PAD, EOS, UNK, FIRST_ID, IGNORE = 0, 1, 2, 3, -100
 SPECIAL_IDS = (PAD, EOS, UNK)
@@ -44,18 +45,17 @@ def build_vocab(df: DataFrame, cols: Sequence[str], max_size: int = 32000) -> Da
 
 
 def vocab_table(vocab: DataFrame, budget: int | None = None) -> dict | None:
-    """``{token: id}`` when the vocabulary's measured size fits ``budget``, else None.
-
-    One job: the byte size and the entries are aggregated together (the top-k
-    is already a single partition of at most ``max_size`` rows) and the entries
-    reach the driver only when the size fits."""
+    """``{token: id}`` when the vocabulary's measured size fits ``budget``, else None. The size is
+    summed first, so the entries are gathered only when they fit."""
     budget = BROADCAST_BUDGET if budget is None else budget
-    nbytes = F.coalesce(F.sum(F.octet_length("token") + 16), F.lit(0))
-    row = vocab.agg(nbytes.alias("b"), F.collect_list(F.struct("token", "id")).alias("e")).select(
-        F.when(F.col("b") <= budget, F.col("e")).alias("e")).first()
-    if row is None or row["e"] is None:
-        return None
-    return {t: i for t, i in row["e"]}
+    nbytes = vocab.agg(F.coalesce(F.sum(F.octet_length("token") + 16), F.lit(0)).alias("b")).first()["b"]
+    return None if nbytes > budget else {r["token"]: r["id"] for r in vocab.select("token", "id").collect()}
+
+
+def numbered(df: DataFrame, *cols) -> DataFrame:
+    """``cols`` with a unique ``_rid`` per row, written to the checkpoint folder so that a recomputed
+    task can't number its rows anew. Regrouping by it keeps rows with equal keys apart."""
+    return cut_lineage(df.select(*cols, F.monotonically_increasing_id().alias("_rid")))
 
 
 def token_ids(spark, table: dict, texts: Sequence[Column]) -> Column:
@@ -70,11 +70,6 @@ def token_ids(spark, table: dict, texts: Sequence[Column]) -> Column:
     return lookup(F.array(*texts))
 
 
-def _vocab_side(vocab: DataFrame) -> DataFrame:
-    """Join side when the vocabulary did not fit the broadcast budget (measured)."""
-    return vocab
-
-
 def truncate(ids, n: int) -> Column:
     """Keep at most n ids, the last kept one being eos."""
     c = F.col(ids) if isinstance(ids, str) else ids
@@ -112,34 +107,36 @@ def shift_right(ids) -> Column:
 
 
 def encode(df: DataFrame, col: str, vocab: DataFrame, max_len: int, key: str = "row_id",
-           out: str | None = None, max_size: int = 32000) -> DataFrame:
+           out: str | None = None, table: dict | None = None) -> DataFrame:
     """C2 (+C3): ids of the whitespace tokens of ``col`` (OOV → unk), eos
-    appended, truncated to ``max_len`` with eos kept. Returns ``(key, out)``.
+    appended, truncated to ``max_len`` with eos kept. Returns ``(key, out)``,
+    one row per input row (rows with equal keys stay apart).
 
     Plan: lookup in the broadcast vocabulary, in-stage (no shuffle), when its
-    measured size fits; else explode → join on the token → one shuffle on
-    ``key`` to regroup a row's ids (``posexplode_outer`` keeps rows without
-    tokens). ``max_size`` bounds the vocabulary's rows (it is a top-k).
+    measured size fits (``table``: one measured before); else explode → join on
+    the token → one shuffle on a generated row number to regroup a row's ids.
+    Both plans return the same rows.
     """
     out = out or f"{col}_ids"
-    table = vocab_table(vocab)
+    table = vocab_table(vocab) if table is None else table
     if table is not None:
         ids = F.concat(token_ids(df.sparkSession, table, [F.col(col)])[0], F.array(F.lit(EOS)))
         return df.select(key, truncate(ids, max_len).alias(out))
-    exploded = df.select(key, F.posexplode_outer(tokens(col)).alias("_pos", "token"))
-    joined = exploded.join(_vocab_side(vocab), "token", "left")
+    rows = numbered(df, F.col(key).alias("_key"), F.col(col).alias("_text"))
+    exploded = rows.select("_rid", "_key", F.posexplode_outer(tokens("_text")).alias("_pos", "token"))
+    joined = exploded.join(vocab, "token", "left")
     item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("id", F.lit(UNK)).alias("id")))
-    per_row = joined.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("_ids"))
+    per_row = joined.groupBy("_rid", "_key").agg(F.sort_array(F.collect_list(item)).alias("_ids"))
     ids = F.concat(F.transform("_ids", lambda s: s["id"]), F.array(F.lit(EOS)))
-    return per_row.select(key, truncate(ids, max_len).alias(out))
+    return per_row.select(F.col("_key").alias(key), truncate(ids, max_len).alias(out))
 
 
 def decode(df: DataFrame, col: str, vocab: DataFrame, key: str = "row_id", out: str | None = None,
-           max_size: int = 32000) -> DataFrame:
+           table: dict | None = None) -> DataFrame:
     """Ids → text joined by spaces, skipping special ids (pad, eos, unk)
     and ids outside the vocabulary. Same plan choice as ``encode``."""
     out = out or f"{col}_text"
-    table = vocab_table(vocab)
+    table = vocab_table(vocab) if table is None else table
     if table is not None:
         bc = df.sparkSession.sparkContext.broadcast({i: t for t, i in table.items()})
 
@@ -150,12 +147,13 @@ def decode(df: DataFrame, col: str, vocab: DataFrame, key: str = "row_id", out:
                               for ids in rows], dtype=object)
         kept = F.filter(unmask_labels(col), lambda x: ~x.isin(*SPECIAL_IDS))
         return df.select(key, text_of(kept).alias(out))
-    exploded = df.select(key, F.posexplode_outer(unmask_labels(col)).alias("_pos", "id"))
-    joined = exploded.join(_vocab_side(vocab), "id", "left")
+    rows = numbered(df, F.col(key).alias("_key"), unmask_labels(col).alias("_ids"))
+    exploded = rows.select("_rid", "_key", F.posexplode_outer("_ids").alias("_pos", "id"))
+    joined = exploded.join(vocab, "id", "left")
     keep = F.col("_pos").isNotNull() & ~F.col("id").isin(*SPECIAL_IDS) & F.col("token").isNotNull()
-    per_row = joined.groupBy(key).agg(
+    per_row = joined.groupBy("_rid", "_key").agg(
         F.sort_array(F.collect_list(F.when(keep, F.struct("_pos", "token")))).alias("_t"))
-    return per_row.select(key, F.array_join(F.transform("_t", lambda s: s["token"]), " ").alias(out))
+    return per_row.select(F.col("_key").alias(key), F.array_join(F.transform("_t", lambda s: s["token"]), " ").alias(out))
 
 
 def gen_len(df: DataFrame, col: str, by=()) -> DataFrame:

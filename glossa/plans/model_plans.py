@@ -26,7 +26,8 @@ pp AS (SELECT pair_id, avg(m) AS precision FROM (SELECT pair_id, ppos, max(cs) A
 rr AS (SELECT pair_id, avg(m) AS recall FROM (SELECT pair_id, rpos, max(cs) AS m FROM s GROUP BY ALL) GROUP BY ALL),
 prf AS (SELECT pair_id, precision, recall,
                CASE WHEN precision + recall <> 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1
-        FROM pp JOIN rr USING (pair_id))"""
+        FROM (SELECT a.pair_id, coalesce(precision, 0) AS precision, coalesce(recall, 0) AS recall
+              FROM (SELECT DISTINCT pair_id FROM tokvec) a LEFT JOIN pp USING (pair_id) LEFT JOIN rr USING (pair_id)))"""
 
 
 @query("f7_greedy_match_pairs", ops=("F7",), sql=_with(_GM_PAIRS + """
@@ -114,7 +115,7 @@ SELECT a.seq_id, a.src_pos, a.tgt_pos, round(a.score - b.score, 6) AS score
 FROM sq a JOIN pairs USING (seq_id)
 JOIN sq b ON b.seq_id = a.seq_id + 1 AND b.src_pos = a.src_pos AND b.tgt_pos = a.tgt_pos""", "attributions"))
 def j7_pair_diff(spark, sf):
-    return round_doubles(A.paired_next(A.squeeze(V.attributions(spark, sf)), 8))
+    return round_doubles(A.pair_diff(*A.next_pairs(A.squeeze(V.attributions(spark, sf)), 8)))
 
 
 @query("j9_weight_by_step", ops=("J9",), sql=_with(_SQZ + """

@@ -82,11 +82,11 @@ def _vocab(spark, sf):
 
 
 def _prepared(spark, sf):
-    return B.prepare(V.nli(spark, sf), _vocab(spark, sf), max_size=VOCAB_SIZE)
+    return B.prepare(V.nli(spark, sf), _vocab(spark, sf))
 
 
 def _hyp_ids(spark, sf, max_len=512):
-    return TK.encode(V.nli(spark, sf), "hypothesis", _vocab(spark, sf), max_len, out="ids", max_size=VOCAB_SIZE)
+    return TK.encode(V.nli(spark, sf), "hypothesis", _vocab(spark, sf), max_len, out="ids")
 
 
 # ---- B ----------------------------------------------------------------------
@@ -205,8 +205,9 @@ SELECT n.row_id, coalesce((SELECT array_to_string(list(token ORDER BY pos), ' ')
 FROM nli n""", "nli"))
 def c6_decode(spark, sf):
     vocab = _vocab(spark, sf)
-    ids = TK.encode(V.nli(spark, sf), "hypothesis", vocab, 512, out="ids", max_size=VOCAB_SIZE)
-    return TK.decode(ids, "ids", vocab, out="text", max_size=VOCAB_SIZE)
+    table = TK.vocab_table(vocab)  # measured and gathered once for both directions
+    ids = TK.encode(V.nli(spark, sf), "hypothesis", vocab, 512, out="ids", table=table)
+    return TK.decode(ids, "ids", vocab, out="text", table=table)
 
 
 @query("c7_assign_batches", ops=("C7",), sql=V.with_views("""
@@ -218,7 +219,7 @@ def c7_assign_batches(spark, sf):
 
 
 _BATCHED_CTE = _ENC_CTE + f""",
-bt AS (SELECT *, (row_number() OVER (ORDER BY row_id) - 1) // {BATCH} AS batch_id FROM prepared WHERE split = 'test'),
+bt AS (SELECT *, (row_number() OVER (ORDER BY row_id) - 1) // {BATCH} AS batch_id FROM prepared),
 col AS (SELECT row_id, batch_id,
                {_pad('input_ids', 'max(len(input_ids)) OVER (PARTITION BY batch_id)')} AS input_ids,
                {_pad('attention_mask', 'max(len(attention_mask)) OVER (PARTITION BY batch_id)')} AS attention_mask,
@@ -227,9 +228,8 @@ col AS (SELECT row_id, batch_id,
 
 
 def _collated(spark, sf):
-    test = _prepared(spark, sf).filter(F.col("split") == "test").select(
-        "row_id", "input_ids", "attention_mask", "labels")
-    return B.collate(B.assign_batches(test, ["row_id"], BATCH).drop("row_idx"))
+    rows = _prepared(spark, sf).select("row_id", "input_ids", "attention_mask", "labels")
+    return B.collate(B.assign_batches(rows, ["row_id"], BATCH).drop("row_idx"))
 
 
 @query("c8_collate", ops=("C8",), sql=_with(_BATCHED_CTE + "\nSELECT * FROM col", "nli"))

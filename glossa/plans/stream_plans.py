@@ -45,7 +45,7 @@ def i2_stream_bucket_mean(spark, sf):
     S.stage_files(staged, src, 5, ["step"])
     q = S.stream_bucket_mean(S.file_stream(spark, src, staged.schema), 50, out, ck)
     q.awaitTermination()
-    return spark.read.parquet(out).withColumn("loss_reduced", F.round("loss_reduced", 6))
+    return S.read_bucket_mean(spark, out, 50).withColumn("loss_reduced", F.round("loss_reduced", 6))
 
 
 @query("i3_stream_samples", ops=("I3", "H4"), sql=REGISTRY["h4_sample_batches"].sql)

@@ -34,6 +34,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    if spark.sparkContext.master.startswith("local["):
+        # several tasks per core: per-row metric cost is heavy-tailed (whole lines of thousands of tokens)
+        spark.conf.set("spark.glossa.spreadTasks", 4 * spark.sparkContext.defaultParallelism)
     ensure_checkpoint_dir(spark)
     return spark
 

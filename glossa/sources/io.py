@@ -51,25 +51,35 @@ def _is_missing(e: AnalysisException) -> bool:
     return code == "PATH_NOT_FOUND" or (code is None and "Path does not exist" in str(e))
 
 
-def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], partition_by: str | None = "split",
-           schema: T.StructType | None = None) -> DataFrame:
-    """A2: read ``path`` if it exists, else build, write and read it back.
-    Only "not found" triggers the build; any other error propagates."""
-    reader = spark.read.schema(schema) if schema is not None else spark.read
+def _finished(spark: SparkSession, path: str) -> bool:
+    """Whether a job has committed ``path`` (its ``_SUCCESS`` marker exists)."""
     try:
-        return reader.parquet(path)
+        spark.read.format("binaryFile").load(path.rstrip("/") + "/_SUCCESS").limit(1).count()
+        return True
     except AnalysisException as e:
         if not _is_missing(e):
             raise
-    w = build().write.mode("errorifexists")
+        return False
+
+
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], partition_by: str | None = "split",
+           schema: T.StructType | None = None) -> DataFrame:
+    """A2: read ``path`` if a finished table is there, else build, write and read it back. A folder
+    without the writer's commit marker is what a failed build left and is overwritten; an error other
+    than "not found" propagates."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    if _finished(spark, path):
+        return reader.parquet(path)
+    w = build().write.mode("overwrite")
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
     return reader.parquet(path)
 
 
 def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A4: CSV with header, no index; quotes escaped by doubling so texts with
-    newlines and quotes round-trip."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """A4: CSV with header, no index; quotes escaped by doubling so texts with newlines and quotes
+    round-trip. Outer blanks are kept, and an empty text is written quoted, a null one unquoted."""
+    df.write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", '""') \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_predictions(spark: SparkSession, glob: str, schema: T.StructType = TEXT_PRED_SCHEMA,
@@ -77,7 +87,9 @@ def read_predictions(spark: SparkSession, glob: str, schema: T.StructType = TEXT
     """A3: read prediction CSVs by wildcard with an explicit schema; the source
     file is kept because glob order is undefined."""
     df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
-          .option("escape", '"').csv(glob))
+          .option("escape", '"').option("emptyValue", "")
+          # null is an unquoted nothing, an empty text a quoted one: null must not be spelt as the empty text
+          .option("nullValue", "\u0001null\u0001").csv(glob))
     return df.withColumn("source_file", F.col("_metadata.file_path")) if with_file else df
 
 

@@ -4,11 +4,10 @@
   (+ the same Arrow UDFs as the batch path) → ``groupBy(key, epoch)`` streaming
   aggregate in ``update`` mode → idempotent sink (dynamic partition overwrite of
   the updated keys). A new epoch key is the metric "reset".
-* I2 ``stream_bucket_mean``: the reference's reset-on-flush loss history as a
-  custom stateful operator (``applyInPandasWithState``) keyed by (run, bucket):
-  a bucket is emitted once complete, in any arrival order, and its state is
-  dropped; incomplete buckets time out on event time (the tail is never
-  emitted, as in the reference). State is O(open buckets).
+* I2 ``stream_bucket_mean``: the reset-on-flush loss history as a native grouped
+  state (sum, count, last step) per (run, bucket) in ``update`` mode; a bucket is
+  reported once its last step has arrived, whatever the order and whichever
+  steps are missing (the tail is never reported).
 * I3 ``stream_samples`` and K3 ``on_batch``: ``foreachBatch`` hooks whose
   writes are keyed by the micro-batch / sample batch so a replay overwrites
   instead of duplicating.
@@ -16,41 +15,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from glossa.operators import textmetrics as TM
 
 
-ROWS_PER_FILE = 1 << 20  # bound on the rows one staging task writes
-
-
 def stage_files(df: DataFrame, path: str, n_files: int, order: Sequence[str]) -> str:
-    """Write ``df`` as at least ``n_files`` Parquet files in ``order`` ranges (a
-    replayable file source whose files arrive as separate micro-batches). The
-    ranges are written one after the other, so file modification times follow
-    the order and the file source replays them in event-time order. Each range
-    is one sorted file written by one task, so the number of ranges grows with
-    the rows (at most about ``ROWS_PER_FILE`` per range). Range bounds are
-    approximate quantiles: every row still falls in exactly one range."""
-    first = order[0]
-    n_files = max(n_files, -(-df.count() // ROWS_PER_FILE))
-    bounds = df.approxQuantile(first, [i / n_files for i in range(1, n_files)], 1e-3) if n_files > 1 else []
-    edges = [None] + bounds + [None]
-    for i in range(n_files):
-        lo, hi = edges[i], edges[i + 1]
-        part = df
-        if lo is not None:
-            part = part.filter(F.col(first) > lo)
-        if hi is not None:
-            part = part.filter(F.col(first) <= hi)
-        part.coalesce(1).sortWithinPartitions(*order).write.mode("overwrite" if i == 0 else "append").parquet(path)
+    """Write ``df`` as ``n_files`` Parquet files in ``order`` ranges (a replayable file source whose files
+    arrive as separate micro-batches): one distributed pass, every row in one range, nulls in the first.
+    Range ``i`` is file ``i``, but files may finish in any order: no operator here needs them in order."""
+    df.repartitionByRange(n_files, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
     return path
 
 
@@ -80,61 +59,37 @@ def stream_metrics(stream: DataFrame, sink: str, checkpoint: str, by: Sequence[s
 
 # ---- I2 ------------------------------------------------------------------------
 
-_BUCKET_OUT = T.StructType([T.StructField("run", T.StringType()), T.StructField("step", T.LongType()),
-                            T.StructField("loss_reduced", T.DoubleType())])
-_BUCKET_STATE = T.StructType([T.StructField("s", T.DoubleType()), T.StructField("c", T.LongType()),
-                              T.StructField("ts_ms", T.LongType())])
-
-
-def _bucket_fn(every: int, delay_ms: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run, bucket = key
-        if state.hasTimedOut:  # incomplete bucket behind the watermark: never flushed
-            state.remove()
-            return
-        s, c, ts = state.get if state.exists else (0.0, 0, 0)
-        wm = state.getCurrentWatermarkMs()
-        for pdf in pdfs:
-            ms = pdf["ts"].map(lambda t: int(t.timestamp() * 1000))
-            pdf = pdf[ms >= wm]  # rows behind the watermark are late: dropped
-            if len(pdf) == 0:
-                continue
-            s += float(pdf["loss"].sum())
-            c += len(pdf)
-            ts = max(ts, int(ms[ms >= wm].max()))
-        if c == 0:
-            return
-        expected = every + 1 if bucket == 1 else every
-        if c >= expected:
-            state.remove()
-            yield pd.DataFrame({"run": [run], "step": [int(bucket) * every], "loss_reduced": [s / c]})
-        else:
-            state.update((s, c, ts))
-            state.setTimeoutTimestamp(max(ts + delay_ms, wm + 1))
-    return fn
-
-
-def bucket_stream(stream: DataFrame, every: int, delay: str = "1 day", delay_ms: int = 86_400_000,
-                  step: str = "step", run: str = "run") -> DataFrame:
+def bucket_stream(stream: DataFrame, every: int, step: str = "step", value: str = "loss",
+                  run: str = "run") -> DataFrame:
+    """Running sum, count and last step per (run, bucket): a native grouped state, one row a bucket."""
     bucket = F.greatest(F.ceil(F.col(step) / every), F.lit(1)).cast("bigint")
-    # watermarks need TIMESTAMP (with zone); Parquet timestamps may arrive as TIMESTAMP_NTZ
-    timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    keyed = timed.withWatermark("ts", delay).select(F.col(run).alias("run"), bucket.alias("bucket"),
-                                                      F.col(step).alias("step"), "loss", "ts")
-    return keyed.groupBy("run", "bucket").applyInPandasWithState(
-        _bucket_fn(every, delay_ms), _BUCKET_OUT, _BUCKET_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return stream.groupBy(F.col(run).alias("run"), bucket.alias("bucket")).agg(
+        F.sum(value).alias("total"), F.count(value).alias("n"), F.max(step).alias("last"))
 
 
-def stream_bucket_mean(stream: DataFrame, every: int, sink: str, checkpoint: str, delay_ms: int = 86_400_000,
+def stream_bucket_mean(stream: DataFrame, every: int, sink: str, checkpoint: str,
                        available_now: bool = True) -> StreamingQuery:
-    """Flushed bucket means appended to a Parquet sink (exactly-once file sink)."""
-    out = bucket_stream(stream, every, f"{delay_ms // 1000} seconds", delay_ms)
-    w = out.writeStream.outputMode("append").format("parquet").option("path", sink) \
-        .option("checkpointLocation", checkpoint)
+    """Each micro-batch writes the buckets it changed under its own number (a replay overwrites them);
+    ``read_bucket_mean`` takes the latest state of each. Rows may arrive in any order and steps may be
+    missing: the result is that of the batch operator (H5) on all rows seen."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("micro_batch", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("micro_batch").parquet(sink))
+    w = bucket_stream(stream, every).writeStream.outputMode("update") \
+        .option("checkpointLocation", checkpoint).foreachBatch(write)
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()
 
 
+def read_bucket_mean(spark: SparkSession, sink: str, every: int) -> DataFrame:
+    """(run, step, loss_reduced) of the flushed buckets: those whose last step k·N has arrived."""
+    latest = spark.read.parquet(sink).groupBy("run", "bucket").agg(
+        F.max_by(F.struct("total", "n", "last"), "micro_batch").alias("s"))
+    flushed = latest.filter(F.col("s.last") == F.col("bucket") * every)
+    return flushed.select("run", (F.col("bucket") * every).alias("step"),
+                          F.try_divide("s.total", "s.n").alias("loss_reduced"))
+
+
 # ---- I3 / K3 --------------------------------------------------------------------
 
 def on_batch(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str,

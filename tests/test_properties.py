@@ -38,10 +38,10 @@ def test_error_overlap_cells_sum_to_rows(spark):
 def test_decode_encode_roundtrip_in_vocab(spark):
     df = spark.createDataFrame([(1, "a b  c"), (2, ""), (3, "b z")], "row_id long, text string")
     vocab = spark.createDataFrame([("a", 3), ("b", 4), ("c", 5)], "token string, id int")
-    enc = TK.encode(df, "text", vocab, 16, out="ids", max_size=3)
+    enc = TK.encode(df, "text", vocab, 16, out="ids")
     got = {r["row_id"]: r["ids"] for r in enc.collect()}
     assert got == {1: [3, 4, 5, 1], 2: [1], 3: [4, 2, 1]}
-    dec = {r["row_id"]: r["ids_text"] for r in TK.decode(enc, "ids", vocab, max_size=3).collect()}
+    dec = {r["row_id"]: r["ids_text"] for r in TK.decode(enc, "ids", vocab).collect()}
     assert dec == {1: "a b c", 2: "", 3: "b"}
 
 
@@ -147,3 +147,39 @@ def test_regex_literal_guard_is_exact(spark):
         *[(match_group("generated_text", i, pattern).eqNullSafe(
             F.regexp_extract("generated_text", "(?d)" + pattern, i))).alias(f"g{i}") for i in (1, 2, 3)])
     assert got.filter(~(F.col("c") & F.col("g1") & F.col("g2") & F.col("g3"))).count() == 0
+
+
+def test_encode_keeps_rows_with_equal_keys_apart(spark, monkeypatch):
+    from glossa.operators import tokens as TK
+    df = spark.createDataFrame([(1, "a b"), (1, "b")], "row_id long, text string")
+    vocab = spark.createDataFrame([("a", 3), ("b", 4)], "token string, id int")
+    want = [(1, [3, 4, 1]), (1, [4, 1])]
+    for budget in (1 << 20, 0):
+        monkeypatch.setattr(TK, "BROADCAST_BUDGET", budget)
+        enc = TK.encode(df, "text", vocab, 16, out="ids")
+        assert sorted((r.row_id, r.ids) for r in enc.collect()) == want
+        assert sorted(r.ids_text for r in TK.decode(enc, "ids", vocab).collect()) == ["a b", "b"]
+
+
+def test_greedy_match_scores_one_sided_and_zero_pairs_zero(spark):
+    rows = [(1, "pred", 0, [1.0, 0.0], 1), (1, "ref", 0, [1.0, 0.0], 1), (2, "pred", 0, [1.0, 0.0], 1),
+            (3, "pred", 0, [0.0, 0.0], 1), (3, "ref", 0, [1.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "pair_id long, side string, pos long, vec array<float>, mask int")
+    got = {r.pair_id: (r.precision, r.recall, r.f1) for r in VEC.greedy_match_pairs(df).collect()}
+    assert got == {1: (1.0, 1.0, 1.0), 2: (0.0, 0.0, 0.0), 3: (0.0, 0.0, 0.0)}
+
+
+def test_masked_pool_of_a_fully_masked_sequence(spark):
+    df = spark.createDataFrame([(1, "pred", [1.0, 2.0], 0)], "pair_id long, side string, vec array<float>, mask int")
+    assert VEC.masked_mean_pool(df).collect()[0]["pooled"] == [0.0, 0.0]
+    assert VEC.masked_mean_pool(df, divide_by="mask").collect()[0]["pooled"] == [None, None]
+
+
+def test_pair_diff_fails_on_misaligned_cells(spark):
+    from glossa.operators import attribution as A
+    schema = f"{A.SEQ} long, {A.SRC} long, {A.TGT} long, {A.SCORE} double"
+    a = spark.createDataFrame([(0, 0, 0, 3.0), (1, 0, 0, 5.0)], schema)
+    b = spark.createDataFrame([(0, 0, 0, 1.0), (1, 0, 0, 1.0)], schema)
+    assert sorted(r[A.SCORE] for r in A.pair_diff(a, b).collect()) == [2.0, 4.0]
+    with pytest.raises(Exception, match="not aligned"):
+        A.pair_diff(a, b.filter(f"{A.SEQ} = 0")).collect()

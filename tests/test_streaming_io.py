@@ -33,7 +33,7 @@ def test_stream_bucket_mean_equals_batch(spark, tmp_path):
     src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
     S.stage_files(log, src, 4, ["step"])
     S.stream_bucket_mean(S.file_stream(spark, src, log.schema), 50, out, ck).awaitTermination()
-    got = {r["step"]: r["loss_reduced"] for r in spark.read.parquet(out).collect()}
+    got = {r["step"]: r["loss_reduced"] for r in S.read_bucket_mean(spark, out, 50).collect()}
     want = {r["step"]: r["loss_reduced"] for r in TM.bucket_mean(log, 50).collect()}
     assert got.keys() == want.keys()
     for k in want:
@@ -71,24 +71,39 @@ def test_predictions_csv_roundtrip_with_newlines_and_quotes(spark, tmp_path):
     assert back[0]["input_text"] == "a \"quoted\"\nline"
 
 
-def test_stream_bucket_mean_drops_late_rows(spark, tmp_path):
-    """Rows older than the watermark are dropped: the bucket they belong to stays
-    incomplete and is never emitted (as the reference never flushes a partial bucket)."""
-    import datetime as dt
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([T.StructField("run", T.StringType()), T.StructField("step", T.LongType()),
-                           T.StructField("loss", T.DoubleType()), T.StructField("ts", T.TimestampType())])
-    day = lambda d: dt.datetime(2024, 1, d)
-    on_time = [("r", s, float(s), day(10)) for s in (3, 4, 5, 6)]
-    late = [("r", s, float(s), day(1)) for s in (0, 1, 2)]
+def test_stream_bucket_mean_keeps_buckets_with_missing_steps(spark, tmp_path):
+    """Steps 0..20 without step 7, the later rows first: buckets 10 and 20 are both flushed, as in batch."""
+    rows = [("r", s, float(s)) for s in range(21) if s != 7]
     src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
-    spark.createDataFrame(on_time, schema).coalesce(1).write.parquet(src)
-    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(src)
-    S.stream_bucket_mean(S.file_stream(spark, src, schema), 2, out, ck).awaitTermination()
-    got = {r["step"]: r["loss_reduced"] for r in spark.read.parquet(out).collect()}
-    assert got == {4: pytest.approx(3.5), 6: pytest.approx(5.5)}
+    schema = "run string, step long, loss double"
+    spark.createDataFrame(rows[12:], schema).coalesce(1).write.parquet(src)
+    spark.createDataFrame(rows[:12], schema).coalesce(1).write.mode("append").parquet(src)
+    log = spark.createDataFrame(rows, schema)
+    S.stream_bucket_mean(S.file_stream(spark, src, log.schema), 10, out, ck).awaitTermination()
+    got = {r["step"]: r["loss_reduced"] for r in S.read_bucket_mean(spark, out, 10).collect()}
+    want = {r["step"]: r["loss_reduced"] for r in TM.bucket_mean(log, 10).collect()}
+    assert got == pytest.approx(want) and set(got) == {10, 20}
+
+
+def test_staging_keeps_null_order_keys(spark, tmp_path):
+    df = spark.createDataFrame([(i if i % 3 else None,) for i in range(10)], "k long")
+    S.stage_files(df, str(tmp_path / "s"), 3, ["k"])
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 10
+
+
+def test_csv_keeps_blanks_and_empty_texts(spark, tmp_path):
+    rows = [("  lead", "trail  ", "", None, "x")]
+    io.write_predictions(spark.createDataFrame(rows, io.TEXT_PRED_SCHEMA), str(tmp_path / "c"))
+    back = io.read_predictions(spark, str(tmp_path / "c"), with_file=False).collect()
+    assert [tuple(r) for r in back] == rows
+
+
+def test_cached_rebuilds_an_unfinished_folder(spark, tmp_path):
+    path = tmp_path / "half"
+    path.mkdir()
+    (path / "split=test").mkdir()
+    rows = V.nli(spark, SF_SMALL).select(*[f.name for f in io.NLI_SCHEMA.fields])
+    assert io.cached(spark, str(path), lambda: rows, schema=io.NLI_SCHEMA).count() == rows.count() > 0
 
 
 def test_observe_batch_collects_metrics_in_the_same_pass(spark):
