@@ -4,8 +4,7 @@ A text is a bag of units: its white-space words (ASCII lower-cased; a word over
 windows; a run of three or more one-letter words is one unit, so spaced-out words are seen). The kernel of two units
 counts their common subsequences of three characters, each occurrence weighted by ``DECAY`` per skipped character, with
 at most two skipped characters in all; digits and punctuation are skipped only, never part of one. So gapped and inserted-character spellings stay close to the plain word:
-``K(x, y) = sum_u phi_u(x) phi_u(y) / (N(x) N(y))`` with ``N`` the norm of ``phi`` (over occurrences, unless the unit
-repeats its characters, ``REPEATS``).
+``K(x, y) = sum_u phi_u(x) phi_u(y) / (N(x) N(y))`` with ``N`` the norm of ``phi``.
 
 Training (multiple-instance SVM): a bounded sample of labelled texts, in which a toxic text is a bag with at least one
 toxic unit. Witness units of the toxic bags (first: units in so many contexts of toxic texts that their absence from
@@ -44,7 +43,6 @@ TOXIC_DOCS = 1500
 CLEAN_DOCS = 3000
 SAMPLE_CHARS = 1 << 16
 NO_UNIT = -4.0
-REPEATS = 6
 SURE = 5.0
 THRESHOLD = 0.7
 _CLASS = np.zeros(256, dtype=np.int64)  # letters, bytes of other scripts; 0: padding and what only counts as a gap
@@ -107,22 +105,29 @@ def unit_keys(units: np.ndarray) -> np.ndarray:
     return h
 
 
+_WEIGHT = np.array([1.0, DECAY, DECAY**2, 0.0], dtype=np.float32)  # by skipped characters; 3: not an occurrence
+
+
 def features(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(feature ids, weights, norms): a column per occurrence; the weight is 0 where a pattern meets no letter."""
-    c = _CLASS[units]
-    ids, weights = [], []
+    c = _CLASS[units].astype(np.int32)
+    keys = []  # feature id and skipped characters in one integer
     for g, h in PATTERNS:
         span = g + h + 3
         x, y, z = c[:, :WIDTH - span + 1], c[:, g + 1:g + 1 + WIDTH - span + 1], c[:, span - 1:]
-        ids.append((x * 64 + y) * 64 + z)
-        weights.append(((x > 0) & (y > 0) & (z > 0)) * np.float32(DECAY ** (g + h)))
-    ids, w = np.concatenate(ids, axis=1), np.concatenate(weights, axis=1)
-    norm = (w * w).sum(axis=1)
-    same = sum((c[:, j:] == c[:, :-j]).sum(axis=1) - (c[:, j:] == 0).sum(axis=1) for j in (1, 2, 3, 4))
-    for r in np.flatnonzero(same >= REPEATS):  # a subsequence may occur often: sum its occurrences first
-        phi = np.bincount(np.unique(ids[r], return_inverse=True)[1], weights=w[r])
-        norm[r] = (phi * phi).sum()
-    return ids, w, np.sqrt(norm)
+        keys.append(((x * 64 + y) * 64 + z) * 4 + np.where((x > 0) & (y > 0) & (z > 0), g + h, 3))
+    keys = np.concatenate(keys, axis=1)
+    n, m = keys.shape
+    if not n:
+        return keys, keys.astype(np.float32), np.zeros(0, np.float32)
+    # phi sums the occurrences of a feature: equal ids are neighbours in a sorted row
+    ordered = np.sort(keys, axis=1)
+    edge = np.ones((n, m), dtype=bool)
+    edge[:, 1:] = ordered[:, 1:] >> 2 != ordered[:, :-1] >> 2
+    at = np.flatnonzero(edge)
+    phi = np.add.reduceat(_WEIGHT[ordered & 3].ravel(), at)
+    norm = np.sqrt(np.bincount(at // m, weights=phi * phi, minlength=n))
+    return keys >> 2, _WEIGHT[keys & 3], norm.astype(np.float32)
 
 
 @dataclass
