@@ -121,7 +121,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROW
         .drop("count")
     shard = F.pmod(F.xxhash64(*rows.columns), F.lit(shards)).cast("int")
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         out = pack_shard(group, capacity)
         out.insert(3, "shard", key[0])
         return out
