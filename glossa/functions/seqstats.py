@@ -1,15 +1,7 @@
-"""Small per-row helpers for the two sequential text statistics that Spark's
-array functions cannot express in linear time:
-
-* LCS length and LCS-matched positions (ROUGE-L / ROUGE-Lsum) with the
-  bit-parallel row recurrence V' = (V + U) | (V - U), U = V & match(t): one
-  machine-word pass per predicted token instead of an O(m·n) table of lambdas;
-* chrF++ n-gram statistics (character 1–6-grams, word 1–2-grams) with hashed
-  counters, which are O(n) where sorted-array tricks are O(n²);
-* clipped n-gram overlaps for BLEU (max count over references) and ROUGE-1/2,
-  also with hashed counters: native ``array_remove`` counting is
-  O(distinct × n) per text, which whole lines of thousands of tokens make
-  quadratic.
+"""Per-text tokenisers equal to the native expressions, and the sequential text statistic that Spark's array
+functions cannot express in linear time: LCS length and LCS-matched positions (ROUGE-L / ROUGE-Lsum) with the
+bit-parallel row recurrence V' = (V + U) | (V - U), U = V & match(t): one machine-word pass per predicted token
+instead of an O(m·n) table of lambdas. (N-gram counts are in ``ngrambatch``.)
 
 They run inside Arrow-batched pandas UDFs on Spark partitions (see
 ``glossa.operators.textmetrics``); nothing here touches Spark.
@@ -20,10 +12,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-# chrF++ orders and beta.
-CHAR_ORDER = 6
-WORD_ORDER = 2
-BETA = 2.0
 _PUNCT = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 # The tokenisation of ``glossa.functions.text`` in Python ``re``. Java's ``\s`` (no
@@ -111,55 +99,16 @@ def lcs_target_positions(pred, target, masks=None) -> list[int]:
     return out
 
 
-def ngram_counts(toks, n: int) -> Counter:
-    """Counts of the n-token windows of ``toks`` (tuples)."""
-    return Counter(zip(*(toks[i:] for i in range(n)))) if n > 1 else Counter(toks)
-
-
-def clipped(pred: Counter, ref: Counter) -> int:
-    """Σ_g min(pred(g), ref(g)), iterating the smaller counter."""
-    if len(pred) > len(ref):
-        pred, ref = ref, pred
-    return sum(min(c, ref[g]) for g, c in pred.items() if g in ref)
-
-
-def bleu_clipped(pred, refs, n_max: int) -> list[int]:
-    """Per order 1..n_max: Σ_g min(count in pred, max over references of count)."""
-    pred = list(pred)
-    refs = [list(r) for r in (refs if refs is not None else [])]
-    out = []
-    for n in range(1, n_max + 1):
-        pc = ngram_counts(pred, n)
-        if not pc:
-            out.append(0)
-            continue
-        best: Counter = Counter()
-        for r in refs:
-            rc = ngram_counts(r, n)
-            for g in pc.keys() & rc.keys():
-                if rc[g] > best[g]:
-                    best[g] = rc[g]
-        out.append(sum(min(c, best[g]) for g, c in pc.items() if g in best))
-    return out
-
-
-def rouge_hits(pred_sents, target_sents, keys) -> dict:
-    """Hit counts of one (prediction, reference) pair for the requested ROUGE
-    keys, from sentence-split normalised tokens (the flattened sentences are
-    the text's tokens)."""
-    ps = [list(s) for s in (pred_sents if pred_sents is not None else [])]
-    ts = [list(s) for s in (target_sents if target_sents is not None else [])]
-    p = [t for s in ps for t in s]
-    t = [x for s in ts for x in s]
+def lcs_hits(pred_sents, target_sents, keys) -> dict:
+    """ROUGE-L / ROUGE-Lsum hits and token counts of one (prediction, reference) pair, from sentence-split
+    normalised tokens (the flattened sentences are the text's tokens)."""
+    p = [t for s in pred_sents for t in s]
+    t = [x for s in target_sents for x in s]
     out = {"pl": len(p), "tl": len(t)}
-    if "rouge1" in keys:
-        out["rouge1"] = clipped(Counter(p), Counter(t))
-    if "rouge2" in keys:
-        out["rouge2"] = clipped(ngram_counts(p, 2), ngram_counts(t, 2))
     if "rougeL" in keys:
         out["rougeL"] = lcs_length(p, t)
     if "rougeLsum" in keys:
-        out["rougeLsum"] = union_lcs_hits(ps, ts)
+        out["rougeLsum"] = union_lcs_hits(pred_sents, target_sents)
     return out
 
 
@@ -195,11 +144,10 @@ def union_lcs_hits(pred_sents, target_sents) -> int:
     return hits
 
 
-# ---- chrF++ -----------------------------------------------------------------
-
-def chrf_words(text: str) -> list[str]:
+def chrf_words(text) -> list[str]:
+    """``text.chrf_words``: whitespace tokens with one trailing, else leading, punctuation mark split off."""
     out: list[str] = []
-    for w in text.strip().split():
+    for w in ws_tokens(text):
         if len(w) == 1:
             out.append(w)
         elif w[-1] in _PUNCT:
@@ -209,49 +157,3 @@ def chrf_words(text: str) -> list[str]:
         else:
             out.append(w)
     return out
-
-
-def chrf_counters(text: str) -> tuple[list[Counter], list[int]]:
-    """Counters of character 1..6-grams (spaces removed) and word 1..2-grams, and their totals."""
-    chars = (text or "").strip().replace(" ", "")
-    words = chrf_words(text or "")
-    out = [Counter(chars)]
-    out += [Counter([chars[i:i + n] for i in range(len(chars) - n + 1)]) for n in range(2, CHAR_ORDER + 1)]
-    out.append(Counter(words))
-    out += [Counter([tuple(words[i:i + n]) for i in range(len(words) - n + 1)]) for n in range(2, WORD_ORDER + 1)]
-    totals = [max(len(chars) - n + 1, 0) for n in range(1, CHAR_ORDER + 1)]
-    totals += [max(len(words) - n + 1, 0) for n in range(1, WORD_ORDER + 1)]
-    return out, totals
-
-
-def _matches(a: Counter, b: Counter) -> int:
-    if len(a) > len(b):
-        a, b = b, a
-    return sum(min(v, b[k]) for k, v in a.items() if k in b)
-
-
-def chrf_fscore(match, hyp, ref) -> float:
-    b2 = BETA * BETA
-    total = 0.0
-    for m, h, r in zip(match, hyp, ref):
-        p = m / h if h > 0 else 0.0
-        rc = m / r if r > 0 else 0.0
-        den = b2 * p + rc
-        total += (1 + b2) * p * rc / den if den > 0 else 0.0
-    return total / (CHAR_ORDER + WORD_ORDER)
-
-
-def chrf_sentence_stats(pred: str, refs, counters=chrf_counters) -> tuple[list[int], list[int], list[int]]:
-    """(match, hyp, ref) counts per order for the best reference; the first
-    reference wins ties, and when every reference scores 0 no reference
-    counts are added (only the hypothesis counts). ``counters`` may memoise
-    (references are shared by every system scored on the same rows)."""
-    pc, hyp = counters(pred)
-    best_f, best_m, best_r = 0.0, [0] * len(pc), [0] * len(pc)
-    for r in (refs if refs is not None else []):
-        rc, ref = counters(r)
-        match = [_matches(a, b) for a, b in zip(pc, rc)]
-        f = chrf_fscore(match, hyp, ref)
-        if f > best_f:
-            best_f, best_m, best_r = f, match, ref
-    return best_m, hyp, best_r

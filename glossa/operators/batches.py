@@ -24,7 +24,7 @@ def shuffle_order(df: DataFrame, key: str, seed: int, name: str = "shuffle_idx")
 
 
 def limit_batches(df: DataFrame, k: int | None, batch: str = "batch_id") -> DataFrame:
-    """First k batches (None = all) as a filter, which prunes early."""
+    """First k batches (None = all), a filter on the assigned number."""
     return df if k is None else df.filter(F.col(batch) < k)
 
 

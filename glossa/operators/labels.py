@@ -88,7 +88,7 @@ def weighted_prf(df: DataFrame, by=None, ref: str = REF, pred: str = PRED,
     """Support-weighted precision, recall and F1 (weighted recall = accuracy)."""
     pcl = per_class(df, by, ref, pred, from_confusion)
     sup = F.col("support")
-    w = lambda m: (F.sum(F.col(m) * sup) / F.sum(sup)).alias(m)
+    w = lambda m: F.coalesce(F.try_divide(F.sum(F.col(m) * sup), F.sum(sup)), F.lit(0.0)).alias(m)
     return pcl.groupBy(*_by(by)).agg(w("precision"), w("recall"), w("f1"))
 
 
@@ -111,15 +111,26 @@ def f1_micro(df: DataFrame, by=None, ref: str = REF, pred: str = PRED,
 
 
 def label_report(df: DataFrame, by=None, ref: str = REF, pred: str = PRED) -> DataFrame:
-    """E2–E4 from one confusion table: the input is scanned once."""
-    # without a group key, a constant key makes the three K-row results joinable by equality
-    b = _by(by) or ["_all"]
-    src = df if by else df.withColumn("_all", F.lit(0))
-    conf = confusion(src, b, ref, pred).cache()
-    out = (weighted_prf(conf, b, ref, pred, True)
-           .join(accuracy(conf, b, ref, pred, True).drop("n"), b)
-           .join(f1_micro(conf, b, ref, pred, True), b))
-    return out if by else out.drop("_all")
+    """E2–E4 in one pass: every metric follows from the per-class (tp, support, predicted) counts and the
+    number of rows, one aggregate over the confusion table. Without any reference label the metrics are 0."""
+    b, n, zero = _by(by), F.col("n"), F.lit(0).cast("long")
+    sides = F.array(
+        F.struct(F.col(ref).alias("label"), F.when(F.col(ref) == F.col(pred), n).otherwise(zero).alias("tp"),
+                 n.alias("support"), zero.alias("predicted"), n.alias("rows")),
+        F.struct(F.col(pred).alias("label"), zero.alias("tp"), zero.alias("support"), n.alias("predicted"), zero.alias("rows")))
+    counts = confusion(df, by, ref, pred).select(*b, F.explode(sides).alias("_c")).select(*b, "_c.*") \
+        .groupBy(*b, "label").agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted", "rows")])
+    known = F.col("label").isNotNull()
+    tp, sup, pc = (F.when(known, F.col(c)).otherwise(zero) for c in ("tp", "support", "predicted"))
+
+    def weighted(m: Column) -> Column:
+        return F.coalesce(F.try_divide(F.sum(m * sup), F.sum(sup)), F.lit(0.0))
+
+    return counts.groupBy(*b).agg(
+        weighted(_ratio(tp, pc)).alias("precision"), weighted(_ratio(tp, sup)).alias("recall"),
+        weighted(_ratio(2 * tp, sup + pc)).alias("f1"),
+        F.coalesce(F.try_divide(F.sum(tp), F.sum("rows")), F.lit(0.0)).alias("accuracy"),
+        _ratio(2 * F.sum(tp), F.sum(sup) + F.sum(pc)).alias("f1_micro"))
 
 
 # ---- logits (E6, E7) --------------------------------------------------------
@@ -141,8 +152,3 @@ def nll_expr(logits: str, y: str) -> Column:
 def cross_entropy(df: DataFrame, logits: str = "logits", y: str = "y", by=None) -> DataFrame:
     """Mean cross-entropy."""
     return df.groupBy(*_by(by)).agg(F.avg(nll_expr(logits, y)).alias("cross_entropy"))
-
-
-def vector_mean(df: DataFrame, col: str, by=None, alias: str | None = None) -> DataFrame:
-    """``sum(v) / len(v)`` over a per-pair metric column."""
-    return df.groupBy(*_by(by)).agg(F.avg(col).alias(alias or col))

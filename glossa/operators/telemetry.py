@@ -22,11 +22,10 @@ def _seeded_hash(key: str, seed: int) -> Column:
 
 def sample_n(df: DataFrame, n: int, seed: int, key: str = "row_id", check: bool = True) -> DataFrame:
     """H1: exactly n rows without replacement (n must not exceed the row count)."""
-    if check:
-        total = df.count()
-        if n > total:
-            raise ValueError(f"cannot sample {n} rows from {total}")
-    return df.orderBy(_seeded_hash(key, seed), F.col(key)).limit(n)
+    out = df.orderBy(_seeded_hash(key, seed), F.col(key)).limit(n)
+    if check and df.limit(n).count() < n:
+        raise ValueError(f"cannot sample {n} rows from fewer")
+    return out
 
 
 def head(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
@@ -35,8 +34,10 @@ def head(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
 
 
 def row_at(df: DataFrame, i: int, order: Sequence[str], index: str = "row_idx") -> DataFrame:
-    """H3: the row at 0-based position i in ``order`` (dense index, then filter)."""
-    return dense_index(df, list(order), index).filter(F.col(index) == i)
+    """H3: the row at 0-based position i in ``order``, which must be unique: only the order's columns are
+    indexed, and the one found is joined back to its row."""
+    found = dense_index(df.select(*order), list(order), index).filter(F.col(index) == i)
+    return df.join(F.broadcast(found), list(order)).select(*df.columns, index)
 
 
 def sample_batches(df: DataFrame, every: int, n: int, batch: str = "batch_id", pos: str = "row_idx") -> DataFrame:
@@ -79,4 +80,4 @@ def validation_points(df: DataFrame, every: int, limit: int | None = None, step:
 def epoch_mean(df: DataFrame, value: str = "loss", weight: str = "n", epoch: str = "epoch",
                by: Sequence[str] = ()) -> DataFrame:
     """Per-epoch mean of a step metric weighted by batch size."""
-    return df.groupBy(*by, epoch).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias(f"{value}_epoch"))
+    return df.groupBy(*by, epoch).agg(F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias(f"{value}_epoch"))

@@ -7,12 +7,12 @@ Plan shape for every corpus metric:
          → closed-form formula on K rows.
 
 Texts are never collected; the only exchange carries one row of partial sums
-per task and group. Tokenisation, sentence splitting, lengths and the
-closing formulas are native expressions; the per-text counting (clipped
-n-gram overlaps, LCS, union-LCS, chrF++ n-grams) runs in Arrow-batched pandas
-UDFs because its hashed-counter / bit-parallel form is linear per text and
-has no linear-time native expression (native ``array_remove`` counting is
-O(distinct × n), quadratic on whole lines of thousands of tokens).
+per task and group. Lengths and the closing formulas are native expressions;
+tokenisation and counting run in Arrow-batched pandas UDFs: n-grams (BLEU,
+ROUGE-N, chrF++) as exact integer keys of a whole batch at once
+(``functions.ngrambatch``), LCS and union-LCS bit-parallel per pair
+(``functions.seqstats``). Native ``array_remove`` counting is O(distinct × n),
+quadratic on whole lines of thousands of tokens.
 """
 
 from __future__ import annotations
@@ -25,13 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glossa.functions import seqstats
+from glossa.functions import ngrambatch, seqstats
 from glossa.functions.ngrams import closest_length, word_ngrams
 from glossa.functions.text import chrf_words, tokens
 
 PRED, REFS = "generated_text", "references"
 SPREAD_CONF = "spark.glossa.spreadTasks"
-N_ORDERS = seqstats.CHAR_ORDER + seqstats.WORD_ORDER
+N_ORDERS = ngrambatch.CHAR_ORDER + ngrambatch.WORD_ORDER
 
 
 def _by(by) -> list[str]:
@@ -64,11 +64,11 @@ def _inputs(df: DataFrame, by: list[str], pred: str, refs: str, key: str = "row_
     return spread(df.select(*cols), key)
 
 
-# ---- pandas UDFs (Arrow batches; one Python call per batch, not per row) ----
+# ---- pandas UDFs (a whole Arrow batch per call) ----
 
-# The UDFs take raw strings and tokenise in Python with the same rules as the
-# native expressions (seqstats.ws_tokens / rouge_sentences): strings cross
-# Arrow far more cheaply than nested token arrays.
+# The UDFs take raw strings and tokenise in Python with the same rules as the native expressions
+# (seqstats.ws_tokens / rouge_sentences): strings cross Arrow far more cheaply than nested token arrays.
+# N-grams of the whole batch are counted with array operations (ngrambatch); only LCS runs per pair.
 
 @lru_cache(maxsize=None)
 def bleu_clip_udf(n_max: int):
@@ -78,23 +78,18 @@ def bleu_clip_udf(n_max: int):
                                 T.StructField("c", T.IntegerType()),
                                 T.StructField("rl", T.ArrayType(T.IntegerType()))]))
     def clip(pred: pd.Series, refs: pd.Series) -> pd.DataFrame:
-        tok = seqstats.ws_tokens
-        out_clip, out_c, out_rl = [], [], []
-        for p, rs in zip(pred, refs):
-            pt, rts = tok(p), [tok(r) for r in (rs if rs is not None else [])]
-            out_clip.append(seqstats.bleu_clipped(pt, rts, n_max))
-            out_c.append(len(pt))
-            out_rl.append([len(r) for r in rts])
-        return pd.DataFrame({"clip": pd.Series(out_clip, dtype=object), "c": pd.Series(out_c, dtype="int32"),
-                             "rl": pd.Series(out_rl, dtype=object)})
+        rows = ngrambatch.bleu_rows(pred, refs, n_max)
+        return pd.DataFrame({"clip": pd.Series([r[0] for r in rows], dtype=object),
+                             "c": pd.Series([r[1] for r in rows], dtype="int32"),
+                             "rl": pd.Series([r[2] for r in rows], dtype=object)})
     return clip
 
 
 @lru_cache(maxsize=None)
 def rouge_hits_udf(keys: tuple[str, ...]):
-    """(prediction, reference) texts of one pair → token counts and the hit
-    count of every requested ROUGE key, in one Python call per pair. The
-    prediction's sentences are memoised within a batch (its pairs are adjacent)."""
+    """(prediction, reference) texts of one pair → token counts and the hit count of every requested ROUGE
+    key. ROUGE-1/2 are counted for the whole batch; the LCS keys run per pair, with the prediction's
+    sentences memoised (its pairs are adjacent)."""
     names = ("pl", "tl", *keys)
     split = seqstats.rouge_sentences if "rougeLsum" in keys else (lambda t: [seqstats.rouge_tokens(t)])
 
@@ -110,8 +105,13 @@ def rouge_hits_udf(keys: tuple[str, ...]):
                 got = memo[t] = split(t)
             return got
 
-        rows = [seqstats.rouge_hits(pred_split(p), split(r), keys) for p, r in zip(pred, ref)]
-        return pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype="int32") for n in names})
+        rows = [seqstats.lcs_hits(pred_split(p), split(r), keys) for p, r in zip(pred, ref)]
+        out = {n: pd.Series([r[n] for r in rows], dtype="int32") for n in names if n not in ("rouge1", "rouge2")}
+        orders = 2 if "rouge2" in keys else 1 if "rouge1" in keys else 0
+        for n, m in enumerate(ngrambatch.rouge_n_pairs(pred, ref, orders) if orders else [], start=1):
+            if f"rouge{n}" in keys:
+                out[f"rouge{n}"] = pd.Series(m, dtype="int32")
+        return pd.DataFrame({n: out[n] for n in names})
     return hits
 
 
@@ -121,20 +121,7 @@ _COUNTS = T.ArrayType(T.LongType())
 @F.pandas_udf(T.StructType([T.StructField("match", _COUNTS), T.StructField("hyp", _COUNTS),
                              T.StructField("ref", _COUNTS)]))
 def chrf_stats_udf(pred: pd.Series, refs: pd.Series) -> pd.DataFrame:
-    # A reference is counted once for all systems: the rows of one input row are adjacent
-    # (systems are exploded together), so a small cache keeps every hit while bounding the
-    # memory a batch of long texts could otherwise hold in n-gram counters.
-    cache: dict = {}
-
-    def counters(text):
-        hit = cache.get(text)
-        if hit is None:
-            if len(cache) > 64:
-                cache.clear()
-            hit = cache[text] = seqstats.chrf_counters(text)
-        return hit
-
-    rows = [seqstats.chrf_sentence_stats(p, r, counters) for p, r in zip(pred, refs)]
+    rows = ngrambatch.chrf_rows(pred, refs)
     return pd.DataFrame({"match": [r[0] for r in rows], "hyp": [r[1] for r in rows],
                          "ref": [r[2] for r in rows]})
 
@@ -221,7 +208,7 @@ def _chrf_sums() -> list[Column]:
 
 
 def _chrf_formula() -> Column:
-    b2 = seqstats.BETA ** 2
+    b2 = ngrambatch.BETA ** 2
     total = F.lit(0.0)
     for o in range(N_ORDERS):
         m, h, r = (F.col(f"chrf_{p}_{o}") for p in ("match", "hyp", "ref"))
@@ -290,18 +277,6 @@ def rouge(df: DataFrame, pred: str = PRED, refs: str = REFS, keys=ROUGE_KEYS, by
     return pairs.groupBy(*b).agg(*[F.avg(c).alias(c) for c in _rouge_cols(keys)])
 
 
-def rouge_n(df, n: int = 1, **kw) -> DataFrame:
-    return rouge(df, keys=(f"rouge{n}",), **kw)
-
-
-def rouge_l(df, **kw) -> DataFrame:
-    return rouge(df, keys=("rougeL",), **kw)
-
-
-def rouge_lsum(df, **kw) -> DataFrame:
-    return rouge(df, keys=("rougeLsum",), **kw)
-
-
 # ---- F11 / F12 ----------------------------------------------------------------
 
 def generation_scores(df: DataFrame, pred: str = PRED, refs: str = REFS, by=None, n_max: int = 3,

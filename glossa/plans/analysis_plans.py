@@ -11,7 +11,8 @@ from glossa.operators import batches as B
 from glossa.operators import labels as L
 from glossa.operators import prep as P
 from glossa.operators import telemetry as TM
-from glossa.plans.registry import query, round_doubles
+from glossa.plans import label_plans  # noqa: F401  (registers the label report first)
+from glossa.plans.registry import REGISTRY, query, round_doubles
 from glossa.sources import fixtures as V
 
 # The fixtures never contain " not " (FIXTURES §4), so the pattern queries use " the ".
@@ -86,20 +87,19 @@ def d4_error_overlap(spark, sf):
     return AN.error_overlap(_sys(lp, "A"), _sys(lp, "B"))
 
 
-_D5 = """
-, m AS (SELECT system, reference_label, predicted_label, count(*) AS n FROM label_preds GROUP BY ALL),
-acc AS (SELECT system AS run, 'accuracy' AS metric, sum(CASE WHEN reference_label = predicted_label THEN n ELSE 0 END)
-               / sum(n) AS value FROM m GROUP BY system),
-wide AS (SELECT metric, max(value) FILTER (WHERE run = 'A') AS a, max(value) FILTER (WHERE run = 'B') AS b
-         FROM acc GROUP BY metric)
-SELECT metric, round(a, 6) AS value_a, round(b, 6) AS value_b, round(b - a, 6) AS delta FROM wide"""
+LABEL_METRICS = ("precision", "recall", "f1", "accuracy", "f1_micro")
+_D5_LONG = "\nUNION ALL\n".join(f"SELECT system, '{m}' AS metric, {m} AS value FROM rep" for m in LABEL_METRICS)
 
 
-@query("d5_compare_runs", ops=("D5",), sql=_with(_D5, "label_preds"))
+@query("d5_compare_runs", ops=("D5",), sql=f"""
+WITH rep AS ({REGISTRY["e2_e4_label_report"].sql}),
+long AS ({_D5_LONG}),
+wide AS (SELECT metric, max(value) FILTER (WHERE system = 'A') AS a, max(value) FILTER (WHERE system = 'B') AS b
+         FROM long GROUP BY metric)
+SELECT metric, round(a, 6) AS value_a, round(b, 6) AS value_b, round(b - a, 6) AS delta FROM wide""")
 def d5_compare_runs(spark, sf):
-    acc = L.accuracy(V.label_preds(spark, sf), by="system").select(
-        F.col("system").alias("run"), F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
-    return round_doubles(AN.compare_runs(acc, "A", "B"))
+    rep = round_doubles(L.label_report(V.label_preds(spark, sf), by="system")).withColumnRenamed("system", "run")
+    return round_doubles(AN.compare_runs(rep.unpivot("run", list(LABEL_METRICS), "metric", "value"), "A", "B"))
 
 
 @query("e10_prevalence", ops=("E10", "G1"), sql=_with(f"""

@@ -90,8 +90,18 @@ def b11_rename_metrics(spark, sf):
     return round_doubles(P.rename_metrics(val, mapping={"val/": "test/"}))
 
 
+ROUGE_N = ("rouge1", "rouge2")  # the ROUGE keys with a SQL twin; the headline has no other
+
+
+def _generation_long(spark, sf) -> DataFrame:
+    gen = T.generation_scores(V.gen_eval(spark, sf), by="system", rouge_keys=ROUGE_N)
+    return T.to_long(gen, ["system"], T.report_names(ROUGE_N))
+
+
 _D6_PARTS = "\nUNION ALL\n".join([_long(text_plans._BLEU_SQL, {"bleu": "test/blue"}),
-                                  _long(text_plans._CHRF_SQL, {"chrf": "test/chrf"}), _BERT_LONG, _CLS_LONG])
+                                  _long(text_plans._CHRF_SQL, {"chrf": "test/chrf"}),
+                                  _long(text_plans._ROUGE_N_SQL, {c: f"test/rouge/{c}" for c in T._rouge_cols(ROUGE_N)}),
+                                  _BERT_LONG, _CLS_LONG])
 
 
 @query("d6_compose_summary", ops=("D6",), sql=f"""
@@ -101,18 +111,14 @@ UNION ALL
 SELECT system, metric, value, 'summary' AS section FROM parts
 WHERE metric IN ({", ".join(f"'{m}'" for m in AN.HEADLINE)})""")
 def d6_compose_summary(spark, sf):
-    gen = T.generation_scores(V.gen_eval(spark, sf), by="system", rouge_keys=())
-    gen_long = T.to_long(gen.select("system", "blue", "chrf"), ["system"], {"blue": "test/blue", "chrf": "test/chrf"})
-    out = AN.compose_summary(gen_long, _bert_long(spark, sf), _cls_long(spark, sf))
+    out = AN.compose_summary(_generation_long(spark, sf), _bert_long(spark, sf), _cls_long(spark, sf))
     return out.withColumn("value", F.round("value", 6))
 
 
 @query("a6_a7_summary_json", ops=("A6", "A7"), sql=f"""
 SELECT system AS run, metric, value FROM ({_D6_PARTS})""")
 def a6_a7_summary_json(spark, sf):
-    gen = T.generation_scores(V.gen_eval(spark, sf), by="system", rouge_keys=())
-    gen_long = T.to_long(gen.select("system", "blue", "chrf"), ["system"], {"blue": "test/blue", "chrf": "test/chrf"})
-    long = gen_long.unionByName(_bert_long(spark, sf)).unionByName(_cls_long(spark, sf)) \
+    long = _generation_long(spark, sf).unionByName(_bert_long(spark, sf)).unionByName(_cls_long(spark, sf)) \
         .withColumn("value", F.round("value", 6)).withColumnRenamed("system", "run")
     path = shared_path(spark, "summaries-" + hashlib.md5(sf.encode()).hexdigest()[:10])
     io.write_summary(long, path, headline=AN.HEADLINE)

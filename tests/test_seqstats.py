@@ -1,6 +1,11 @@
+from collections import Counter
+from unittest import mock
+
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from glossa.functions import ngrambatch as N
 from glossa.functions import seqstats as S
 
 
@@ -44,11 +49,71 @@ def test_union_lcs_example():
     assert S.union_lcs_hits([], [["a"]]) == 0
 
 
-def test_chrf_identical_and_disjoint():
-    m, h, r = S.chrf_sentence_stats("the cat sat.", ["the cat sat."])
-    assert S.chrf_fscore(m, h, r) == 1.0
-    m, h, r = S.chrf_sentence_stats("xyz", ["abc"])
-    assert m == [0] * 8 and r == [0] * 8 and h[0] == 3
+def grams(units, n):
+    return Counter(tuple(units[i:i + n]) for i in range(len(units) - n + 1))
+
+
+def slow_chrf(pred, refs):
+    def counters(t):
+        chars, words = list((t or "").replace(" ", "")), S.chrf_words(t)
+        return [grams(chars, n) for n in range(1, 7)] + [grams(words, n) for n in (1, 2)]
+
+    p = counters(pred)
+    hyp = [sum(c.values()) for c in p]
+    best = (0.0, [0] * 8, [0] * 8)
+    for r in refs or []:
+        rc = counters(r)
+        ref = [sum(c.values()) for c in rc]
+        match = [sum((a & b).values()) for a, b in zip(p, rc)]
+        f = N.fscores(np.array([match]), np.array([hyp]), np.array([ref]))[0]
+        if f > best[0]:
+            best = (f, match, ref)
+    return best[1], hyp, best[2]
+
+
+def slow_bleu(pred, refs, n_max):
+    out = []
+    for n in range(1, n_max + 1):
+        best = Counter()
+        for r in refs or []:
+            best |= grams(S.ws_tokens(r), n)
+        out.append(sum((grams(S.ws_tokens(pred), n) & best).values()))
+    return out, len(S.ws_tokens(pred)), [len(S.ws_tokens(r)) for r in refs or []]
+
+
+texts = st.one_of(st.none(), st.text("ab c.,!é\t\u00a0", max_size=40))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(texts, st.one_of(st.none(), st.lists(texts, max_size=3))), max_size=12), st.sampled_from([30, 1 << 20]))
+def test_batch_counts_equal_counters(rows, limit):
+    """Every row's counts, whatever the chunking; also for alphabets that need ranks instead of packed windows."""
+    pred, refs = [p for p, _ in rows], [r for _, r in rows]
+    with mock.patch.object(N.chunks, "__defaults__", (limit,)):
+        assert [tuple(map(list, x)) for x in N.chrf_rows(pred, refs)] == [
+            tuple(map(list, slow_chrf(p, r))) for p, r in rows]
+        assert N.bleu_rows(pred, refs, 3) == [slow_bleu(p, r, 3) for p, r in rows]
+        flat = [(p, x) for p, r in rows for x in r or []]
+        got = N.rouge_n_pairs([p for p, _ in flat], [x for _, x in flat])
+        for n in (1, 2):
+            assert got[n - 1].tolist() == [sum((grams(S.rouge_tokens(p), n) & grams(S.rouge_tokens(x), n)).values())
+                                           for p, x in flat]
+
+
+def test_large_alphabets_are_ranked_exactly():
+    rng = np.random.default_rng(0)
+    for size in (3, 10**6):
+        words = [[f"w{i}" for i in rng.integers(0, size, 400)] for _ in range(3)]
+        words[1][50:250] = words[0][100:300]
+        flat = np.array([hash(w) & 0xFFFFFFFF for ws in words for w in ws])
+        orders = N.count_orders(flat, np.repeat(np.arange(3), 400), 3, 6)
+        for n, c in enumerate(orders, start=1):
+            a, b = (grams(list(flat[k * 400:(k + 1) * 400]), n) for k in (0, 1))
+            assert c.matches(np.array([0]), np.array([1]))[0] == sum((a & b).values())
+
+
+def test_blanks_of_other_scripts_are_no_word_breaks():
+    assert S.chrf_words("a\u00a0b c") == S.ws_tokens("a\u00a0b c") == ["a\u00a0b", "c"]
 
 
 def test_chrf_words_punct():
