@@ -71,12 +71,10 @@ def next_pairs(df: DataFrame, group_size: int) -> tuple[DataFrame, DataFrame]:
     return df.join(firsts, SEQ, "left_semi"), shifted.join(firsts, SEQ, "left_semi")
 
 
-def contrast_diff(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("row_id", "step"),
-                  lp: str = "logprob") -> DataFrame:
-    """p(chosen) − p(contrast) per step; steps beyond the shorter text drop out."""
-    k = list(keys)
-    return a.select(*k, F.col(lp).alias("_a")).join(b.select(*k, F.col(lp).alias("_b")), k, "inner") \
-        .select(*k, (F.exp("_a") - F.exp("_b")).alias("prob_diff"))
+def contrast_diff(pairs: DataFrame, keys: Sequence[str] = ("row_id", "step")) -> DataFrame:
+    """p(chosen) − p(contrast) per step of ``pairs`` (keys…, lp_a, lp_b); steps beyond the shorter text are
+    not in it."""
+    return pairs.select(*keys, (F.exp("lp_a") - F.exp("lp_b")).alias("prob_diff"))
 
 
 def weight_by_step(df: DataFrame, steps: DataFrame, step_key: str = TGT, weight: str = "step_score") -> DataFrame:

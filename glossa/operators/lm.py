@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions.text import tokens
 from glossa.operators.labels import nll_expr
+from glossa.session import stored
 
 BOS = "<s>"  # fixed value: sentence-start token of the bigram model
 
@@ -38,8 +39,10 @@ class BigramLM:
 
 
 def fit_bigram(df: DataFrame, text: str) -> BigramLM:
+    """Counted once: the bigram table is written to the shared folder, and contexts, vocabulary size and
+    every scoring pass read it from there."""
     rows = bigram_rows(df, text, keys=())
-    big = rows.groupBy("prev", "cur").agg(F.count(F.lit(1)).alias("c"))
+    big = stored(rows.groupBy("prev", "cur").agg(F.count(F.lit(1)).alias("c")), "bigrams")
     ctx = big.groupBy("prev").agg(F.sum("c").alias("c_prev"))
     v = big.agg(F.countDistinct("cur").alias("v")).first()["v"] + 1  # one scalar, not rows
     return BigramLM(big, ctx, int(v))
@@ -53,6 +56,17 @@ def score_bigram(df: DataFrame, text: str, lm: BigramLM, keys=("row_id",)) -> Da
     return j.select(*keys, "step", F.col("cur").alias("token"), lp.alias("logprob"))
 
 
+def score_bigram_pair(df: DataFrame, a: str, b: str, lm: BigramLM, keys=("row_id",)) -> DataFrame:
+    """``(keys…, step, lp_a, lp_b)`` of two texts of a row, up to the shorter one's length: both are scored
+    in one tagged pass and meet again by (keys, step)."""
+    tagged = df.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("_side"), F.col(a).alias("_text")),
+                                                F.struct(F.lit(1).alias("_side"), F.col(b).alias("_text")))).alias("_e"))
+    rows = tagged.select(*keys, "_e._side", "_e._text")
+    lp = score_bigram(rows, "_text", lm, (*keys, "_side"))
+    side = [F.max(F.when(F.col("_side") == i, F.col("logprob"))).alias(n) for i, n in ((0, "lp_a"), (1, "lp_b"))]
+    return lp.groupBy(*keys, "step").agg(*side).filter("lp_a IS NOT NULL AND lp_b IS NOT NULL")
+
+
 def perplexity(df: DataFrame, logprob: str = "logprob", label: str | None = None, by=()) -> DataFrame:
     """F8: exp(mean NLL) over tokens whose label is not -100 (corpus level)."""
     d = df if label is None else df.filter(F.col(label) != -100)

@@ -201,9 +201,7 @@ def j8_contrast_diff(spark, sf):
     nli = V.nli(spark, sf)
     model = lm.fit_bigram(nli.filter(F.col("split") == "train"), "explanation_1")
     test = nli.filter(F.col("split") == "test")
-    a = lm.score_bigram(test, "explanation_1", model)
-    b = lm.score_bigram(test, "explanation_2", model)
-    return round_doubles(A.contrast_diff(a, b))
+    return round_doubles(A.contrast_diff(lm.score_bigram_pair(test, "explanation_1", "explanation_2", model)))
 
 
 # ---- probe ---------------------------------------------------------------------

@@ -62,7 +62,5 @@ def k2_register_metric(spark, sf):
     nli = V.nli(spark, sf)
     model = lm.fit_bigram(nli.filter(F.col("split") == "train"), "explanation_1")
     test = nli.filter(F.col("split") == "test")
-    a = lm.score_bigram(test, "explanation_1", model).select("row_id", "step", F.col("logprob").alias("lp_a"))
-    b = lm.score_bigram(test, "explanation_2", model).select("row_id", "step", F.col("logprob").alias("lp_b"))
-    steps = a.join(b, ["row_id", "step"])
+    steps = lm.score_bigram_pair(test, "explanation_1", "explanation_2", model)
     return round_doubles(U.apply_metric(steps, "prob_diff", ["lp_a", "lp_b"], ["row_id"], "step", [(1, 3)]))
