@@ -29,11 +29,12 @@ def zip_columns(left: DataFrame, right: DataFrame, left_order: Sequence[str], ri
 
 
 def merge_predictions(text: DataFrame, labels: DataFrame, key: Sequence[str] | str = "row_id",
-                      carry: Sequence[str] = ()) -> DataFrame:
+                      carry: Sequence[str] = (), how: str = "inner") -> DataFrame:
     """Keyed merge of text and label predictions, labels decoded to names,
-    columns in the export order (key columns first, then ``carry``)."""
+    columns in the export order (key columns first, then ``carry``). ``how="left"``
+    keeps texts without a label (null names, which E1–E4 count as errors)."""
     keys = [key] if isinstance(key, str) else list(key)
-    j = text.join(labels, keys, "inner")
+    j = text.join(labels, keys, how)
     j = j.withColumn("predicted_label", label_name("predicted_label")) \
         .withColumn("reference_label", label_name("reference_label"))
     rest = [c for c in EXPORT_ORDER if c in j.columns]

@@ -34,10 +34,6 @@ def input_text(premise="premise", hypothesis="hypothesis", style: str = "canonic
     return F.concat(F.lit(a), p, F.lit(b), h)
 
 
-def template_input(df: DataFrame, style: str = "canonical", out: str = "input_text") -> DataFrame:
-    return df.withColumn(out, input_text(style=style))
-
-
 def target_text(explanation: str, label: str = "label") -> Column:
     return F.concat(F.col(label).cast("string"), F.lit(TARGET_SEP), F.col(explanation))
 

@@ -162,14 +162,26 @@ def h3_row_at(spark, sf):
     return TM.row_at(test, 5, ["row_id"])
 
 
-@query("h4_sample_batches", ops=("H4",), sql=V.with_views("""
-SELECT row_id, system, row_idx, batch_id FROM (
-  SELECT row_id, system, idx AS row_idx, idx // 8 AS batch_id, idx % 8 AS pos
-  FROM (SELECT row_id, system, row_number() OVER (ORDER BY row_id, system) - 1 AS idx FROM gen_eval))
+SAMPLE_TEXTS = ("input_text", "generated_text", "reference_text_1", "reference_text_2", "reference_text_3")
+
+
+def sample_rows(spark, sf):
+    """The columns of the sample log: keys, input, generated text and three references."""
+    return V.gen_eval(spark, sf).select("row_id", "system", "input_text", "generated_text", *[
+        F.col("references")[i].alias(f"reference_text_{i + 1}") for i in range(3)])
+
+
+@query("h4_sample_batches", ops=("H4",), sql=V.with_views(f"""
+SELECT row_id, system, row_idx, batch_id, {", ".join(SAMPLE_TEXTS)} FROM (
+  SELECT *, idx AS row_idx, idx // 8 AS batch_id, idx % 8 AS pos
+  FROM (SELECT row_id, system, input_text, generated_text, "references"[1] AS reference_text_1,
+               "references"[2] AS reference_text_2, "references"[3] AS reference_text_3,
+               row_number() OVER (ORDER BY row_id, system) - 1 AS idx FROM gen_eval))
 WHERE (batch_id + 1) % 5 = 0 AND pos < 3""", "gen_eval"))
 def h4_sample_batches(spark, sf):
-    g = V.gen_eval(spark, sf).select("row_id", "system")
-    return TM.sample_batches(B.assign_batches(g, ["row_id", "system"], 8), 5, 3)
+    keys = sample_rows(spark, sf).select("row_id", "system")  # only the keys are numbered
+    picked = TM.sample_batches(B.assign_batches(keys, ["row_id", "system"], 8), 5, 3)
+    return picked.join(sample_rows(spark, sf), ["row_id", "system"])
 
 
 def _whole_log(spark, sf):

@@ -8,7 +8,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.functions.text import sentences
+from glossa.functions.text import sentences, sentences_joined
 from glossa.operators import analysis as AN
 from glossa.operators import labels as L
 from glossa.operators import prep as P
@@ -125,6 +125,13 @@ def a6_a7_summary_json(spark, sf):
     return io.read_summaries(spark, path + "/run=*/*.txt")
 
 
+@query("g3_sentences_joined", ops=("G3",), sql=V.with_views(
+    "SELECT row_id, system, array_to_string(list_filter(string_split(regexp_replace(trim(generated_text), "
+    "'([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''), chr(10)) AS sentences FROM gen_eval", "gen_eval"))
+def g3_sentences_joined(spark, sf):
+    return V.gen_eval(spark, sf).select("row_id", "system", sentences_joined("generated_text").alias("sentences"))
+
+
 @query("g3_sentences", ops=("G3",), sql=V.with_views(
     "SELECT row_id, system, unnest(range(0, len(s))) AS sent_idx, unnest(s) AS sentence FROM (SELECT row_id, system, "
     "list_filter(string_split(regexp_replace(trim(generated_text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), "

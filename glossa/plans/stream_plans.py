@@ -12,6 +12,7 @@ from glossa.functions.text import tokens
 from glossa.operators import batches as B
 from glossa.operators import textmetrics as T
 from glossa.plans import report_plans  # noqa: F401  (registration order)
+from glossa.plans.analysis_plans import SAMPLE_TEXTS, sample_rows
 from glossa.plans.registry import REGISTRY, query
 from glossa.session import shared_path
 from glossa.streaming import streams as S
@@ -28,7 +29,8 @@ def _paths(spark, name):
 @query("i1_stream_metrics", ops=("I1",))
 def i1_stream_metrics(spark, sf):
     src, out, ck = _paths(spark, "metrics")
-    staged = V.gen_eval(spark, sf).withColumn("epoch", F.lit(0))
+    # two epochs: odd and even chunks; the metrics of an epoch start anew
+    staged = V.gen_eval(spark, sf).withColumn("epoch", (F.col("row_id") % 2).cast("int"))
     S.stage_files(staged, src, 4, ["row_id", "system"])
     q = S.stream_metrics(S.file_stream(spark, src, staged.schema), out, ck)
     q.awaitTermination()
@@ -51,13 +53,13 @@ def i2_stream_bucket_mean(spark, sf):
 @query("i3_stream_samples", ops=("I3", "H4"), sql=REGISTRY["h4_sample_batches"].sql)
 def i3_stream_samples(spark, sf):
     src, out, ck = _paths(spark, "samples")
-    g = V.gen_eval(spark, sf).select("row_id", "system", "generated_text")
-    staged = B.assign_batches(g, ["row_id", "system"], 8)
+    g = sample_rows(spark, sf)
+    staged = B.assign_batches(g.select("row_id", "system"), ["row_id", "system"], 8).join(g, ["row_id", "system"])
     S.stage_files(staged, src, 4, ["row_idx"])
     q = S.stream_samples(S.file_stream(spark, src, staged.schema), every=5, n=3, batch_size=8, sink=out,
                          checkpoint=ck)
     q.awaitTermination()
-    return spark.read.parquet(out).select("row_id", "system", "row_idx", "batch_id")
+    return spark.read.parquet(out).select("row_id", "system", "row_idx", "batch_id", *SAMPLE_TEXTS)
 
 
 @query("k3_on_batch", ops=("K3",), sql=V.with_views(

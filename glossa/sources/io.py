@@ -127,8 +127,3 @@ def run_name(base, ts) -> Column:
     b = F.col(base) if isinstance(base, str) else base
     t = F.col(ts) if isinstance(ts, str) else ts
     return F.format_string("%s_%s", b, F.date_format(t, RUN_TS_FORMAT))
-
-
-def run_path(root: str, base, ts) -> Column:
-    """A8 as a filesystem-safe path (``:`` is not portable in object stores)."""
-    return F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace(run_name(base, ts), ":", "-"))
