@@ -213,13 +213,13 @@ def _linear_svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rng, epochs: int
 
 def fit_units(pos: np.ndarray, neg: np.ndarray, rng) -> Machine:
     """One Nystroem SVM on units."""
-    marks = Landmarks(np.concatenate((pick_landmarks(pos, LANDMARKS), neg[:LANDMARKS // 4])))
+    marks = Landmarks(np.concatenate((pick_landmarks(pos, LANDMARKS), neg[:LANDMARKS // 2])))
     value, vector = np.linalg.eigh(marks.gram().astype(np.float64))
     keep = value > 1e-3 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
     z = marks.kernel(np.concatenate((pos, neg))) @ root.astype(np.float32)
     y = np.concatenate((np.ones(len(pos)), -np.ones(len(neg))))
-    u, bias = _linear_svm(z, y, np.where(y > 0, max(10.0, len(neg) / len(pos)), 2.0), rng)
+    u, bias = _linear_svm(z, y, np.where(y > 0, 100.0, 1.0), rng)
     table = np.zeros(_FEATURES, dtype=np.float32)
     table[marks.used] = marks.phi[1:] @ (root @ u)
     return Machine(table, bias)
@@ -277,7 +277,7 @@ def fit_texts(toxic: list[str], clean: list[str], rounds: int, seed: int) -> Mac
     return machine
 
 
-def fit(toxic: list[str], clean: list[str], rounds: int = 3, seed: int = 11, folds: int = 3) -> Machine:
+def fit(toxic: list[str], clean: list[str], rounds: int = 2, seed: int = 11, folds: int = 6) -> Machine:
     """Fit on all texts; margins of texts left out in ``folds`` more fits calibrate the score."""
     if not toxic or not clean:
         return Machine(np.zeros(_FEATURES, np.float32), 0.0)
