@@ -6,8 +6,9 @@
    corpus, and any frequency table gives a valid order.
 2. *Prefixes.* A set's n-grams are ordered rarest first (cell level, then hash). Two sets with Jaccard >= t share an
    n-gram among their first ``n - ceil(t n) + 1``. Only these postings are stored; n-grams posted by one class drop out.
-3. *Stars.* Within each n-gram and size class every set is paired with the smallest one; verified pairs give first
-   components. A group of k near copies costs about k pairs here instead of k^2 / 2.
+3. *Stars.* Within each n-gram and size class the set with the most shared postings is the head (of near copies, the
+   least edited); every set is paired with the best of its heads, and verified pairs give first components. A group of
+   k near copies costs about k pairs here instead of k^2 / 2.
 4. *Rest.* N-grams whose postings lie in two or more components are joined with themselves, for pairs of different
    components only, with the shorter index prefix on the smaller side, length and positional filters. Links inside a
    component can't change the result, so every class ends in its exact component.
@@ -39,8 +40,12 @@ from glossa.llm.components import connected, store
 from glossa.llm.textkit import U64, row_slices, shingle_sets, text_buffer, word_hashes
 
 WIDTH, PERCENT = 5, 80
-CELLS, SLICE = 1 << 20, 1 << 12
+CELLS, SLICE = 1 << 22, 1 << 14
 BITMAP_BITS = 1 << 24
+STAR_ROUNDS = 1
+BROADCAST_ROWS = 1_000_000  # of 17 bytes
+SLICE_GRAMS = 1 << 21
+_COUNTERS = (np.uint8, np.uint16, np.uint32)
 
 
 def _sets(batch_texts: pa.Array, width: int):
@@ -59,7 +64,21 @@ def _cells(grams: np.ndarray) -> np.ndarray:
     return (grams & U64(CELLS - 1)).astype(np.int64)
 
 
-SETS_SCHEMA = "kind int, doc_id long, class long, n long, ranges binary, slice int, counts binary"
+def _count(seen: np.ndarray, cells: list[np.ndarray]) -> None:
+    seen += np.bincount(np.concatenate(cells), minlength=CELLS).astype(np.uint32)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in the smallest integer type that holds them, after a byte that names it."""
+    kind = next(i for i, t in enumerate(_COUNTERS) if counts.max() <= np.iinfo(t).max)
+    return bytes([kind]) + counts.astype(_COUNTERS[kind]).tobytes()
+
+
+def _text_key():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+SETS_SCHEMA = "kind int, doc_id long, key long, class long, n long, ranges binary, slice int, counts binary"
 
 
 def read_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -77,8 +96,8 @@ def read_sets(docs: DataFrame, width: int) -> DataFrame:
                     continue
                 pending.append(_cells(grams).astype(np.int32))
                 waiting += len(grams)
-                if waiting >= CELLS:
-                    seen += np.bincount(np.concatenate(pending), minlength=CELLS).astype(np.uint32)
+                if waiting >= SLICE_GRAMS:
+                    _count(seen, pending)
                     pending, waiting = [], 0
                 cls.append(digest(grams))
                 edges = np.searchsorted(grams, np.arange(1, 64, dtype=np.uint64) << U64(58))
@@ -86,20 +105,19 @@ def read_sets(docs: DataFrame, width: int) -> DataFrame:
                 ranges.append(np.minimum(sizes, 255).astype(np.uint8).tobytes())
             m = len(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(m, np.int32)), batch.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64()),
-                 pa.array(ranges, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-                names=["kind", "doc_id", "class", "n", "ranges", "slice", "counts"])
+                [pa.array(np.zeros(m, np.int32)), batch.column(0), batch.column(2), pa.array(cls, pa.int64()),
+                 pa.array(n, pa.int64()), pa.array(ranges, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                names=["kind", "doc_id", "key", "class", "n", "ranges", "slice", "counts"])
         if waiting:
-            seen += np.bincount(np.concatenate(pending), minlength=CELLS).astype(np.uint32)
+            _count(seen, pending)
         full = [k for k in range(CELLS // SLICE) if seen[k * SLICE:(k + 1) * SLICE].any()]
         m = len(full)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
-             pa.nulls(m, pa.binary()), pa.array(full, pa.int32()),
-             pa.array([seen[k * SLICE:(k + 1) * SLICE].tobytes() for k in full], pa.binary())],
-            names=["kind", "doc_id", "class", "n", "ranges", "slice", "counts"])
+            [pa.array(np.ones(m, np.int32)), *[pa.nulls(m, pa.int64())] * 4, pa.nulls(m, pa.binary()), pa.array(full, pa.int32()),
+             pa.array([_packed(seen[k * SLICE:(k + 1) * SLICE]) for k in full], pa.binary())],
+            names=["kind", "doc_id", "key", "class", "n", "ranges", "slice", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SETS_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text", _text_key().alias("key")).mapInArrow(run, SETS_SCHEMA)
 
 
 def frequency_levels(counts: DataFrame) -> np.ndarray:
@@ -110,7 +128,7 @@ def frequency_levels(counts: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(blob, np.uint32).astype(np.uint64)
+                part = np.frombuffer(blob, _COUNTERS[blob[0]], offset=1).astype(np.uint64)
                 total[k] = total[k] + part if k in total else part
         level = {k: np.minimum(255, 8 * np.log2(1.0 + v)).astype(np.uint8).tobytes() for k, v in total.items()}
         yield pa.RecordBatch.from_arrays([pa.array(list(level), pa.int32()), pa.array(list(level.values()), pa.binary())],
@@ -193,12 +211,12 @@ def _full_sets(docs: DataFrame, wanted: np.ndarray, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())],
                                                  names=["class", "grams"])
 
-    return docs.select("text").mapInArrow(run, "class long, grams binary").dropDuplicates(["class"])
+    return docs.select("text").mapInArrow(run, "class long, grams binary").groupBy("class").agg(F.first("grams").alias("grams"))
 
 
-def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(all tried pairs, linked pairs) of the distinct candidates ``pairs`` (u, v): suffix filter on the range counts,
-    then the exact test on full sets."""
+def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The linked pairs of the distinct candidates ``pairs`` (u, v): suffix filter on the range counts, then the exact
+    test on full sets."""
     spark = docs.sparkSession
     side = classes.select("class", "n", "ranges")
 
@@ -218,7 +236,7 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, pe
             f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)")
     left = store(sized.mapInArrow(bound, "u long, v long"), "candidates")
     need = left.select(F.col("u").alias("class")).unionAll(left.select(F.col("v").alias("class")))
-    sets = store(_full_sets(docs, _bitmap(spark, need), width), "sets")
+    sets = _full_sets(docs, _bitmap(spark, need), width)  # both joins below reuse its one shuffle
 
     def check(batches):
         for batch in batches:
@@ -231,14 +249,46 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, pe
             yield batch.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
 
     full = left.join(sets.toDF("u", "g_u"), "u").join(sets.toDF("v", "g_v"), "v").select("u", "v", "g_u", "g_v")
-    return left, store(full.mapInArrow(check, "u long, v long"), "links")
+    return store(full.mapInArrow(check, "u long, v long"), "links")
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text); ``percent``: least Jaccard * 100."""
-    spark = docs.sparkSession
+def _tag(common: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Postings with their class's component so far, of the n-grams posted by two or more components."""
+    if links is None:
+        tagged = common.withColumn("c", F.col("class"))
+    else:
+        label = connected(links).withColumnRenamed("node", "class")
+        tagged = common.join(label, "class", "left").withColumn("c", F.coalesce("component", "class")).drop("component")
+        tagged = store(tagged, "tagged")
+    mixed = tagged.groupBy("gram").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("gram")
+    return tagged if links is None else store(tagged.join(mixed, "gram", "left_semi"), "open")
+
+
+def _stars(open_: DataFrame, percent: int) -> DataFrame:
+    """One candidate pair (u, v) a class v: the best of the sets of other components that head an n-gram and size class
+    of v. Heads are the sets with the most shared postings: the least edited text of a group of near copies shares most,
+    and is the one that most others link to."""
+    shared = open_.groupBy("class").agg(F.count("*").alias("m"))
+    sized = open_.join(shared, "class").withColumn(
+        "bin", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))))
+    rank = F.struct((-F.col("m")).alias("m"), "class", "n", "pos", "c")
+    head = sized.groupBy("gram", "bin").agg(F.min(rank).alias("h")).select(
+        "gram", "bin", F.col("h.m").alias("m_u"), F.col("h.class").alias("u"), F.col("h.n").alias("n_u"),
+        F.col("h.pos").alias("pos_u"), F.col("h.c").alias("c_u"))
+    member = sized.drop("m").withColumnsRenamed({"n": "n_v", "pos": "pos_v", "class": "v"})
+    met = member.join(head, ["gram", "bin"]).filter("c <> c_u").filter(
+        F.when(F.col("n_u") <= F.col("n_v"), _possible("u", "v", percent)).otherwise(_possible("v", "u", percent)))
+    best = met.groupBy("v").agg(F.min(F.struct("m_u", "u", "n_u", "n_v")).alias("h")).select("h.u", "h.n_u", "v", "h.n_v")
+    v_first = (F.col("n_v") < F.col("n_u")) | ((F.col("n_v") == F.col("n_u")) & (F.col("v") < F.col("u")))
+    return best.select(F.when(v_first, F.col("v")).otherwise(F.col("u")).alias("u"),
+                       F.when(v_first, F.col("u")).otherwise(F.col("v")).alias("v")).distinct()
+
+
+def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, key, n, c) of every row of ``docs`` (doc_id, text): a hash of the text, the size of its set and its
+    component (null for an empty set)."""
     found = store(read_sets(docs, width), "sets")
-    rows = found.filter("kind = 0").select("doc_id", "class", "n", "ranges")
+    rows = found.filter("kind = 0").select("doc_id", "key", "class", "n", "ranges")
     level = frequency_levels(found.filter("kind = 1"))
     classes = rows.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("ranges").alias("ranges"))
 
@@ -246,32 +296,53 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     shared = posted.groupBy("gram").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b").select("gram")
     common = store(posted.join(shared, "gram", "left_semi"), "common")
 
-    sized = common.withColumn("bin", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))))
-    head = sized.groupBy("gram", "bin").agg(F.min(F.struct("n", "class", "pos")).alias("h")).select(
-        "gram", "bin", F.col("h.n").alias("n_h"), F.col("h.class").alias("u"), F.col("h.pos").alias("pos_h"))
-    star = sized.withColumnsRenamed({"n": "n_m", "pos": "pos_m", "class": "v"}).join(head, ["gram", "bin"]).filter("u <> v") \
-        .filter(_possible("h", "m", percent)).select("u", "v").distinct()
-    tried, links = verify(docs, star, classes, width, percent)
-    first = store(connected(links), "first")
-
-    tagged = common.join(first.withColumnRenamed("node", "class"), "class", "left").select(
-        "gram", "class", "n", "pos", F.coalesce("component", "class").alias("c"))
-    tagged = store(tagged, "tagged")
-    mixed = tagged.groupBy("gram").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("gram")
-    open_ = store(tagged.join(mixed, "gram", "left_semi"), "open")
+    links, tried, open_ = None, None, _tag(common, None)
+    for _ in range(STAR_ROUNDS):
+        pairs = store(_stars(open_, percent), "pairs")
+        linked = verify(docs, pairs, classes, width, percent)
+        tried = pairs if tried is None else tried.unionAll(pairs)
+        links = linked if links is None else links.unionAll(linked)
+        open_ = _tag(common, links)
     index = open_.filter(F.expr(f"pos < n - (2L * {percent} * n + {99 + percent}) div {100 + percent} + 1"))
     a = index.select("gram", *[F.col(x).alias(f"{x}_a") for x in ("class", "n", "pos", "c")])
     b = open_.select("gram", *[F.col(x).alias(f"{x}_b") for x in ("class", "n", "pos", "c")])
     rest = a.join(b, "gram").filter("c_a <> c_b AND (n_a, class_a) < (n_b, class_b)").filter(_possible("a", "b", percent)) \
         .select(F.col("class_a").alias("u"), F.col("class_b").alias("v")).distinct() \
         .join(tried, ["u", "v"], "left_anti")
-    _, more = verify(docs, rest, classes, width, percent)
-    label = connected(links.unionAll(more)).withColumnRenamed("node", "class")
+    links = links.unionAll(verify(docs, rest, classes, width, percent))
+    label = connected(links).withColumnRenamed("node", "class")
+    return store(rows.join(label, "class", "left").select("doc_id", "key", "n", F.coalesce("component", "class").alias("c")),
+                 "groups")
+
 
-    known = rows.join(label, "class", "left").select(
-        "doc_id", "n", F.coalesce("component", "class").alias("c"))
-    known = store(known, "known")
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text); ``percent``: least Jaccard * 100."""
+    known = groups(docs, width, percent)
     least = known.filter(F.col("c").isNotNull()).groupBy("c").agg(F.min("doc_id").alias("component_id"))
     return known.join(least, "c", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``docs`` (all columns) without near duplicates: of each component the row with the smallest doc_id stays (a null
+    doc_id only if there is no other; equal ids go by the hash of the text, and of rows equal in both one stays). Rows
+    with an empty set all stay."""
+    known = groups(docs, width, percent).filter(F.col("c").isNotNull())
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = known.groupBy("c").agg(F.min(rank).alias("first"))
+    ids = known.groupBy("c", "doc_id", "key").count().join(first, "c")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    fate = store(ids.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), is_first.alias("_stays"),
+                            F.col("count").alias("_n")).filter("NOT _stays OR _n > 1"), "fate")
+
+    def at(rows: DataFrame):
+        return F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_text_key() == F.col("_key"))
+
+    # broadcast up to a checked size, so that the texts stay where they are; beyond it they are shuffled
+    kept = docs.join(F.broadcast(fate) if fate.count() <= BROADCAST_ROWS else fate, at(fate), "left_anti")
+    repeated = fate.filter("_stays")
+    if repeated.isEmpty():
+        return kept
+    several = docs.withColumn("_text_key", _text_key()).join(repeated, at(repeated), "left_semi")
+    return kept.unionByName(several.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key"))

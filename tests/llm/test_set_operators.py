@@ -269,7 +269,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     want = _brute_components(rows)
     got = sorted((tuple(r) for r in ngram_join.near_duplicates(docs).collect()), key=repr)
     assert got == want and len({c for _, _, c in want}) < len(want) - 50
-    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 2)
     assert sorted((tuple(r) for r in ngram_join.near_duplicates(docs, 2, 60).collect()), key=repr) == \
         _brute_components(rows, 2, 60)
 
