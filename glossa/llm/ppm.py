@@ -40,7 +40,7 @@ class Table:
     """Open-addressing map from uint64 keys to row numbers."""
 
     def __init__(self, keys: np.ndarray):
-        bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
+        bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
         self.shift = U64(64 - bits)
         self.mask = (1 << bits) - 1
         self.slots = np.full(1 << bits, _EMPTY, dtype=np.uint64)
