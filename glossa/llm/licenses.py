@@ -1,11 +1,16 @@
 """Operator 2: licence scan by canonical digest look-up, native DataFrame expressions only.
 
-A text's canonical form is lower case, without copyright lines (lines that begin with "copyright", "(c)" or the sign, or
-say "all rights reserved"), with every run of characters other than letters and digits as one space, and with
-equivalent spellings unified (``EQUIVALENT``). The SHA-256 digest of the canonical form of an entire text is hash-joined
+A text's canonical form is lower case, without copyright notices, with every run of characters other than letters and
+digits as one space, and with equivalent spellings unified (``EQUIVALENT``). A notice is a line that begins with the
+sign, or with "copyright" or "(c)" before the sign, a year, a placeholder or a name, or a line's leading "all rights
+reserved". A line that begins so because the licence's own words are wrapped there ("copyright holders be liable",
+"copyright notice", list item "(c) you must") stays, so a digest does not depend on the wrapping. The SHA-256 digest of the canonical form of an entire text is hash-joined
 to the digests of known licence texts; the same is done for every line of a document taken as a text of its own, so
 short notices are found in longer documents.
 
+The SQL twin (``oracle_sql``) still deletes every line that begins with one of these words (``COPYRIGHT_LINE``); the two
+agree on texts whose only such lines are whole notices.
+
 Scale: canonical forms and digests are JVM expressions in the scan; the known digests are a small given table (its size
 is checked before it is broadcast; a larger one is joined by shuffle); only lines that are a known text leave the
 scan, with doc_id. A document's text is never shuffled.
@@ -23,7 +28,24 @@ from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 20_000
 
+# The rule of the SQL twin.
 COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+# Words after "copyright" or "(c)" that go on with a licence's sentence; any other word there is a name.
+AFTER_COPYRIGHT = (
+    r"(?:holders?|owners?|notices?|laws?|licen[sc]e[sd]?|licen[sc]ing|statements?|interests?|permissions?|protections?|rights?"
+    r"|infringements?|claims?|treat(?:y|ies)|conditions?|doctrines?|lines?|disclaimers?|legislation|materials?|works?"
+    r"|the[ \t]+(?:software|program|library|works?|code|author|holder|owner)|and|or|in|is|are|on|of|to|for|as|at|it|that|this"
+    r"|which|with|under|from|has|have|may|shall|will|does|applies|resulting|status|information|year)\b")
+AFTER_C = (
+    r"(?:you|your|we|the|any|all|an?|if|to|in|on|of|that|this|these|those|each|every|such|for|from|where|when|whether|with"
+    r"|without|by|at|as|no|not|or|and|under|upon|it|its|is|are|be|must|may|shall|will|use|using|include|includes|ensure"
+    r"|other|one|either|both)\b")
+COPYRIGHT_NOTICE = (
+    r"(?m)^[ \t]*(?:©[^\n]*"
+    r"|(?:copyright|\(c\))[ \t:,]*(?:\(c\)|©|&copy;|copyright[ \t]+\d|[\[<{]|\d{4}\b)[^\n]*"
+    r"|copyright[ \t:]+(?!" + AFTER_COPYRIGHT + r")\p{L}[^\n]*"
+    r"|\(c\)[ \t]+(?!" + AFTER_C + r")\p{L}[^\n]*"
+    r"|all rights reserved(?:[ \t]+(?:by|to)\b[^\n]*|[ \t.!]*))")
 NOT_WORD = r"[^\p{L}\p{N}]+"
 # Equivalent spellings, applied in this order to the spaced lower-case form.
 EQUIVALENT = (
@@ -107,7 +129,7 @@ KNOWN = (
 
 def canonical(text: Column) -> Column:
     """Canonical form of an entire text (null: empty)."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_NOTICE, "")
     t = F.trim(F.regexp_replace(t, NOT_WORD, " "))
     for a, b in EQUIVALENT:
         t = F.replace(t, F.lit(a), F.lit(b))

@@ -4,6 +4,7 @@ import hashlib
 import os
 import re
 import sys
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -41,6 +42,29 @@ def test_license_variants_match_and_others_do_not(spark, clashing_docs, no_docs)
     assert licenses.scan(no_docs, known).count() == 0
 
 
+def _wrapped(text, width):
+    return "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False)
+                       for p in text.split("\n\n"))
+
+
+def test_license_digest_does_not_depend_on_wrapping(spark):
+    known = licenses.known_digests(licenses.builtin_texts(spark))
+    heads = ("", "Copyright (c) 2020 A. Person\nAll rights reserved.\n\n", "Copyright Jane Person\n\n", "(c) Acme Inc.\n\n",
+             "© The Authors\n\n", "Copyright <YEAR> <COPYRIGHT HOLDER>\n\n")
+    texts = [("MIT", licenses.MIT), ("ISC", licenses.ISC), ("BSD-2-Clause", licenses.BSD_2)]
+    rows = [(i, head + form) for i, t in texts for head in heads
+            for form in (t, " ".join(t.split()), *(_wrapped(t, w) for w in (20, 33, 47, 60, 72, 76, 79, 80, 100, 110, 120)))]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(docs, known).collect()}
+    assert [got[k] for k in range(len(rows))] == [i for i, _ in rows]
+    lines = ["copyright holders be liable", "Copyright notice, this list", "(c) You must retain", "copyright",
+             "All rights reserved. One more word", "Copyright 2020 Jane", "All rights reserved."]
+    forms = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, text string") \
+        .select("k", licenses.canonical(F.col("text")).alias("f")).orderBy("k").collect()
+    assert [r.f for r in forms] == ["copyright holders be liable", "copyright notice this list", "c you must retain",
+                                    "copyright", "one more word", "", ""]
+
+
 # ---- operator 3 --------------------------------------------------------------------------------
 
 def _paragraphs(text):
