@@ -74,7 +74,7 @@ def _packed(counts: np.ndarray) -> bytes:
     return bytes([kind]) + counts.astype(_COUNTERS[kind]).tobytes()
 
 
-def _text_key():
+def text_key():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
@@ -117,7 +117,7 @@ def read_sets(docs: DataFrame, width: int) -> DataFrame:
              pa.array([_packed(seen[k * SLICE:(k + 1) * SLICE]) for k in full], pa.binary())],
             names=["kind", "doc_id", "key", "class", "n", "ranges", "slice", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", _text_key().alias("key")).mapInArrow(run, SETS_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text", text_key().alias("key")).mapInArrow(run, SETS_SCHEMA)
 
 
 def frequency_levels(counts: DataFrame) -> np.ndarray:
@@ -337,12 +337,12 @@ def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
                             F.col("count").alias("_n")).filter("NOT _stays OR _n > 1"), "fate")
 
     def at(rows: DataFrame):
-        return F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_text_key() == F.col("_key"))
+        return F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
 
     # broadcast up to a checked size, so that the texts stay where they are; beyond it they are shuffled
     kept = docs.join(F.broadcast(fate) if fate.count() <= BROADCAST_ROWS else fate, at(fate), "left_anti")
     repeated = fate.filter("_stays")
     if repeated.isEmpty():
         return kept
-    several = docs.withColumn("_text_key", _text_key()).join(repeated, at(repeated), "left_semi")
+    several = docs.withColumn("_text_key", text_key()).join(repeated, at(repeated), "left_semi")
     return kept.unionByName(several.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key"))

@@ -52,7 +52,7 @@ def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm import packing
-    return packing.pack(packing.text_items(_documents(spark, sf_dir)))
+    return packing.pack(packing.near_duplicate_items(_documents(spark, sf_dir)))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

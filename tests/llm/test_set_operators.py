@@ -228,6 +228,34 @@ def test_packing_query_places_every_unit_once(spark):
     _check_packing(rows, dict(items["size"]), dict(items["source"]), dict(items["cluster"]), packing.CAPACITY)
 
 
+def test_packing_query_keeps_near_copies_apart(spark, tmp_path, odd_rows):
+    rows = [(i, t, f"s{k}") for k, (i, t) in enumerate(_near_corpus())] + [(r[0], r[1], f"o{k}") for k, r in enumerate(odd_rows)]
+    tail = " ".join(f"v{k}" for k in range(30))
+    rows += [(5000, "ÉTÉ " + tail, "t0"), (5001, "été  " + tail, "t1"), (5002, "x é é é é é é " + tail, "t2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op7_best_fit_packing(spark, str(tmp_path)).collect()
+    component = {}
+    for d, n, c in _brute_components([r[:2] for r in rows]):
+        component.setdefault(d, set()).update({c} if n else ())
+    component[5001] = component[5000]  # equal but for the case of É, which the n-grams don't level
+    once = {d for d, n in Counter(r[0] for r in rows).items() if n == 1}  # the brute force names components by doc_id
+    windows = {}
+    for r in got:
+        if r.bin is not None and r.doc_id in once:
+            windows.setdefault((r.shard, r.bin), []).append(r.doc_id)
+    for ids in windows.values():
+        held = [c for d in ids for c in component[d]]
+        assert len(held) == len(set(held))
+    sizes = Counter()
+    for r in got:
+        sizes[r.doc_id] += r.length
+    want = Counter()
+    for i, t, _ in rows:
+        want[i] += len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert sizes == want and len(windows) >= 25
+
+
 def test_packing_odd_cases(spark, clashing_docs, no_docs):
     rows = packing.pack(packing.text_items(clashing_docs), capacity=50, shard_rows=3).collect()
     by_doc = Counter()
