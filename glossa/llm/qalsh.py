@@ -1,6 +1,6 @@
 """Operator 5: approximate nearest neighbours by collision-counting hashing (query-aware LSH).
 
-The index: vectors are dealt into blocks by a hash of their id, and every block keeps, for each of ``PROJECTIONS``
+The index: vectors are dealt into blocks by a hash (rows equal in id and vector to successive blocks), and every block keeps, for each of ``PROJECTIONS``
 Gaussian directions, the sorted array of its vectors' projections. Largest inner product becomes smallest distance by
 one more coordinate, ``sqrt(M^2 - |x|^2)`` with M the largest norm, 0 for queries, so vectors need no common length.
 
@@ -112,6 +112,15 @@ def _usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.size("x") == common[0]["d"]) if common else rows
 
 
+def deal(rows: DataFrame, n_blocks: int, k: int) -> DataFrame:
+    """(block, vec_id, x) of ``rows`` (vec_id, x). Rows equal in both are counted (map-side) and go to successive blocks;
+    they tie in every ranking, so no k best hold more than k of them and further ones can't change a result."""
+    known = rows.groupBy("vec_id", "x").agg(F.least(F.count("*"), F.lit(k)).alias("n")).select(
+        "vec_id", "x", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)).cast("int"))).alias("copy"))
+    return known.select(F.pmod(F.xxhash64("vec_id", "x") + F.col("copy"), F.lit(n_blocks)).cast("int").alias("block"),
+                        "vec_id", "x")
+
+
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -124,8 +133,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, block_rows: int = BLOC
     queries = rows.filter(is_query).groupBy("vec_id").agg(F.min("x").alias("x"))
     n_blocks = max(1, -(-n // block_rows))
     n_groups = max(1, -(-queries.count() // query_group))
-    blocks = rows.select(F.pmod(F.xxhash64("vec_id", "x"), F.lit(n_blocks)).cast("int").alias("block"),
-                         F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("grp"), "vec_id", "x")
+    blocks = deal(rows, n_blocks, k).select(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("grp"), "vec_id", "x")
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
                            F.pmod(F.xxhash64("vec_id"), F.lit(n_groups)).cast("int").alias("grp"), "vec_id", "x")
 

@@ -158,6 +158,26 @@ def test_neighbours_odd_cases(spark):
     assert qalsh.nearest(df.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(-9, 10, (600, 4)).astype(float) + 0.5
+    x[7] *= 4  # among the best of many queries
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 400 + [(8, x[8].tolist())] * 3
+    df = spark.createDataFrame(rows, "vec_id long, x array<float>").repartition(6)
+    dealt = qalsh.deal(df, 20, 30)
+    sizes = Counter(r.block for r in dealt.collect())  # by the hash of (vec_id, x) one block had over 400
+    assert len(sizes) == 20 and max(sizes.values()) <= 60
+    per_block = Counter((r.block, r.vec_id) for r in dealt.collect())
+    assert {n for (_, i), n in per_block.items() if i == 7} == {1, 2} and sum(n for (_, i), n in per_block.items() if i == 8) == 4
+    got = qalsh.nearest(df.withColumnRenamed("x", "embedding"), F.col("vec_id") % 20 == 0, 30, block_rows=50).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    ids, vs = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    assert found == {q: [(i, -v) for i, v in _brute_nearest(ids, vs, q, 30)] for q in range(0, 600, 20)}
+    assert any(sum(i == 7 for i, _ in v) > 20 for v in found.values())
+
+
 # ---- operator 7 --------------------------------------------------------------------------------
 
 def _brute_pack(pieces, capacity):
