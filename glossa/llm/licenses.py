@@ -5,8 +5,9 @@ digits as one space, and with equivalent spellings unified (``EQUIVALENT``). A n
 sign, or with "copyright" or "(c)" before the sign, a year, a placeholder or a name, or a line's leading "all rights
 reserved". A line that begins so because the licence's own words are wrapped there ("copyright holders be liable",
 "copyright notice", list item "(c) you must") stays, so a digest does not depend on the wrapping. The SHA-256 digest of the canonical form of an entire text is hash-joined
-to the digests of known licence texts; the same is done for every line of a document taken as a text of its own, so
-short notices are found in longer documents.
+to the digests of known licence texts; the same is done for every line of a document, and for every block of several
+lines between blank ones, taken as a text of its own, so notices are found in longer documents. A known text that blank
+lines cut into several blocks is found only as an entire document.
 
 The SQL twin (``oracle_sql``) still deletes every line that begins with one of these words (``COPYRIGHT_LINE``); the two
 agree on texts whose only such lines are whole notices.
@@ -23,6 +24,9 @@ null doc_id has no line findings; an empty table gives an empty table; other col
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,6 +130,85 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC0-1.0", "Licensed under CC0 1.0."),
 )
 
+BSD_3 = BSD_2.replace("""
+
+THIS SOFTWARE""", """
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+
+THIS SOFTWARE""")
+
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as
+a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all
+present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF
+OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it
+and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you
+use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""
+
+BSL = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and
+transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is
+furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and
+the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of
+the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by
+a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT
+HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+# Texts that are known with each of these headings and without one (the SQL twin knows ``KNOWN`` only).
+HEADED = (
+    ("MIT", MIT.split("\n\n", 1)[1], ("MIT License", "The MIT License", "The MIT License (MIT)")),
+    ("ISC", ISC.split("\n\n", 1)[1], ("ISC License", "The ISC License")),
+    ("0BSD", ZERO_BSD, ("BSD Zero Clause License", "Zero-Clause BSD")),
+    ("BSD-2-Clause", BSD_2, ("BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License")),
+    ("BSD-3-Clause", BSD_3, ("BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License")),
+    ("Unlicense", UNLICENSE, ("The Unlicense",)),
+    ("Unlicense", UNLICENSE + "\n\nFor more information, please refer to <https://unlicense.org>", ("The Unlicense",)), ("Zlib", ZLIB, ("zlib License", "The zlib License")),
+    ("BSL-1.0", BSL, ("Boost Software License - Version 1.0 - August 17th, 2003",)),
+)
+# Long texts, files of ``license_texts``.
+FILES = ("Apache-2.0", "CC0-1.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0")
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def more_texts() -> list[tuple[str, str]]:
+    """(license_id, text): ``HEADED`` with and without heading; ``FILES`` also without heading, and without what follows
+    the end of the terms."""
+    out = [(i, f"{head}\n\n{text}") for i, text, heads in HEADED for head in ("", *heads)]
+    for i in FILES:
+        text = resources.files(__package__).joinpath("license_texts", f"{i}.txt").read_text("utf-8").strip()
+        for form in (text, re.split(r"\n[ \t]*\n", text, maxsplit=1)[1]):
+            terms, end, _ = form.partition(TERMS_END)
+            out += [(i, form)] + ([(i, terms + end), (i, terms)] if end else [])
+    return out
+
 
 def canonical(text: Column) -> Column:
     """Canonical form of an entire text (null: empty)."""
@@ -148,18 +231,23 @@ def known_digests(texts: DataFrame) -> DataFrame:
 
 
 def builtin_texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN), "license_id string, text string")
+    return spark.createDataFrame([*KNOWN, *more_texts()], "license_id string, text string")
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Per document: digest of its canonical text, the licence it entirely is (or null), and the number and sorted,
-    comma-joined identifiers of its lines that are known licence texts."""
+    comma-joined identifiers of its lines, and blocks of two or more lines with words, that are known licence texts."""
     small = known.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
     side = F.broadcast(known) if small else known
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(F.col("text")).alias("digest"))
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.split("text", "\n")).alias("line")) \
         .filter(F.col("doc_id").isNotNull()).select("doc_id", _digest(F.col("line")).alias("digest"))
-    per_id = lines.join(side, "digest").groupBy("doc_id").agg(
+    worded = F.filter(F.split(F.regexp_replace(F.lower("block"), COPYRIGHT_NOTICE, ""), "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                         F.explode(F.split("text", r"\n[ \t\r]*(?=\n)")).alias("block")) \
+        .filter(F.col("doc_id").isNotNull() & F.trim(F.col("block"), F.lit("\n")).contains("\n") & (F.size(worded) > 1)) \
+        .select("doc_id", _digest(F.col("block")).alias("digest"))
+    per_id = lines.unionAll(blocks).join(side, "digest").groupBy("doc_id").agg(
         F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("ids"))
     return whole.join(side, "digest", "left").join(per_id, "doc_id", "left").select(
         "doc_id", "digest", "license_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_license_lines"),

@@ -65,6 +65,25 @@ def test_license_digest_does_not_depend_on_wrapping(spark):
                                     "copyright", "one more word", "", ""]
 
 
+def test_common_licenses_with_and_without_heading_and_in_blocks(spark):
+    known = licenses.known_digests(licenses.builtin_texts(spark))
+    notice = textwrap.wrap(" ".join(licenses.APACHE_NOTICE.split()), 70)
+    own = [("BSD-3-Clause", licenses.BSD_3), ("Unlicense", licenses.UNLICENSE), ("Zlib", licenses.ZLIB), ("BSL-1.0", licenses.BSL),
+           ("MIT", licenses.MIT.split("\n\n", 1)[1]), ("MIT", "The " + licenses.MIT)]
+    own = [(i, form) for i, t in own for form in (t, _wrapped(t, 70), " ".join(t.split()))]
+    folder = os.path.join(os.path.dirname(licenses.__file__), "license_texts")
+    files = [(i, open(f"{folder}/{i}.txt", encoding="utf-8").read()) for i in licenses.FILES]
+    rows = own + files + [(i, t.split(licenses.TERMS_END)[0]) for i, t in files]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    assert [r.license_id for r in licenses.scan(docs, known).orderBy("doc_id").collect()] == [i for i, _ in rows]
+    inside = [("code();\n\n# " + "\n# ".join(notice) + "\n\nmore();", 1, "Apache-2.0"),
+              ("a\n \nAll rights reserved.\nReleased under the MIT License.\n\n\nLicensed under\nCC0 1.0.", 2, "CC0-1.0,MIT"),
+              ("\n\nReleased under the MIT License.\n\n", 1, "MIT")]
+    docs = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(inside)], "doc_id long, text string")
+    got = licenses.scan(docs, known).orderBy("doc_id").collect()
+    assert [(r.n_license_lines, r.line_licenses) for r in got] == [x[1:] for x in inside]
+
+
 # ---- operator 3 --------------------------------------------------------------------------------
 
 def _paragraphs(text):
