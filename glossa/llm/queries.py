@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import licenses
+from glossa.llm import licenses, merkle, negatives
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -33,6 +32,7 @@ def op3_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
     from glossa.llm import bpe
     return bpe.round_trip_digests(_documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -76,7 +76,23 @@ def op10_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, machine, held)
 
 
+def op11_slot_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(_documents(spark, sf_dir), merkle.without_line_feeds())
+
+
+def op13_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm import lineblocks
+    return lineblocks.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ppm_language, op2_license_digests, op3_iblt_fingerprints, op4_byte_bpe, op5_qalsh_neighbours,
-    op6_importance_resampling, op7_best_fit_packing, op8_ngram_jaccard_join, op9_skip_chain_pii, op10_string_kernel_toxicity)}
-ORACLE_SQL: dict[str, str] = {"op2_license_digests": licenses.oracle_sql()}
+    op6_importance_resampling, op7_best_fit_packing, op8_ngram_jaccard_join, op9_skip_chain_pii, op10_string_kernel_toxicity,
+    op11_slot_negatives, op12_merkle_manifest, op13_line_block_text)}
+ORACLE_SQL: dict[str, str] = {
+    "op2_license_digests": licenses.oracle_sql(), "op11_slot_negatives": negatives.oracle_sql(),
+    "op12_merkle_manifest": merkle.oracle_sql()}
