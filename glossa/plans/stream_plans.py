@@ -1,9 +1,10 @@
-"""Streaming queries (I1–I3, K3): each stages its fixture as a replayable file
-source of several files (one micro-batch per file), runs the stream to the end
-with ``availableNow`` and returns the sink read back as a batch DataFrame."""
+"""Streaming queries (I1–I3, K3): each lets its fixture arrive in the folder of a file stream, as wide as the
+fixture is, runs the stream to the end with ``availableNow`` (again for what arrives later) and returns the
+sink read back as a batch DataFrame."""
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import functions as F
@@ -29,11 +30,13 @@ def _paths(spark, name):
 @query("i1_stream_metrics", ops=("I1",))
 def i1_stream_metrics(spark, sf):
     src, out, ck = _paths(spark, "metrics")
-    # two epochs: odd and even chunks; the metrics of an epoch start anew
-    staged = V.gen_eval(spark, sf).withColumn("epoch", (F.col("row_id") % 2).cast("int"))
-    S.stage_files(staged, src, 4, ["row_id", "system"])
-    q = S.stream_metrics(S.file_stream(spark, src, staged.schema), out, ck)
-    q.awaitTermination()
+    # two epochs, odd and even chunks; each arrives, then its end marker, and the metrics start anew
+    rows = V.gen_eval(spark, sf).withColumn("epoch", (F.col("row_id") % 2).cast("int")) \
+        .withColumn("epoch_end", F.lit(False))
+    for epoch in (0, 1):
+        S.stage_files(rows.filter(F.col("epoch") == epoch), src)
+        S.stage_files(S.epoch_end(spark, rows.schema, epoch), src)
+        S.stream_metrics(S.file_stream(spark, src, rows.schema), out, ck).awaitTermination()
     res = spark.read.parquet(out)
     long = T.to_long(res.select("system", "epoch", "blue", "chrf", *T._rouge_cols(T.ROUGE_KEYS)),
                      ["system", "epoch"], T.report_names())
@@ -43,10 +46,17 @@ def i1_stream_metrics(spark, sf):
 @query("i2_stream_bucket_mean", ops=("I2", "H5"), sql=REGISTRY["h5_bucket_mean"].sql)
 def i2_stream_bucket_mean(spark, sf):
     src, out, ck = _paths(spark, "buckets")
-    staged = V.step_log(spark, sf).withColumn("run", F.lit("all"))
-    S.stage_files(staged, src, 5, ["step"])
-    q = S.stream_bucket_mean(S.file_stream(spark, src, staged.schema), 50, out, ck)
-    q.awaitTermination()
+    log = V.step_log(spark, sf).withColumn("run", F.lit("all"))
+    # the log arrives in four parts by step, as a training job writes it, then its end
+    ends = log.agg(F.percentile_approx("step", [0.25, 0.5, 0.75]).alias("q"), F.max("ts").alias("last")).first()
+    cuts = [None, *(ends["q"] or []), None]
+    for low, high in zip(cuts, cuts[1:]):
+        part = log if low is None else log.filter(F.col("step") > low)
+        S.stage_files(part if high is None else part.filter(F.col("step") <= high), src)
+        S.stream_bucket_mean(S.file_stream(spark, src, log.schema), 50, out, ck).awaitTermination()
+    if ends["last"] is not None:
+        S.stage_files(S.end_of_stream(spark, log.schema, ends["last"] + datetime.timedelta(hours=2)), src)
+        S.stream_bucket_mean(S.file_stream(spark, src, log.schema), 50, out, ck).awaitTermination()
     return S.read_bucket_mean(spark, out, 50).withColumn("loss_reduced", F.round("loss_reduced", 6))
 
 
@@ -55,7 +65,7 @@ def i3_stream_samples(spark, sf):
     src, out, ck = _paths(spark, "samples")
     g = sample_rows(spark, sf)
     staged = B.assign_batches(g.select("row_id", "system"), ["row_id", "system"], 8).join(g, ["row_id", "system"])
-    S.stage_files(staged, src, 4, ["row_idx"])
+    S.stage_files(staged, src)
     q = S.stream_samples(S.file_stream(spark, src, staged.schema), every=5, n=3, batch_size=8, sink=out,
                          checkpoint=ck)
     q.awaitTermination()
@@ -68,7 +78,7 @@ def i3_stream_samples(spark, sf):
 def k3_on_batch(spark, sf):
     src, out, ck = _paths(spark, "hook")
     staged = V.gen_eval(spark, sf).select("row_id", "system", "generated_text")
-    S.stage_files(staged, src, 3, ["row_id", "system"])
+    S.stage_files(staged, src)
 
     def hook(batch, batch_id):  # per-batch telemetry, keyed by batch id (idempotent)
         (batch.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size(tokens("generated_text"))).alias("tokens"))

@@ -1,5 +1,6 @@
 """Streaming = batch, replay idempotence, and the I/O round trips."""
 
+import datetime
 import json
 import os
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from glossa.operators import batches as B
 from glossa.operators import telemetry as TM
+from glossa.operators import textmetrics as TMX
 from glossa.sources import fixtures as V
 from glossa.sources import io
 from glossa.streaming import streams as S
@@ -18,8 +20,8 @@ def test_stream_samples_replay_is_idempotent(spark, tmp_path):
     a = V.gen_eval(spark, SF_SMALL).filter(F.col("system") == "A").select("row_id")
     staged = B.assign_batches(a, ["row_id"], 8)
     src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
-    S.stage_files(staged, src, 3, ["row_idx"])
-    S.stream_samples(S.file_stream(spark, src, staged.schema), 5, 3, 8, out, ck).awaitTermination()
+    S.stage_files(staged.repartition(3, "row_idx"), src)
+    S.stream_samples(S.file_stream(spark, src, staged.schema, 1), 5, 3, 8, out, ck).awaitTermination()
     first = sorted(r["row_id"] for r in spark.read.parquet(out).collect())
     # restart from the same checkpoint: nothing new, nothing duplicated
     S.stream_samples(S.file_stream(spark, src, staged.schema), 5, 3, 8, out, ck).awaitTermination()
@@ -28,16 +30,119 @@ def test_stream_samples_replay_is_idempotent(spark, tmp_path):
     assert first == again == batch and len(batch) > 0
 
 
-def test_stream_bucket_mean_equals_batch(spark, tmp_path):
+def _folders(tmp_path):
+    return str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+
+
+def _means(df):
+    return {(r["run"], r["step"]): r["loss_reduced"] for r in df.collect()}
+
+
+def test_stream_bucket_mean_equals_batch_with_bounded_state(spark, tmp_path):
+    """50 micro-batches of a log whose neighbours come out of order: the result is that of the batch operator,
+    and the state never holds more than the windows of the delay."""
     log = V.step_log(spark, SF_SMALL).withColumn("run", F.lit("all"))
-    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
-    S.stage_files(log, src, 4, ["step"])
-    S.stream_bucket_mean(S.file_stream(spark, src, log.schema), 50, out, ck).awaitTermination()
-    got = {r["step"]: r["loss_reduced"] for r in S.read_bucket_mean(spark, out, 50).collect()}
-    want = {r["step"]: r["loss_reduced"] for r in TM.bucket_mean(log, 50).collect()}
-    assert got.keys() == want.keys()
+    src, out, ck = _folders(tmp_path)
+    last = log.agg(F.max("ts").alias("t"), F.max("step").alias("s")).first()
+    pdf = log.toPandas().sort_values("step")
+    size = -(-len(pdf) // 50)
+    for k in range(50):
+        part = pdf.iloc[k * size:(k + 1) * size].sample(frac=1, random_state=k)
+        S.stage_files(spark.createDataFrame(part, log.schema).coalesce(1), src)
+    S.stage_files(S.end_of_stream(spark, log.schema, last["t"] + datetime.timedelta(days=3)), src)
+    q = S.stream_bucket_mean(S.file_stream(spark, src, log.schema, 1), 50, out, ck, "1 day", "6 hours")
+    q.awaitTermination()
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert len(sizes) >= 50
+    # a day of delay and six hours of window hold a few windows of one or two buckets each, at any time
+    per_day = last["s"] / 50 / 30
+    assert max(sizes) <= 8 * (per_day + 2) and sizes[-1] <= 1
+    assert _means(S.read_bucket_mean(spark, out, 50)) == pytest.approx(_means(TM.bucket_mean(log, 50)))
+
+
+def _steps(rows):
+    base = datetime.datetime(2024, 1, 1)
+    return [("r", s, float(s), base + datetime.timedelta(minutes=m)) for s, m in rows]
+
+
+STEP_SCHEMA = "run string, step long, loss double, ts timestamp"
+
+
+def test_stream_bucket_mean_drops_rows_later_than_the_delay(spark, tmp_path):
+    src, out, ck = _folders(tmp_path)
+    parts = [_steps((s, s) for s in range(0, 21) if s not in (5, 12)),  # minutes 0 to 20
+             _steps((s, s) for s in range(21, 41)),  # the watermark comes to minute 35
+             _steps([(12, 12), (39, 39)]),  # 12 is late now; a second row of step 39 is not
+             _steps([(5, 400)]),  # an old step with a new time is not late either
+             _steps([(41, 600)])]
+    for part in parts:
+        S.stage_files(spark.createDataFrame(part, STEP_SCHEMA).coalesce(1), src)
+        S.stream_bucket_mean(S.file_stream(spark, src, spark.createDataFrame([], STEP_SCHEMA).schema, 1), 10, out, ck,
+                             "5 minutes", "5 minutes").awaitTermination()
+    kept = spark.createDataFrame([r for p in parts for r in p if r[1] != 12], STEP_SCHEMA)
+    want = _means(TM.bucket_mean(kept, 10))
+    assert _means(S.read_bucket_mean(spark, out, 10)) == pytest.approx(want)
+    assert want["r", 20] == pytest.approx(sum(s for s in range(11, 21) if s != 12) / 9)
+
+
+def _epoch_rows(spark):
+    rows = V.gen_eval(spark, SF_SMALL).filter("row_id % 7 = 0").withColumn("epoch", (F.col("row_id") % 3).cast("int"))
+    return rows.withColumn("epoch_end", F.lit(False)).cache()
+
+
+def _scores(df):
+    return {(r["system"], r["epoch"]): [r["blue"], r["chrf"], r["rougeLsum_fmeasure"]] for r in df.collect()}
+
+
+def test_stream_metrics_emit_each_epoch_once_and_forget_it(spark, tmp_path):
+    rows, (src, out, ck) = _epoch_rows(spark), _folders(tmp_path)
+    want = _scores(TMX.generation_scores(rows, by=["system", "epoch"]))
+    state = []
+
+    def run():
+        q = S.stream_metrics(S.file_stream(spark, src, rows.schema, 1), out, ck)
+        q.awaitTermination()
+        state.extend(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress[-1:] if p["stateOperators"])
+        return _scores(spark.read.schema("system string, epoch int, blue double, chrf double, rougeLsum_fmeasure double")
+                       .parquet(out)), spark.read.parquet(out).count() if os.listdir(out)[1:] else 0
+
+    early = rows.filter("epoch = 1").limit(3)  # rows of the next epoch may come first
+    for part in (rows.filter("epoch = 0"), early):
+        S.stage_files(part.coalesce(2), src)
+    assert run()[0] == {} and state[-1] >= 3  # nothing before the marker
+    S.stage_files(S.epoch_end(spark, rows.schema, 0), src)
+    got, n = run()
+    assert got.keys() == {("A", 0), ("B", 0)} and n == 2 and 1 <= state[-1] <= 2
+    ids = [(r.row_id, r.system) for r in early.collect()]
+    rest = rows.filter("epoch = 1").filter(~F.concat_ws("-", "row_id", "system").isin([f"{i}-{s}" for i, s in ids]))
+    S.stage_files(rest.coalesce(1), src)
+    S.stage_files(rows.filter("epoch = 0").limit(5), src)  # late: epoch 0 has ended
+    S.stage_files(S.epoch_end(spark, rows.schema, 1), src)
+    S.stage_files(rows.filter("epoch = 2").coalesce(1), src)
+    S.stage_files(S.epoch_end(spark, rows.schema, 2), src)
+    got, n = run()
+    assert n == 6 and state[-1] == 0 and got.keys() == want.keys()
     for k in want:
         assert got[k] == pytest.approx(want[k])
+    again, n = run()  # a restart without new files adds nothing
+    assert n == 6 and again == got
+
+
+def test_stream_metrics_replay_of_an_uncommitted_batch(spark, tmp_path):
+    """A run that was lost after its sink had written and before it committed the micro-batch writes the same rows again,
+    not more."""
+    rows, (src, out, ck) = _epoch_rows(spark).filter("epoch < 2"), _folders(tmp_path)
+    for e in (0, 1):
+        S.stage_files(rows.filter(F.col("epoch") == e).coalesce(1), src)
+        S.stage_files(S.epoch_end(spark, rows.schema, e), src)
+    S.stream_metrics(S.file_stream(spark, src, rows.schema, 1), out, ck).awaitTermination()
+    want = _scores(spark.read.parquet(out))
+    commits = sorted((f for f in os.listdir(f"{ck}/commits") if f.isdigit()), key=int)
+    for f in (commits[-1], f".{commits[-1]}.crc"):
+        if os.path.exists(f"{ck}/commits/{f}"):
+            os.remove(f"{ck}/commits/{f}")
+    S.stream_metrics(S.file_stream(spark, src, rows.schema, 1), out, ck).awaitTermination()
+    assert _scores(spark.read.parquet(out)) == want and spark.read.parquet(out).count() == 4
 
 
 def test_cached_builds_once(spark, tmp_path):
@@ -71,26 +176,6 @@ def test_predictions_csv_roundtrip_with_newlines_and_quotes(spark, tmp_path):
     assert back[0]["input_text"] == "a \"quoted\"\nline"
 
 
-def test_stream_bucket_mean_keeps_buckets_with_missing_steps(spark, tmp_path):
-    """Steps 0..20 without step 7, the later rows first: buckets 10 and 20 are both flushed, as in batch."""
-    rows = [("r", s, float(s)) for s in range(21) if s != 7]
-    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
-    schema = "run string, step long, loss double"
-    spark.createDataFrame(rows[12:], schema).coalesce(1).write.parquet(src)
-    spark.createDataFrame(rows[:12], schema).coalesce(1).write.mode("append").parquet(src)
-    log = spark.createDataFrame(rows, schema)
-    S.stream_bucket_mean(S.file_stream(spark, src, log.schema), 10, out, ck).awaitTermination()
-    got = {r["step"]: r["loss_reduced"] for r in S.read_bucket_mean(spark, out, 10).collect()}
-    want = {r["step"]: r["loss_reduced"] for r in TM.bucket_mean(log, 10).collect()}
-    assert got == pytest.approx(want) and set(got) == {10, 20}
-
-
-def test_staging_keeps_null_order_keys(spark, tmp_path):
-    df = spark.createDataFrame([(i if i % 3 else None,) for i in range(10)], "k long")
-    S.stage_files(df, str(tmp_path / "s"), 3, ["k"])
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 10
-
-
 def test_csv_keeps_blanks_and_empty_texts(spark, tmp_path):
     rows = [("  lead", "trail  ", "", None, "x")]
     io.write_predictions(spark.createDataFrame(rows, io.TEXT_PRED_SCHEMA), str(tmp_path / "c"))
