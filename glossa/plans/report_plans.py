@@ -31,7 +31,8 @@ def _ctes(sql: str) -> str:
 
 def _long(sql: str, cols: dict[str, str]) -> str:
     """Unpivot a wide twin result to (system, metric, value)."""
-    return "\nUNION ALL\n".join(f"SELECT system, '{m}' AS metric, {c} AS value FROM ({sql})" for c, m in cols.items())
+    names, values = ", ".join(f"'{m}'" for m in cols.values()), ", ".join(cols)
+    return f"SELECT system, unnest([{names}]) AS metric, unnest([{values}]) AS value FROM ({sql})"
 
 
 _ROUGE_COLS = {f"{k}_{m}": f"test/rouge/{k}_{m}" for k in T.ROUGE_KEYS for m in ("fmeasure", "precision", "recall")}
@@ -70,14 +71,32 @@ def test_report(spark, sf) -> DataFrame:
         .withColumn("value", F.round("value", 6))
 
 
-# F11 and F12 include ROUGE-L / ROUGE-Lsum, which have no SQL twin on whole texts (see
-# text_plans); tests/test_bruteforce.py checks them value by value on the smallest tables.
-@query("f11_test_report", ops=("F11", "F2", "F3", "F4", "F5", "F6", "F7", "E2", "E3", "B11", "F9"))
+# the twin result of each ROUGE key
+_ROUGE_SQL = {("rouge1", "rouge2"): text_plans._ROUGE_N_SQL, ("rougeL",): text_plans._ROUGE_L_SQL,
+              ("rougeLsum",): text_plans._ROUGE_LSUM_SQL}
+GENERATION_SQL = "\nUNION ALL\n".join([
+    _long(text_plans._BLEU_SQL, {"bleu": "test/blue"}), _long(text_plans._CHRF_SQL, {"chrf": "test/chrf"}),
+    *[_long(sql, {c: f"test/rouge/{c}" for c in T._rouge_cols(keys)}) for keys, sql in _ROUGE_SQL.items()]])
+
+
+@query("f11_test_report", ops=("F11", "F2", "F3", "F4", "F5", "F6", "F7", "E2", "E3", "B11", "F9"),
+       sql="\nUNION ALL\n".join([GENERATION_SQL, _BERT_LONG, _CLS_LONG]))
 def f11_test_report(spark, sf):
     return test_report(spark, sf)
 
 
-@query("f12_scaled_report", ops=("F12", "C13"))
+def _scaled(keys, sql: str) -> str:
+    """ROUGE F-measures in per cent to 4 places, from the twin's means before they are rounded."""
+    values = {f"round(100 * {k}_fmeasure, 4)": k for k in keys}
+    return _long(sql.replace(", 6) AS rouge", ", 15) AS rouge"), values)
+
+
+_GEN_LEN_SQL = V.with_views(f"SELECT system, round(avg(len({text_plans._ws('generated_text')})), 4) AS gen_len "
+                            "FROM gen_eval GROUP BY system", "gen_eval")
+
+
+@query("f12_scaled_report", ops=("F12", "C13"), sql="\nUNION ALL\n".join(
+    [*[_scaled(keys, sql) for keys, sql in _ROUGE_SQL.items()], _long(_GEN_LEN_SQL, {"gen_len": "gen_len"})]))
 def f12_scaled_report(spark, sf):
     return T.scaled_report(V.gen_eval(spark, sf), by="system")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from glossa.functions.text import tokens
 from glossa.operators import batches as B
 from glossa.operators import textmetrics as T
-from glossa.plans import report_plans  # noqa: F401  (registration order)
+from glossa.plans import report_plans
 from glossa.plans.analysis_plans import SAMPLE_TEXTS, sample_rows
 from glossa.plans.registry import REGISTRY, query
 from glossa.session import shared_path
@@ -25,9 +25,14 @@ def _paths(spark, name):
     return base + "/in", base + "/out", base + "/ckpt"
 
 
-# No SQL twin: the report includes ROUGE-L / ROUGE-Lsum (see text_plans). The stream result is
-# checked equal to the batch report (tests/test_streaming_io.py, tests/test_bruteforce.py).
-@query("i1_stream_metrics", ops=("I1",))
+# the twin of the report with the epoch as part of the system
+_EPOCH_SQL = report_plans.GENERATION_SQL.replace(
+    V.SQL["gen_eval"], f"SELECT * REPLACE (system || '/' || (row_id % 2) AS system) FROM ({V.SQL['gen_eval']})")
+
+
+@query("i1_stream_metrics", ops=("I1",), sql=f"""
+SELECT split_part(system, '/', 1) AS system, CAST(split_part(system, '/', 2) AS INTEGER) AS epoch, metric, value
+FROM ({_EPOCH_SQL})""")
 def i1_stream_metrics(spark, sf):
     src, out, ck = _paths(spark, "metrics")
     # two epochs, odd and even chunks; each arrives, then its end marker, and the metrics start anew
