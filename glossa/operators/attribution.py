@@ -1,7 +1,8 @@
 """Attribution tables (J5–J9) in long form ``(seq_id, src_pos, tgt_pos, [hidden,] score)``.
 
-All are grouped aggregates or equi-joins on bounded keys; span mapping is a
-native expression over the literal span list, so no range join is needed.
+All are grouped aggregates or equi-joins on bounded keys. A literal span list is mapped by a native expression; a
+table of spans per sequence by an ordered sweep over the positions that occur (an as-of join), which never pairs
+cells with spans.
 """
 
 from __future__ import annotations
@@ -42,11 +43,48 @@ def _agg(how: str, c: Column) -> Column:
     raise ValueError(how)
 
 
-def span_aggregate(df: DataFrame, spans: Sequence[tuple[int, int]] = ((1, 3),), how: str = "absmax",
+def span_islands(spans: DataFrame) -> DataFrame:
+    """The spans of each sequence (SEQ, ``start``, ``end``, end-exclusive) without overlaps: spans that share a position
+    become one, spans that only touch stay two, and an empty, reversed or null one is none. ``before``: by how many
+    positions the earlier islands of the sequence shrink it."""
+    real = spans.filter("start < end").select(SEQ, "start", "end")
+    order = Window.partitionBy(SEQ).orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(reached.isNull() | (F.col("start") >= reached), 1).otherwise(0)
+    numbered = real.withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(
+        order.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = numbered.groupBy(SEQ, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    earlier = Window.partitionBy(SEQ).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    return islands.withColumn("before", F.coalesce(F.sum(F.col("end") - F.col("start") - 1).over(earlier), F.lit(0)))
+
+
+def span_positions(df: DataFrame, spans: DataFrame, axis: str = TGT) -> DataFrame:
+    """(SEQ, ``axis``, ``position``) of every position of ``axis`` that occurs in ``df``: its place after each span of
+    its sequence has become one token. One sweep per sequence over its positions and islands in order (both distinct,
+    so no more than the sequence is long) finds the last island that starts at or before each position."""
+    at = df.select(SEQ, F.col(axis).alias("_at")).distinct().select(
+        SEQ, "_at", F.lit(1).alias("_kind"), F.lit(None).cast("struct<start:bigint,end:bigint,before:bigint>").alias("_i"))
+    marks = span_islands(spans).select(SEQ, F.col("start").cast("long").alias("_at"), F.lit(0).alias("_kind"), F.struct(
+        F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"),
+        F.col("before").cast("long").alias("before")).alias("_i"))
+    sweep = Window.partitionBy(SEQ).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last("_i", ignorenulls=True).over(sweep)
+    found = at.withColumn("_at", F.col("_at").cast("long")).unionByName(marks).withColumn("_i", last).filter("_kind = 1")
+    inside = F.least(F.col("_at"), F.col("_i.end") - 1) - F.col("_i.start")
+    shift = F.when(F.col("_i").isNull(), 0).otherwise(F.col("_i.before") + inside)
+    return found.select(SEQ, F.col("_at").alias(axis), (F.col("_at") - shift).cast("bigint").alias("position"))
+
+
+def span_aggregate(df: DataFrame, spans: Sequence[tuple[int, int]] | DataFrame = ((1, 3),), how: str = "absmax",
                    axis: str = TGT) -> DataFrame:
-    """Tokens inside each span become one; others keep their value."""
+    """Tokens inside each span become one; others keep their value. ``spans`` is one list for all sequences or a
+    table (SEQ, start, end) with each sequence's own; a sequence without spans stays as it is."""
     other = [c for c in (SEQ, SRC, TGT) if c != axis]
-    mapped = df.withColumn(axis, span_position(F.col(axis), spans))
+    if isinstance(spans, DataFrame):
+        place = span_positions(df, spans, axis)
+        mapped = df.join(place, [SEQ, axis]).withColumn(axis, F.col("position")).drop("position")
+    else:
+        mapped = df.withColumn(axis, span_position(F.col(axis), spans))
     return mapped.groupBy(*other, axis).agg(_agg(how, F.col(SCORE)).alias(SCORE))
 
 

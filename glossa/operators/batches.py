@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions.text import MAX_SOURCE_LEN, MAX_TARGET_LEN
 from glossa.operators import prep, tokens as TK
-from glossa.operators.rowindex import dense_index
+from glossa.operators.rowindex import OrderedTable, dense_index
 
 
 def assign_batches(df: DataFrame, order: list, size: int, name: str = "batch_id",
@@ -28,6 +28,11 @@ def limit_batches(df: DataFrame, k: int | None, batch: str = "batch_id") -> Data
     return df if k is None else df.filter(F.col(batch) < k)
 
 
+def first_batches(table: OrderedTable, k: int, size: int, batch: str = "batch_id") -> DataFrame:
+    """C12 on a table stored in order: the first k batches of ``size`` rows, from the files that hold them."""
+    return table.between(0, k * size - 1).withColumn(batch, F.floor(F.col(table.name) / size).cast("bigint"))
+
+
 def collate(df: DataFrame, batch: str = "batch_id", ids: str = "input_ids", mask: str = "attention_mask",
             labels: str = "labels") -> DataFrame:
     """Pad ids/mask to the longest in the batch with 0, labels with -100.
@@ -56,28 +61,21 @@ def prepare(nli: DataFrame, vocab: DataFrame, style: str = "canonical", max_sour
     (train rows carry nulls there).
 
     The four texts of a row are encoded together: one lookup in the broadcast
-    vocabulary when its measured size fits (in-stage, no shuffle); else
-    explode → join on the token → ONE shuffle on a generated row number, with
-    the same rows as result (rows with equal ``row_id`` stay apart)."""
+    vocabulary when its measured size fits (in-stage, no shuffle); else a
+    dictionary per chunk of rows, with the same rows as result (rows with equal
+    ``row_id`` stay apart)."""
     texts = [prep.input_text(style=style), F.col("explanation_1"), F.col("explanation_2"), F.col("explanation_3")]
     table = TK.vocab_table(vocab)
     if table is not None:
         per_row = nli.select("row_id", "split", "label", TK.token_ids(nli.sparkSession, table, texts).alias("_f"))
-
-        def own(i: int):
-            return F.col("_f")[i]
     else:
         rows = TK.numbered(nli, "row_id", "split", "label", F.array(*texts).alias("_texts"))
-        long = rows.select("_rid", "row_id", "split", "label", F.posexplode("_texts").alias("_field", "_text"))
-        toks = long.select("_rid", "row_id", "split", "label", "_field",
-                           F.posexplode_outer(TK.tokens("_text")).alias("_pos", "token"))
-        joined = toks.join(vocab, "token", "left")
-        item = F.when(F.col("_pos").isNotNull(),
-                      F.struct("_field", "_pos", F.coalesce("id", F.lit(TK.UNK)).alias("id")))
-        per_row = joined.groupBy("_rid", "row_id", "split", "label").agg(F.sort_array(F.collect_list(item)).alias("_all"))
-
-        def own(i: int):
-            return F.transform(F.filter("_all", lambda s: s["_field"] == i), lambda s: s["id"])
+        lists = F.transform("_texts", lambda t: F.coalesce(TK.tokens(t), F.array().cast("array<string>")))
+        per_row = TK.by_dictionary(rows, lists, vocab, "token", ["row_id", "split", "label"], TK.UNK, "int") \
+            .withColumnRenamed("_lists", "_f")
+
+    def own(i: int):
+        return F.col("_f")[i]
 
     def ids(i: int, n: int):
         return TK.truncate(F.concat(own(i), F.array(F.lit(TK.EOS))), n)

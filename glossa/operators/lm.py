@@ -2,9 +2,10 @@
 
 F10 stands in for model log-probabilities: a count-based bigram LM with
 add-one smoothing, fitted on the train split and scored on test. Counting is
-two hash aggregates; scoring is two equi-joins on (prev, cur) and prev, which
-AQE may turn into broadcast joins when the count tables turn out small and
-splits when a frequent bigram skews a partition.
+two hash aggregates. Scoring looks counts up in two tiers: the commonest bigrams
+and contexts (``HOT`` of each, of bounded length, so a bounded broadcast) meet the
+rows where they lie, and only rows of rarer ones are shuffled, by (prev, cur) and
+by prev. So neither ``<s>`` nor a frequent word is ever a shuffle key.
 """
 
 from __future__ import annotations
@@ -31,27 +32,52 @@ def bigram_rows(df: DataFrame, text: str, keys=("row_id",)) -> DataFrame:
                     F.col("_z.cur").alias("cur"))
 
 
+HOT, HOT_BYTES = 50_000, 128  # entries of a broadcast tier, and their longest text: at most about 10 MB
+
+
 @dataclass
 class BigramLM:
-    bigrams: DataFrame   # prev, cur, c
+    bigrams: DataFrame   # prev, cur, c, c_prev
     contexts: DataFrame  # prev, c_prev
+    hot_bigrams: DataFrame
+    hot_contexts: DataFrame
     vocab_size: int      # distinct observed tokens + 1 (unseen)
 
 
-def fit_bigram(df: DataFrame, text: str) -> BigramLM:
-    """Counted once: the bigram table is written to the shared folder, and contexts, vocabulary size and
-    every scoring pass read it from there."""
+def _hottest(counts: DataFrame, count: str, *texts: str, n: int) -> DataFrame:
+    """The ``n`` rows of the highest ``count`` among those of bounded length."""
+    size = sum((F.octet_length(t) for t in texts), F.lit(0))
+    return counts.filter(size <= HOT_BYTES).orderBy(F.desc(count), *texts).limit(n)
+
+
+def fit_bigram(df: DataFrame, text: str, hot: int = HOT) -> BigramLM:
+    """Counted once: bigrams (each with its context's count) and contexts are written to the shared folder, and the
+    vocabulary size, the hot tiers and every scoring pass read them from there."""
     rows = bigram_rows(df, text, keys=())
     big = stored(rows.groupBy("prev", "cur").agg(F.count(F.lit(1)).alias("c")), "bigrams")
-    ctx = big.groupBy("prev").agg(F.sum("c").alias("c_prev"))
+    ctx = stored(big.groupBy("prev").agg(F.sum("c").alias("c_prev")), "contexts")
+    top = stored(_hottest(ctx, "c_prev", "prev", n=hot), "hot-contexts")
+    # a context's bigrams are distinct words, so joining by context is no more skewed than the vocabulary is long
+    whole = stored(_with_contexts(big, ctx, top), "bigrams-in-context")
     v = big.agg(F.countDistinct("cur").alias("v")).first()["v"] + 1  # one scalar, not rows
-    return BigramLM(big, ctx, int(v))
+    return BigramLM(whole, ctx, stored(_hottest(whole, "c", "prev", "cur", n=hot), "hot-bigrams"), top, int(v))
+
+
+def _with_contexts(rows: DataFrame, contexts: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` with the count of their context ``prev`` (null: unseen): hot contexts by broadcast, others by a join."""
+    near = rows.join(F.broadcast(hot), "prev", "left")
+    known = near.filter(F.col("c_prev").isNotNull())
+    return known.unionByName(near.filter(F.col("c_prev").isNull()).drop("c_prev").join(contexts, "prev", "left"))
 
 
 def score_bigram(df: DataFrame, text: str, lm: BigramLM, keys=("row_id",)) -> DataFrame:
     """``(keys…, step, token, logprob)`` with ln((c(prev,cur)+1) / (c(prev)+V))."""
-    rows = bigram_rows(df, text, keys)
-    j = rows.join(lm.bigrams, ["prev", "cur"], "left").join(lm.contexts, "prev", "left")
+    near = bigram_rows(df, text, keys).join(F.broadcast(lm.hot_bigrams), ["prev", "cur"], "left")
+    known = near.filter(F.col("c").isNotNull())
+    rest = near.filter(F.col("c").isNull()).drop("c", "c_prev").join(lm.bigrams, ["prev", "cur"], "left")
+    seen = rest.filter(F.col("c").isNotNull())
+    unseen = _with_contexts(rest.filter(F.col("c").isNull()).drop("c_prev"), lm.contexts, lm.hot_contexts)
+    j = known.unionByName(seen).unionByName(unseen.select(*known.columns))
     lp = F.log((F.coalesce(F.col("c"), F.lit(0)) + 1) / (F.coalesce(F.col("c_prev"), F.lit(0)) + lm.vocab_size))
     return j.select(*keys, "step", F.col("cur").alias("token"), lp.alias("logprob"))
 

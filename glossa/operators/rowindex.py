@@ -14,9 +14,11 @@ Instead (SURVEY §4.3):
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glossa.session import cut_lineage
 
@@ -43,3 +45,39 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], name: str = "row_i
     out = tagged.join(F.broadcast(offsets), "_pid")
     return out.withColumn(name, (F.col("_off") + F.col("_local")).cast("bigint")) \
         .drop("_mid", "_pid", "_local", "_off")
+
+
+@dataclass(frozen=True)
+class OrderedTable:
+    """A table stored in an order, in files that each hold one range of positions, and the index of those ranges: one
+    row (file, first, last) a file. A position or a range of positions reads only the files it lies in."""
+
+    path: str
+    schema: T.StructType
+    index: DataFrame
+    name: str = "row_idx"
+
+    def between(self, first: int, last: int) -> DataFrame:
+        """The rows at positions ``first`` to ``last`` (inclusive)."""
+        spark = self.index.sparkSession
+        files = [r["file"] for r in self.index.filter((F.col("first") <= last) & (F.col("last") >= first)).collect()]
+        if not files:
+            return spark.createDataFrame([], self.schema)
+        return spark.read.schema(self.schema).parquet(*files).filter(F.col(self.name).between(first, last))
+
+    def at(self, i: int) -> DataFrame:
+        return self.between(i, i)
+
+
+def store_ordered(df: DataFrame, order: Sequence[str | Column], path: str, name: str = "row_idx") -> OrderedTable:
+    """Sort once (as ``dense_index``), write the rows with their positions, and index the files by position."""
+    spark = df.sparkSession
+    dense_index(df, order, name).write.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.min(name).alias("first"), F.max(name).alias("last")).write.parquet(f"{path}/index")
+    return open_ordered(spark, path, name)
+
+
+def open_ordered(spark: SparkSession, path: str, name: str = "row_idx") -> OrderedTable:
+    return OrderedTable(path, spark.read.parquet(f"{path}/rows").schema, spark.read.parquet(f"{path}/index"), name)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.operators.rowindex import dense_index
+from glossa.operators.rowindex import OrderedTable
 
 
 def _seeded_hash(key: str, seed: int) -> Column:
@@ -33,11 +33,9 @@ def head(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def row_at(df: DataFrame, i: int, order: Sequence[str], index: str = "row_idx") -> DataFrame:
-    """H3: the row at 0-based position i in ``order``, which must be unique: only the order's columns are
-    indexed, and the one found is joined back to its row."""
-    found = dense_index(df.select(*order), list(order), index).filter(F.col(index) == i)
-    return df.join(F.broadcast(found), list(order)).select(*df.columns, index)
+def row_at(table: OrderedTable, i: int) -> DataFrame:
+    """H3: the row at 0-based position i of a table stored in order: one file is read, nothing is sorted."""
+    return table.at(i)
 
 
 def sample_batches(df: DataFrame, every: int, n: int, batch: str = "batch_id", pos: str = "row_idx") -> DataFrame:

@@ -4,13 +4,11 @@ tokenizer to a corpus vocabulary DataFrame.
 Special ids (fixed values): pad 0, eos 1, unk 2; ordinary ids start at 3.
 Label ignore index -100.
 
-The vocabulary has at most ``max_size`` rows by construction (a top-k), but a
-token's length is unbounded, so its byte size is *measured* (in the same job
-that gathers it) and it is broadcast only when that fits the budget. Then
-encoding and decoding are per-row lookups in the broadcast table (one Arrow
-UDF call per batch: no explode, no shuffle of the tokens). Beyond the budget,
-tokens are exploded and joined with the vocabulary, which shuffles on the
-token, and regrouped by row.
+The vocabulary has at most ``max_size`` rows by construction (a top-k); it is counted once and stored. A token's
+length is unbounded, so the vocabulary's byte size is measured, and it is broadcast only when that fits the
+budget. Then encoding and decoding are per-row lookups in the broadcast table (one Arrow UDF call per batch: no
+explode, no shuffle of the tokens). Beyond the budget each chunk of ``CHUNK_ROWS`` rows gets a dictionary of its
+own: only its distinct tokens are shuffled to the vocabulary, and their ids meet the chunk's rows again.
 """
 
 from __future__ import annotations
@@ -18,13 +16,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossa.functions import seqstats
 from glossa.functions.text import tokens  # noqa: F401  (re-exported)
-from glossa.session import cut_lineage
+from glossa.session import cut_lineage, stored
 
 PAD, EOS, UNK, FIRST_ID, IGNORE = 0, 1, 2, 3, -100
 SPECIAL_IDS = (PAD, EOS, UNK)
@@ -32,16 +31,18 @@ SPECIAL_IDS = (PAD, EOS, UNK)
 # Python worker holds its own dict copy (~3-4x the bytes), one worker per core: 16 MB keeps that
 # under about 0.5 GB per 8-core executor; a 32k-entry vocabulary is about 1 MB.
 BROADCAST_BUDGET = 16 << 20
+CHUNK_ROWS = 1024  # rows that share a dictionary beyond the budget
 
 
 def build_vocab(df: DataFrame, cols: Sequence[str], max_size: int = 32000) -> DataFrame:
-    """``(token, id)`` ranked by (count desc, token asc), ids from 3."""
+    """``(token, id)`` ranked by (count desc, token asc), ids from 3. Counted here, once, and stored: whatever
+    measures, gathers or joins the vocabulary reads its few rows."""
     toks = df.select(F.explode(F.flatten(F.array(*[tokens(c) for c in cols]))).alias("token"))
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     top = counts.orderBy(F.desc("n"), F.asc("token")).limit(max_size)  # TakeOrdered: k rows
     # ranking over at most max_size rows (the limit's single output partition)
     w = Window.orderBy(F.desc("n"), F.asc("token"))
-    return top.select("token", (F.row_number().over(w) + (FIRST_ID - 1)).cast("int").alias("id"))
+    return stored(top.select("token", (F.row_number().over(w) + (FIRST_ID - 1)).cast("int").alias("id")), "vocabulary")
 
 
 def vocab_table(vocab: DataFrame, budget: int | None = None) -> dict | None:
@@ -58,6 +59,40 @@ def numbered(df: DataFrame, *cols) -> DataFrame:
     return cut_lineage(df.select(*cols, F.monotonically_increasing_id().alias("_rid")))
 
 
+def chunk_entries(rows: DataFrame, lists: Column, vocab: DataFrame, key: str) -> DataFrame:
+    """``(_chunk, key, value)``: the vocabulary entries that a chunk of ``rows`` (numbered) needs, each once. Repeats
+    within a task go before the shuffle, so a token costs one row a chunk at most, however often it occurs."""
+    value = next(c for c in ("id", "token") if c != key)
+    needed = rows.select(_chunk().alias("_chunk"), F.explode(F.array_distinct(F.flatten(lists))).alias(key)).distinct()
+    return needed.join(vocab.select(key, value), key).select("_chunk", F.col(key).alias("key"), F.col(value).alias("value"))
+
+
+def _chunk() -> Column:
+    return F.expr(f"_rid div {CHUNK_ROWS}")  # rows of one task only: a task's numbers start at a multiple of 2^33
+
+
+def by_dictionary(rows: DataFrame, lists: Column, vocab: DataFrame, key: str, kept: Sequence[str], default,
+                  out_type: str) -> DataFrame:
+    """``kept`` columns of ``rows`` (numbered) and ``_lists``: the arrays of keys of ``lists`` (an array of arrays) with
+    each key replaced by its vocabulary value, or ``default``; without a default unknown keys are left out."""
+    entries = chunk_entries(rows, lists, vocab, key)
+    whole = rows.select(*kept, lists.alias("_lists"), _chunk().alias("_chunk"))
+    fields = ", ".join(f"`{c}` {dict(whole.dtypes)[c]}" for c in kept)
+    names = [*kept, "_lists"]
+
+    def replace(left: pa.Table, right: pa.Table) -> pa.Table:
+        table = dict(zip(right["key"].to_pylist(), right["value"].to_pylist()))
+        if default is None:
+            new = [[[table[k] for k in ks if k in table] for ks in row] for row in left["_lists"].to_pylist()]
+        else:
+            new = [[[table.get(k, default) for k in ks] for ks in row] for row in left["_lists"].to_pylist()]
+        kind = pa.string() if out_type == "string" else pa.int32()
+        return pa.table([*[left[c] for c in kept], pa.array(new, pa.list_(pa.list_(kind)))], names=names)
+
+    return whole.groupBy("_chunk").cogroup(entries.groupBy("_chunk")).applyInArrow(
+        replace, f"{fields}, _lists array<array<{out_type}>>")
+
+
 def token_ids(spark, table: dict, texts: Sequence[Column]) -> Column:
     """``array<array<int>>``: the ids of the whitespace tokens of each text (OOV → unk), no eos.
     The texts cross Arrow as strings and are tokenised in Python exactly as ``tokens`` does."""
@@ -113,9 +148,8 @@ def encode(df: DataFrame, col: str, vocab: DataFrame, max_len: int, key: str = "
     one row per input row (rows with equal keys stay apart).
 
     Plan: lookup in the broadcast vocabulary, in-stage (no shuffle), when its
-    measured size fits (``table``: one measured before); else explode → join on
-    the token → one shuffle on a generated row number to regroup a row's ids.
-    Both plans return the same rows.
+    measured size fits (``table``: one measured before); else a dictionary per
+    chunk of rows. Both plans return the same rows.
     """
     out = out or f"{col}_ids"
     table = vocab_table(vocab) if table is None else table
@@ -123,12 +157,10 @@ def encode(df: DataFrame, col: str, vocab: DataFrame, max_len: int, key: str = "
         ids = F.concat(token_ids(df.sparkSession, table, [F.col(col)])[0], F.array(F.lit(EOS)))
         return df.select(key, truncate(ids, max_len).alias(out))
     rows = numbered(df, F.col(key).alias("_key"), F.col(col).alias("_text"))
-    exploded = rows.select("_rid", "_key", F.posexplode_outer(tokens("_text")).alias("_pos", "token"))
-    joined = exploded.join(vocab, "token", "left")
-    item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("id", F.lit(UNK)).alias("id")))
-    per_row = joined.groupBy("_rid", "_key").agg(F.sort_array(F.collect_list(item)).alias("_ids"))
-    ids = F.concat(F.transform("_ids", lambda s: s["id"]), F.array(F.lit(EOS)))
-    return per_row.select(F.col("_key").alias(key), truncate(ids, max_len).alias(out))
+    found = by_dictionary(rows, F.array(F.coalesce(tokens("_text"), F.array().cast("array<string>"))), vocab, "token",
+                          ["_key"], UNK, "int")
+    ids = F.concat(F.col("_lists")[0], F.array(F.lit(EOS)))
+    return found.select(F.col("_key").alias(key), truncate(ids, max_len).alias(out))
 
 
 def decode(df: DataFrame, col: str, vocab: DataFrame, key: str = "row_id", out: str | None = None,
@@ -147,13 +179,10 @@ def decode(df: DataFrame, col: str, vocab: DataFrame, key: str = "row_id", out:
                               for ids in rows], dtype=object)
         kept = F.filter(unmask_labels(col), lambda x: ~x.isin(*SPECIAL_IDS))
         return df.select(key, text_of(kept).alias(out))
-    rows = numbered(df, F.col(key).alias("_key"), unmask_labels(col).alias("_ids"))
-    exploded = rows.select("_rid", "_key", F.posexplode_outer("_ids").alias("_pos", "id"))
-    joined = exploded.join(vocab, "id", "left")
-    keep = F.col("_pos").isNotNull() & ~F.col("id").isin(*SPECIAL_IDS) & F.col("token").isNotNull()
-    per_row = joined.groupBy("_rid", "_key").agg(
-        F.sort_array(F.collect_list(F.when(keep, F.struct("_pos", "token")))).alias("_t"))
-    return per_row.select(F.col("_key").alias(key), F.array_join(F.transform("_t", lambda s: s["token"]), " ").alias(out))
+    kept = F.filter(unmask_labels(col), lambda x: ~x.isin(*SPECIAL_IDS))
+    rows = numbered(df, F.col(key).alias("_key"), F.coalesce(kept, F.array().cast("array<int>")).alias("_ids"))
+    found = by_dictionary(rows, F.array("_ids"), vocab, "id", ["_key"], None, "string")
+    return found.select(F.col("_key").alias(key), F.array_join(F.col("_lists")[0], " ").alias(out))
 
 
 def gen_len(df: DataFrame, col: str, by=()) -> DataFrame:

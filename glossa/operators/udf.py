@@ -8,14 +8,20 @@
 * K2 ``register_metric``: a named step metric = a SQL expression over columns
   plus a per-span aggregate. It is registered as a Spark SQL function
   (``CREATE TEMPORARY FUNCTION … RETURN expr``), which Catalyst inlines, so it
-  stays native in both the DataFrame API and SQL.
+  stays native in both the DataFrame API and SQL. The aggregate is one of the
+  built-in names, a function of a span's values (a grouped-aggregate pandas UDF:
+  for spans of bounded size), or a ``UserAggregate``, which is computed in
+  parts: each Arrow batch reduces its values to one state a span, and only
+  states are shuffled and merged, so a span may hold any share of the rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,19 +79,67 @@ def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schem
     return df.mapInPandas(run, schema)
 
 
+@dataclass(frozen=True)
+class UserAggregate:
+    """An aggregate in parts. A state is a list of doubles: ``zero()`` is that of no values, ``update(state, values)``
+    takes an array of values in, ``merge(a, b)`` joins two states (in any order), and ``finish(state)`` is the result,
+    a number or None."""
+
+    zero: Callable[[], list[float]]
+    update: Callable[[list[float], np.ndarray], list[float]]
+    merge: Callable[[list[float], list[float]], list[float]]
+    finish: Callable[[list[float]], float | None]
+
+
+_MERGE_GROUPS = 32  # states of one span are merged in so many groups first, then the groups
+
+
+def user_aggregate(df: DataFrame, agg: UserAggregate, value: str, keys: Sequence[str], out: str) -> DataFrame:
+    """``(keys…, out)``: ``agg`` over the non-null values of each key (nulls count as keys of their own; a key whose
+    values are all null has the result of ``zero``)."""
+    keys = list(keys)
+    fields = {f.name: f for f in df.schema.fields}
+    state = T.ArrayType(T.DoubleType())
+    parts = T.StructType([*[T.StructField(k, fields[k].dataType) for k in keys], T.StructField("_state", state),
+                          T.StructField("_group", T.IntegerType())])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for n, pdf in enumerate(batches):
+            rows = pdf.groupby(keys, dropna=False, sort=False)[value] if keys else [((), pdf[value])]
+            found = [(key, agg.update(agg.zero(), values.dropna().to_numpy(dtype=float))) for key, values in rows if len(values)]
+            yield pd.DataFrame({**{k: pd.Series([key[i] for key, _ in found], dtype=pdf[k].dtype) for i, k in enumerate(keys)},
+                                "_state": [list(map(float, s)) for _, s in found],
+                                "_group": pd.Series([n % _MERGE_GROUPS] * len(found), dtype="int32")})
+
+    @F.pandas_udf(state)
+    def merged(states: pd.Series) -> list[float]:
+        return list(map(float, reduce(agg.merge, [list(s) for s in states], agg.zero())))
+
+    @F.pandas_udf("double")
+    def finished(states: pd.Series) -> pd.Series:
+        return pd.Series([agg.finish(list(s)) for s in states], dtype="float64").astype(object).where(lambda x: x.notna(), None)
+
+    once = df.select(*keys, F.col(value).cast("double").alias(value)).mapInPandas(partial, parts)
+    # map tasks begin their batches at 0: the task's number tells theirs apart
+    group = F.pmod(F.col("_group") + F.spark_partition_id(), F.lit(_MERGE_GROUPS))
+    states = once.groupBy(*keys, group.alias("_group")).agg(merged("_state").alias("_state")) \
+        .groupBy(*keys).agg(merged("_state").alias("_state"))
+    return states.select(*keys, finished("_state").alias(out))
+
+
 @dataclass(frozen=True)
 class Metric:
     name: str
     params: tuple[tuple[str, str], ...]   # (argument, SQL type)
     body: str                             # SQL expression over the arguments
-    aggregate: str                        # span aggregate: sum | mean | prod | absmax
+    aggregate: str | UserAggregate | Callable[[pd.Series], float]  # sum | mean | prod | absmax, or the user's own
 
 
 METRICS: dict[str, Metric] = {}
 
 
 def register_metric(spark: SparkSession, name: str, params: Sequence[tuple[str, str]], body: str,
-                    aggregate: str = "sum") -> Metric:
+                    aggregate: str | UserAggregate | Callable[[pd.Series], float] = "sum") -> Metric:
     """K2: register ``name(args) = body`` as a temporary SQL function and remember
     its span aggregate."""
     sig = ", ".join(f"{a} {t}" for a, t in params)
@@ -102,4 +156,13 @@ def apply_metric(df: DataFrame, name: str, args: Sequence[str], keys: Sequence[s
     m = METRICS[name]
     scored = df.select(*keys, step, F.expr(f"{name}({', '.join(args)})").alias(name))
     mapped = scored.withColumn(step, span_position(F.col(step), spans)) if spans else scored
+    if isinstance(m.aggregate, UserAggregate):
+        return user_aggregate(mapped, m.aggregate, name, [*keys, step], name)
+    if callable(m.aggregate):
+        fn = m.aggregate
+
+        @F.pandas_udf("double")
+        def whole(values: pd.Series) -> float:
+            return fn(values)
+        return mapped.groupBy(*keys, step).agg(whole(name).alias(name))
     return mapped.groupBy(*keys, step).agg(_agg(m.aggregate, F.col(name)).alias(name))

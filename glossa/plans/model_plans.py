@@ -108,6 +108,30 @@ def j6_span_prod(spark, sf):
     return round_doubles(A.span_aggregate(A.squeeze(V.attributions(spark, sf)), [(1, 3)], "prod"))
 
 
+def _span_table_sql(agg: str) -> str:
+    """Twin of the span table: a position goes on from the one before it if a span holds both, and moves down by the
+    number of such positions up to it."""
+    return _with(_SQZ + f"""
+, on_from AS (SELECT DISTINCT seq_id, unnest(range(start + 1, "end")) AS q FROM spans WHERE "end" > start),
+place AS (SELECT p.seq_id, p.tgt_pos, p.tgt_pos - count(q) AS position
+          FROM (SELECT DISTINCT seq_id, tgt_pos FROM sq) p LEFT JOIN on_from o ON o.seq_id = p.seq_id AND o.q <= p.tgt_pos
+          GROUP BY p.seq_id, p.tgt_pos)
+SELECT sq.seq_id, src_pos, position AS tgt_pos, round({agg}, 6) AS score
+FROM sq JOIN place USING (seq_id, tgt_pos) GROUP BY ALL""", "attributions", "spans")
+
+
+@query("j6_span_table_absmax", ops=("J6",),
+       sql=_span_table_sql("CASE WHEN max(score) >= -min(score) THEN max(score) ELSE min(score) END"))
+def j6_span_table_absmax(spark, sf):
+    """Each sequence has its own spans."""
+    return round_doubles(A.span_aggregate(A.squeeze(V.attributions(spark, sf)), V.spans(spark, sf), "absmax"))
+
+
+@query("j6_span_table_sum", ops=("J6",), sql=_span_table_sql("sum(score)"))
+def j6_span_table_sum(spark, sf):
+    return round_doubles(A.span_aggregate(A.squeeze(V.attributions(spark, sf)), V.spans(spark, sf), "sum"))
+
+
 @query("j7_pair_diff", ops=("J7",), sql=_with(_SQZ + """
 , full_seq AS (SELECT seq_id FROM sq GROUP BY seq_id HAVING count(DISTINCT tgt_pos) = 8),
 pairs AS (SELECT a.seq_id FROM full_seq a JOIN full_seq b ON b.seq_id = a.seq_id + 1)
@@ -222,3 +246,51 @@ def j4_score_probe_logreg(spark, sf):
     model = probe.fit_probe(train, label="label", kind="logreg", max_iter=50)
     return probe.score_probe(model, test)
 
+
+# The twin solves the normal equations by Gauss-Jordan elimination, row by row, on lists (the ridge makes them definite).
+_PROBE_SQL = """
+WITH x AS (SELECT vec_id, label, list_append(list_transform(embedding, lambda c: CAST(c AS DOUBLE)), 1.0) AS x FROM embeddings),
+tr AS (SELECT * FROM x WHERE vec_id % 5 <> 0),
+cell AS (SELECT label, i, x[i] AS a, x FROM (SELECT label, x, unnest(range(1, len(x) + 1)) AS i FROM tr)),
+gram AS (SELECT i, j, sum(a * x[j]) AS v FROM (SELECT i, a, x, unnest(range(1, len(x) + 1)) AS j FROM cell) GROUP BY i, j),
+dim AS (SELECT max(i) AS d FROM gram),
+classes AS (SELECT list(DISTINCT label ORDER BY label) AS cs FROM tr),
+moment AS (SELECT i, label, sum(a) AS v FROM cell GROUP BY ALL),
+lhs AS (SELECT i, list(v + CASE WHEN i = j AND i < d THEN 1.0 ELSE 0.0 END ORDER BY j) AS r FROM gram, dim GROUP BY i),
+rhs AS (SELECT i, list(coalesce(v, 0.0) ORDER BY label) AS r
+        FROM (SELECT i, unnest(cs) AS label FROM lhs, classes) LEFT JOIN moment USING (i, label) GROUP BY i),
+m AS (SELECT list(list_concat(l.r, r.r) ORDER BY i) AS m FROM lhs l JOIN rhs r USING (i)),
+done AS (SELECT list_reduce(range(1, len(m) + 1), lambda a, k: list_transform(a, lambda r, i:
+           CASE WHEN i = k THEN list_transform(r, lambda c: c / a[k][k])
+                ELSE list_transform(r, lambda c, j: c - r[k] * a[k][j] / a[k][k]) END), m) AS w FROM m),
+te AS (SELECT vec_id, label, x, list_transform(range(1, len(cs) + 1), lambda c:
+         list_sum(list_transform(x, lambda v, i: v * w[i][len(x) + c]))) AS s, cs
+       FROM x, done, classes WHERE vec_id % 5 = 0),
+scored AS (SELECT vec_id, CAST(label AS INTEGER) AS reference_label,
+                  CAST(cs[list_position(s, list_max(s))] AS INTEGER) AS predicted_label FROM te)"""
+
+
+def _linear_probe(spark, sf):
+    """Fitted on vec_id % 5 <> 0, scored on the held-out fifth."""
+    emb = load(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    return probe.score_linear_probe(probe.fit_linear_probe(emb.filter(F.col("vec_id") % 5 != 0)),
+                                    emb.filter(F.col("vec_id") % 5 == 0))
+
+
+@query("j4_score_linear_probe", ops=("J3", "J4"), sql=_PROBE_SQL + """
+SELECT vec_id, reference_label, predicted_label FROM scored""")
+def j4_score_linear_probe(spark, sf):
+    return _linear_probe(spark, sf)
+
+
+@query("j3_linear_probe_report", ops=("J3", "E2"), sql=_PROBE_SQL + """,
+n AS (SELECT reference_label, count(*) AS n FROM scored GROUP BY ALL)
+SELECT round(avg(CAST(reference_label = predicted_label AS INTEGER)), 6) AS accuracy,
+       round((SELECT max(n) FROM n) / count(*), 6) AS majority_accuracy FROM scored""")
+def j3_linear_probe_report(spark, sf):
+    """Held-out accuracy beside that of always naming the commonest class."""
+    scored = _linear_probe(spark, sf)
+    cells = scored.groupBy("reference_label").agg(
+        F.count("*").alias("n"), F.sum((F.col("reference_label") == F.col("predicted_label")).cast("long")).alias("hits"))
+    return round_doubles(cells.agg((F.sum("hits") / F.sum("n")).alias("accuracy"),
+                                   (F.max("n") / F.sum("n")).alias("majority_accuracy")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,8 @@ from glossa.operators import batches as B
 from glossa.operators import labels as L
 from glossa.operators import prep as P
 from glossa.operators import tokens as TK
-from glossa.plans.registry import query
+from glossa.operators.rowindex import store_ordered
+from glossa.plans.registry import REGISTRY, query
 from glossa.session import shared_path
 from glossa.sources import fixtures as V
 from glossa.sources import io
@@ -273,6 +275,14 @@ def c12_limit_batches(spark, sf):
     return B.limit_batches(B.assign_batches(g, ["row_id", "system"], 32), 3)
 
 
+@query("c12_first_batches_stored", ops=("C12",), sql=REGISTRY["c12_limit_batches"].sql)
+def c12_first_batches_stored(spark, sf):
+    """The same batches from a table stored in order: only the files of those positions are read."""
+    g = V.gen_eval(spark, sf).select("row_id", "system")
+    table = store_ordered(g, ["row_id", "system"], shared_path(spark, f"ordered-{uuid.uuid4().hex}"))
+    return B.first_batches(table, 3, 32)
+
+
 @query("c13_gen_len", ops=("C13",), sql=_with(_BATCHED_CTE + """
 SELECT round(avg(len(list_filter(list_transform(labels, lambda x: CASE WHEN x = -100 THEN 0 ELSE x END),
                                  lambda x: x <> 0))), 4) AS gen_len FROM col""", "nli"))
@@ -310,7 +320,7 @@ def a2_cached_nli(spark, sf):
 def a1_read_splits(spark, sf):
     path = shared_path(spark, f"nli-{_tag(sf)}")
     io.cached(spark, path, lambda: _nli_for_io(spark, sf), schema=io.NLI_SCHEMA)
-    return io.read_splits(spark, path, ["validation", "test"])
+    return io.read_splits(spark, io.current(spark, path), ["validation", "test"])
 
 
 @query("a3_a4_predictions_csv", ops=("A3", "A4", "B9"), sql=V.with_views(

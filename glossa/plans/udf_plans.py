@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,17 +51,40 @@ def k1_map_batches(spark, sf):
                          drop=["premise", "hypothesis", "label", "explanation_1"])
 
 
-@query("k2_register_metric", ops=("K2", "J6", "J8"), sql=model_plans._with(
-    model_plans._lm_sql(a="explanation_1", b="explanation_2") + """
-, d AS (SELECT row_id, CASE WHEN step >= 3 THEN step - 1 WHEN step > 1 THEN 1 ELSE step END AS step,
-               exp(a.logprob) - exp(b.logprob) AS v
+def _k2_sql(step: str) -> str:
+    return model_plans._with(model_plans._lm_sql(a="explanation_1", b="explanation_2") + f"""
+, d AS (SELECT row_id, {step} AS step, exp(a.logprob) - exp(b.logprob) AS v
         FROM lp_a a JOIN lp_b b USING (row_id, step))
-SELECT row_id, step, round(product(v), 6) AS prob_diff FROM d GROUP BY ALL""", "nli"))
-def k2_register_metric(spark, sf):
+SELECT row_id, step, round(product(v), 6) AS prob_diff FROM d GROUP BY ALL""", "nli")
+
+
+def _prob_diff(spark, sf, aggregate, spans):
     U.register_metric(spark, "prob_diff", [("lp_a", "DOUBLE"), ("lp_b", "DOUBLE")], "exp(lp_a) - exp(lp_b)",
-                      aggregate="prod")
+                      aggregate=aggregate)
     nli = V.nli(spark, sf)
     model = lm.fit_bigram(nli.filter(F.col("split") == "train"), "explanation_1")
     test = nli.filter(F.col("split") == "test")
     steps = lm.score_bigram_pair(test, "explanation_1", "explanation_2", model)
-    return round_doubles(U.apply_metric(steps, "prob_diff", ["lp_a", "lp_b"], ["row_id"], "step", [(1, 3)]))
+    return round_doubles(U.apply_metric(steps, "prob_diff", ["lp_a", "lp_b"], ["row_id"], "step", spans))
+
+
+@query("k2_register_metric", ops=("K2", "J6", "J8"),
+       sql=_k2_sql("CASE WHEN step >= 3 THEN step - 1 WHEN step > 1 THEN 1 ELSE step END"))
+def k2_register_metric(spark, sf):
+    return _prob_diff(spark, sf, "prod", [(1, 3)])
+
+
+PRODUCT = U.UserAggregate(zero=lambda: [1.0], update=lambda s, v: [s[0] * float(np.prod(v))],
+                          merge=lambda a, b: [a[0] * b[0]], finish=lambda s: s[0])
+
+
+@query("k2_user_aggregate", ops=("K2",), sql=_k2_sql("CASE WHEN step >= 9 THEN step - 7 WHEN step > 1 THEN 1 ELSE step END"))
+def k2_user_aggregate(spark, sf):
+    """The user's own product, given as zero, update, merge and finish, over a span of eight steps."""
+    return _prob_diff(spark, sf, PRODUCT, [(1, 9)])
+
+
+@query("k2_user_function", ops=("K2",), sql=_k2_sql("CASE WHEN step >= 3 THEN step - 1 WHEN step > 1 THEN 1 ELSE step END"))
+def k2_user_function(spark, sf):
+    """The user's own function of a span's values."""
+    return _prob_diff(spark, sf, lambda values: float(np.prod(values)), [(1, 3)])

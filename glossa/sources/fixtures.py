@@ -162,6 +162,17 @@ def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two spans of target positions for each V5 sequence: some overlap, some only touch, some are empty or reversed,
+    some reach past the end; every eleventh sequence has none."""
+    seq = load(spark, sf_dir, "embeddings").select(F.expr("vec_id div 8").alias("seq_id")).distinct() \
+        .filter(F.col("seq_id") % 11 != 10)
+    s = F.col("seq_id")
+    both = F.array(F.struct((s % 5).alias("start"), (s % 5 + s % 4).alias("end")),
+                   F.struct((s % 7).alias("start"), (s % 7 + s % 3 * 2 - s % 2).alias("end")))
+    return seq.select("seq_id", F.inline(both))
+
+
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V6: 3-class logits, class label and token label (-100 = ignored)."""
     emb = load(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
@@ -191,6 +202,7 @@ BUILDERS = {
     "step_log": step_log,
     "tokvec": tokvec,
     "attributions": attributions,
+    "spans": spans,
     "logits": logits,
     "conv_pairs": conv_pairs,
 }
@@ -248,6 +260,10 @@ FROM embeddings""",
 SELECT vec_id // 8 AS seq_id, (i - 1) // 16 AS src_pos, vec_id % 8 AS tgt_pos, (i - 1) % 16 AS hidden,
        CAST(embedding[i] AS DOUBLE) AS score
 FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""",
+    "spans": """
+SELECT seq_id, unnest([seq_id % 5, seq_id % 7]) AS start,
+       unnest([seq_id % 5 + seq_id % 4, seq_id % 7 + seq_id % 3 * 2 - seq_id % 2]) AS "end"
+FROM (SELECT DISTINCT vec_id // 8 AS seq_id FROM embeddings) WHERE seq_id % 11 <> 10""",
     "logits": """
 SELECT vec_id, list_transform(embedding[1:3], lambda x: CAST(x AS DOUBLE)) AS logits,
        CAST(label % 3 AS INTEGER) AS y,

@@ -7,6 +7,7 @@ unless the session runs locally and no shared folder is configured.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -51,28 +52,52 @@ def _is_missing(e: AnalysisException) -> bool:
     return code == "PATH_NOT_FOUND" or (code is None and "Path does not exist" in str(e))
 
 
-def _finished(spark: SparkSession, path: str) -> bool:
-    """Whether a job has committed ``path`` (its ``_SUCCESS`` marker exists)."""
+_POINTER = "CURRENT"
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder of the snapshot that a table written by ``cached`` shows now, None if there is none yet."""
+    base = path.rstrip("/")
     try:
-        spark.read.format("binaryFile").load(path.rstrip("/") + "/_SUCCESS").limit(1).count()
-        return True
+        found = spark.read.text(f"{base}/{_POINTER}").first()
     except AnalysisException as e:
         if not _is_missing(e):
             raise
-        return False
+        return None
+    return f"{base}/{found['value']}" if found else None
+
+
+def publish(spark: SparkSession, path: str, version: str) -> None:
+    """Let the table show snapshot ``version``: the pointer file is written aside and renamed over the old one, which
+    readers see entirely or not at all."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs_path = jvm.org.apache.hadoop.fs.Path
+    aside, pointer = fs_path(f"{path}/_pointer-{uuid.uuid4().hex}"), fs_path(f"{path}/{_POINTER}")
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), conf)
+    out = aside.getFileSystem(conf).create(aside)
+    out.write(bytearray(version.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(aside, pointer, options)
+
+
+def rebuild(spark: SparkSession, path: str, build: Callable[[], DataFrame], partition_by: str | None = "split") -> str:
+    """Write a new snapshot beside the others and publish it. A builder that fails publishes nothing, one that is
+    overtaken is replaced whole, and a reader of an older snapshot keeps its files."""
+    version = f"snapshot-{uuid.uuid4().hex}"
+    w = build().write
+    (w.partitionBy(partition_by) if partition_by else w).parquet(f"{path.rstrip('/')}/{version}")
+    publish(spark, path.rstrip("/"), version)
+    return f"{path.rstrip('/')}/{version}"
 
 
 def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], partition_by: str | None = "split",
            schema: T.StructType | None = None) -> DataFrame:
-    """A2: read ``path`` if a finished table is there, else build, write and read it back. A folder
-    without the writer's commit marker is what a failed build left and is overwritten; an error other
-    than "not found" propagates."""
+    """A2: read the table at ``path`` if a snapshot of it has been published, else build, publish and read it.
+    Builders never write to each other's folders; an error other than "not found" propagates."""
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    if _finished(spark, path):
-        return reader.parquet(path)
-    w = build().write.mode("overwrite")
-    (w.partitionBy(partition_by) if partition_by else w).parquet(path)
-    return reader.parquet(path)
+    return reader.parquet(current(spark, path) or rebuild(spark, path, build, partition_by))
 
 
 def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> None:
