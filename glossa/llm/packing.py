@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm import ngram_join
-from glossa.llm.components import connected, store
+from glossa.llm.components import connected, hot_join
 
 CAPACITY = 2048
 SHARD_ROWS = 8192
@@ -134,31 +134,23 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROW
     return rows.groupBy(shard.alias("shard_key")).applyInPandas(run, PACK_SCHEMA)
 
 
-def _items(docs: DataFrame, size: Column | None, *more: Column) -> DataFrame:
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[\x20\x09-\x0D]+", " "))
-    words = F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)
-    return docs.select("doc_id", (words if size is None else size).cast("long").alias("size"), "source",
-                       F.md5(plain.cast("binary")).alias("cluster"), *more)
-
-
 def text_items(docs: DataFrame, size: Column | None = None) -> DataFrame:
     """Items of a document table: size in white-space words by default, the source, and the cluster of texts that are
     equal but for case and white space. One pass, but near copies are not seen (``near_duplicate_items``)."""
-    return _items(docs, size)
-
-
-def near_duplicate_items(docs: DataFrame, size: Column | None = None) -> DataFrame:
-    """``text_items`` with the component of near duplicates (operator 8) as cluster. Components that hold texts equal but
-    for case and white space are one cluster (the n-grams level the case of ASCII letters only). Rows find their
-    component by doc_id and a hash of the text, so null and repeated ids are told apart; a text without words has no
-    cluster."""
-    component = ngram_join.groups(docs).groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(
-        F.min("c").alias("c"))
-    items = _items(docs, size, ngram_join.text_key().alias("key"))
-    known = store(items.join(component, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")),
-                             "left").select("doc_id", "size", "source", "cluster", "c"), "items")
-    held = known.filter("c IS NOT NULL").select("cluster", "c").distinct()  # map-side: a frequent cluster is a few rows
-    several = held.groupBy("cluster").agg(F.min("c").alias("v"), F.max("c").alias("w")).filter("v <> w").drop("w")
-    label = connected(held.join(several, "cluster").select(F.col("c").alias("u"), "v"))
-    return known.join(label, F.col("c") == F.col("node"), "left").select(
-        "doc_id", "size", "source", F.coalesce("component", "c").cast("string").alias("cluster"))
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[\x20\x09-\x0D]+", " "))
+    words = F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)
+    return docs.select("doc_id", (words if size is None else size).cast("long").alias("size"), "source",
+                       F.md5(plain.cast("binary")).alias("cluster"))
+
+
+def near_duplicate_items(docs: DataFrame) -> DataFrame:
+    """Items with the component of near duplicates (operator 8) as cluster; the size (in words) and the source come with it
+    from the one pass that reads the sets. Components that hold texts equal but for case and white space are one cluster
+    (the n-grams level the case of ASCII letters only); a text without words has no cluster."""
+    known = ngram_join.groups(docs, carry=["source"])
+    held = known.filter("c IS NOT NULL").select("level", "c").distinct()  # map-side: a frequent text is a few rows
+    several = held.groupBy("level").agg(F.min("c").alias("v"), F.max("c").alias("w")).filter("v <> w").drop("w")
+    label = connected(held.join(several, "level").select(F.col("c").alias("u"), "v")).withColumnsRenamed({"node": "c"})
+    return hot_join(known, label, "c").select(
+        "doc_id", F.col("words").alias("size"), F.col("x0").alias("source"),
+        F.coalesce("component", "c").cast("string").alias("cluster"))
