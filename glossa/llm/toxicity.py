@@ -15,7 +15,9 @@ The machine is stored in its primal form: ``f(x) = w . phi(x) / N(x) + b`` with
 
 A text's score is a logistic function of its largest unit margin, calibrated by cross-fitting.
 
-Scale: the sample is bounded (``TOXIC_DOCS``, ``CLEAN_DOCS``, ``SAMPLE_CHARS``; these bounds only concern the fit);
+Scale: the sample is bounded (``TOXIC_DOCS`` and ``CLEAN_DOCS`` whole texts, ``SAMPLE_CHARS`` characters of each label),
+and a fit draws from its distinct units: at most ``WITNESSES`` toxic ones, ``FIRST_CLEAN`` clean ones to begin with, then
+the ``HARD_CLEAN`` of the largest margin and ``MORE_CLEAN`` others. These bounds only concern the fit;
 scoring is one pass over whole texts without a shuffle. Labels, lang, source and doc_id never enter a score.
 
 Defined cases: null or empty texts (no unit) get the score of margin ``NO_UNIT``, the lowest; without toxic or without
@@ -33,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossa.llm.components import store
 from glossa.llm.textkit import IS_WORD, LOWER, U64, mix64, row_slices, text_buffer
 
 WIDTH = 24
@@ -41,7 +44,8 @@ PATTERNS = ((0, 0), (0, 1), (1, 0), (1, 1), (0, 2), (2, 0))
 LANDMARKS = 192
 TOXIC_DOCS = 1500
 CLEAN_DOCS = 3000
-SAMPLE_CHARS = 1 << 16
+SAMPLE_CHARS = 1 << 24  # of each label
+FIRST_CLEAN, WITNESSES, HARD_CLEAN, MORE_CLEAN = 6000, 3000, 3000, 4000
 NO_UNIT = -4.0
 SURE = 5.0
 THRESHOLD = 0.7
@@ -263,17 +267,17 @@ def fit_texts(toxic: list[str], clean: list[str], rounds: int, seed: int) -> Mac
     if not len(chosen):
         return never
     t_all, neg_all = t_units[t_first], c_units[c_first]
-    neg = neg_all[rng.permutation(len(neg_all))[:6000]]
+    neg = neg_all[rng.permutation(len(neg_all))[:FIRST_CLEAN]]
     machine = never
     for step in range(rounds):
-        machine = fit_units(t_all[chosen[rng.permutation(len(chosen))[:3000]]], neg, rng)
+        machine = fit_units(t_all[chosen[rng.permutation(len(chosen))[:WITNESSES]]], neg, rng)
         if step == rounds - 1:
             break
         clean_margin, margin = machine.margins(neg_all), machine.margins(t_all)
         bar = max(0.0, float(np.quantile(clean_margin, 1 - 1e-4)))
         chosen = np.union1d(chosen, np.flatnonzero((contexts >= 2) & (margin > bar)))
-        hard = neg_all[np.argsort(-clean_margin, kind="stable")[:3000]]
-        neg = np.concatenate((hard, neg_all[rng.permutation(len(neg_all))[:4000]]))
+        hard = neg_all[np.argsort(-clean_margin, kind="stable")[:HARD_CLEAN]]
+        neg = np.concatenate((hard, neg_all[rng.permutation(len(neg_all))[:MORE_CLEAN]]))
     return machine
 
 
@@ -329,16 +333,26 @@ def text_margins(machine: Machine, texts: list[str]) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, toxic_docs: int, clean_docs: int) -> DataFrame:
-    """(text, toxic) of at most about ``toxic_docs`` + ``clean_docs`` labelled texts, drawn by a hash of doc_id. The
-    ids of the sample are broadcast (bounded); equal texts count once."""
-    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
+    """(text, toxic) of at most about ``toxic_docs`` + ``clean_docs`` labelled whole texts, drawn by a hash of doc_id; of
+    each label texts are taken, by a hash of the text, until they hold ``SAMPLE_CHARS`` characters. The distinct ids of
+    the sample are broadcast (bounded); equal texts count once."""
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic").distinct()
     size = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, toxic_docs / max(1, size.get(1, 0)))) \
         .otherwise(min(1.0, clean_docs / max(1, size.get(0, 0))))
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     ids = known.filter(u < share)
-    text = F.substring("text", 1, SAMPLE_CHARS).alias("text")
-    return (docs.filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").select(text, "toxic").distinct())
+    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
+    drawn = store(texts.join(F.broadcast(ids), "doc_id").select("text", "toxic").distinct(), "toxicity-sample")
+
+    place = F.xxhash64("text")
+    sizes = drawn.select("toxic", place.alias("place"), F.length("text").cast("long").alias("chars")).toPandas() \
+        .sort_values(["toxic", "place"])
+    taken = sizes[sizes.groupby("toxic")["chars"].cumsum() - sizes["chars"] < SAMPLE_CHARS]
+    keep = F.lit(False)
+    for toxic, last in taken.groupby("toxic")["place"].max().items():
+        keep = keep | ((F.col("toxic") == int(toxic)) & (place <= int(last)))
+    return drawn.filter(keep)
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS) -> Machine:

@@ -346,3 +346,19 @@ def test_toxicity_odd_cases(spark, clashing_docs, no_docs):
         assert toxicity.score(no_docs, machine, held).count() == 0
     got = toxicity.score(clashing_docs, machine, held).toPandas()
     assert (got["score"] < 1e-9).all()
+
+
+def test_toxicity_sample_holds_whole_texts_of_distinct_ids(spark, monkeypatch):
+    late = "word " * 15_000 + "gromwick"
+    docs = spark.createDataFrame([(1, late, 0), (2, "a fine text", 1), (3, "another text", 1), (4, None, 1), (2, "a fine text", 5)],
+                                 "doc_id long, text string, toxic int")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1)], "doc_id long, toxic int")
+    labels = labels.unionAll(labels.filter("doc_id = 2").join(spark.range(100_000), how="cross").select("doc_id", "toxic"))
+
+    def sample():
+        return sorted(tuple(r) for r in toxicity.labelled_sample(docs, labels, 10, 10).collect())
+    assert sample() == [("a fine text", 0), ("another text", 0), (late, 1)]
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 5)  # the text that passes the bound is the last one, and whole
+    got = sample()
+    assert len(got) == 2 and got[0][0] in ("a fine text", "another text") and got[1] == (late, 1)
+    assert toxicity.labelled_sample(docs, labels.limit(0), 10, 10).count() == 0
