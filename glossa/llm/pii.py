@@ -3,14 +3,17 @@
 Base spans (email, ip, card, phone) come from exact linear-time matchers. The CRF then labels the other tokens that
 hold a digit or ``@``: its nodes are those tokens, with a unary potential from the token's shape, a chain potential to
 the next node if they are neighbours in the text, and a skip potential between successive occurrences of the same or a
-similar token (equal without outer punctuation and case; an email also meets its own name part) anywhere in the
-document. Tokens in base spans are clamped to their kind, tokens of a rejected match (failed checksum or range) to
+similar token (of ``MIN_KEY`` characters or more, since shorter ones recur by chance; equal without outer punctuation and
+case; an email also meets its own name part) anywhere in the document. When a document is labelled, tokens without a digit
+that equal the name part of one of its emails are nodes too if that part holds a dot, underscore, per cent, plus or hyphen
+(``jane.smith``, but not ``info``, which is an ordinary word). Tokens in base spans are clamped to their kind, tokens of a rejected match (failed checksum or range) to
 "other". Loopy sum-product messages with damping run until they settle; an unclamped token becomes a span if its belief
 reaches ``min_belief`` and the skip chain connects it to a base span of that kind, so labels are consistent across
 a document and a document without base spans gains none.
 
 Training is piecewise: each potential is the smoothed log frequency ratio of its piece, counted over the base labels of
-all documents (shapes hashed to ``SHAPES`` buckets, so the model has a fixed size).
+all documents (shapes hashed to ``SHAPES`` buckets, so the model has a fixed size). Name parts without a digit take no
+part in it: no base pattern says whether such a token is personal.
 
 Scale: two passes over the texts without a shuffle of text; the first shuffles at most a few thousand counts a task.
 Skip edges link an occurrence to the next one only, so a token repeated k times makes k - 1 edges. Defined cases: null
@@ -41,6 +44,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_JOINED = re.compile(r"[._%+-]")
 _TOKEN = re.compile(r"\S+")
 _OUTER = ".,;:!?()[]{}<>\"'"
 
@@ -99,15 +103,21 @@ def render(spans: list[Span]) -> str:
 
 def shape_bucket(token: str) -> int:
     """Runs of digits and letters with their length (up to 20), other characters as they are, hashed."""
-    parts = re.findall(r"[0-9]{1,20}|[^\W\d_]{1,20}|.", token[:80], re.S)
+    parts = re.findall(r"[0-9]{1,20}|[^\W\d_]{1,20}|.", token, re.S)
     shape = "".join(f"9{len(p)}" if p[0].isdigit() else f"a{min(len(p), 4)}" if p[0].isalpha() else p for p in parts)
     return zlib.crc32(shape.encode()) % SHAPES
 
 
+def name_parts(text: str, spans: list[Span]) -> frozenset[str]:
+    """Lower-case name parts of the emails in ``spans`` that are no ordinary words."""
+    local = {text[a:text.index("@", a)].strip(_OUTER).lower() for k, a, _ in spans if KINDS[k] == "email"}
+    return frozenset(x for x in local if len(x) >= MIN_KEY and _JOINED.search(x))
+
+
 class Graph:
-    """Nodes, labels and edges of one document."""
+    """Nodes, labels and edges of one document. ``names``: lower-case tokens that are nodes without holding a digit."""
 
-    def __init__(self, text: str, spans: list[Span], bad: list[tuple[int, int]]):
+    def __init__(self, text: str, spans: list[Span], bad: list[tuple[int, int]], names: frozenset[str] = frozenset()):
         self.at: list[tuple[int, int]] = []
         self.label: list[int] = []  # clamped label, -1 where free
         self.shape: list[int] = []
@@ -127,9 +137,9 @@ class Graph:
                 if x[1] > a:
                     hits.append(x)
             token = m[0]
-            if not hits and not _HINT.search(token):
-                continue
             bare = token.strip(_OUTER)
+            if not hits and not _HINT.search(token) and bare.lower() not in names:
+                continue
             a += len(token) - len(token.lstrip(_OUTER)) if bare else 0
             node = len(self.at)
             self.at.append((a, a + len(bare)) if bare else m.span())
@@ -229,7 +239,7 @@ def document_spans(text: str, model: dict[str, np.ndarray], min_belief: float =
     base, bad = base_spans(text)
     if not base:
         return base, base
-    g = Graph(text, base, bad)
+    g = Graph(text, base, bad, name_parts(text, base))
     if -1 not in g.label or not g.skip:
         return base, base
     tied = list(range(len(g.at)))  # union-find over the skip edges

@@ -9,9 +9,11 @@ a language is the exact sum over all its bytes; the shortest code wins.
 The context trees are stored as one hash table per order with the whole escape chain folded into a vector of code
 lengths, one number per language, so a byte costs one look-up unless no language knows its longest context.
 
-Scale: the counts come from a sample of about ``docs_per_lang`` labelled documents a language, drawn by a hash of doc_id
-(documented bound; the model's size is bounded by it); scoring is one pass over whole texts without a shuffle, in
-slices of ``textkit.SLICE_BYTES`` / 4 bytes (a longer text in pieces, with its context carried over).
+Scale: the counts come from a bounded sample of labelled rows, each text taken whole: the ``MAX_LANGS`` commonest
+languages, of each about ``docs_per_lang`` different texts (``SAMPLE_DOCS`` over all languages), by a hash, until they
+hold ``LANG_BYTES`` bytes (``SAMPLE_BYTES`` over all languages; the text that reaches the bound is the last, and counts
+in full). The model's size is bounded by the sample. Scoring is one pass over whole texts without a shuffle. Both work
+in slices of ``textkit.SLICE_BYTES`` / 4 bytes (a longer text in pieces, with its context carried over).
 
 Defined cases: null or letterless texts are ``und`` with score 0; without any training row every text is ``und``; ties
 go to the smaller language value; repeated rows are scored alike; empty tables give empty tables; other columns of the
@@ -27,11 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossa.llm.components import store
 from glossa.llm.textkit import LOWER, SLICE_BYTES, U64, row_slices, text_buffer
 
 ORDER = 4
 DOCS_PER_LANG = 600
-SAMPLE_BYTES_PER_DOC = 1 << 17
+MAX_LANGS = 512
+SAMPLE_DOCS = 12_000
+LANG_BYTES = 1 << 22
+SAMPLE_BYTES = 1 << 25
 _MULT = U64(0x9E3779B97F4A7C15)
 _EMPTY = U64(2**64 - 1)
 
@@ -99,23 +105,38 @@ def count_ngrams(docs: DataFrame, order: int) -> DataFrame:
     """(lang, width, gram, n) over ``docs`` (text, lang): how often each byte string of 1 to ``order`` + 1 bytes
     occurs. Counted per batch first, so the shuffle carries distinct grams only."""
 
+    def record(name, found):
+        for o, parts in enumerate(found):
+            if parts:
+                g, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(g)), pa.array(np.full(len(g), o + 1, np.int32)),
+                     pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))],
+                    names=["lang", "width", "gram", "n"])
+
+    def grams(b, back, found):
+        """Adds the grams that end after the first ``back`` bytes of ``b``, which are context."""
+        for o in range(min(order + 1, len(b))):
+            found[o].append(_keys(b, o + 1)[max(o, back):])
+
     def run(batches):
+        step = SLICE_BYTES // 4
         for batch in batches:
             buf, offs = text_buffer(batch.column(0))
             lang = np.array(batch.column(1).to_pylist(), dtype=object)
-            for name in sorted(set(lang)):
-                found: list[list[np.ndarray]] = [[] for _ in range(order + 1)]
-                for i in np.flatnonzero(lang == name):
-                    b = LOWER[buf[offs[i]:offs[i + 1]][:SAMPLE_BYTES_PER_DOC]]
-                    for o in range(min(order + 1, len(b))):
-                        found[o].append(_keys(b, o + 1)[o:])
-                for o, parts in enumerate(found):
-                    if parts:
-                        g, n = np.unique(np.concatenate(parts), return_counts=True)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([name] * len(g)), pa.array(np.full(len(g), o + 1, np.int32)),
-                             pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))],
-                            names=["lang", "width", "gram", "n"])
+            for i, j in row_slices(offs, step):
+                if offs[j] - offs[i] > step:  # one long text
+                    for at in range(int(offs[i]), int(offs[j]), step):
+                        back = min(order, at - int(offs[i]))
+                        found = [[] for _ in range(order + 1)]
+                        grams(LOWER[buf[at - back:min(at + step, offs[j])]], back, found)
+                        yield from record(lang[i], found)
+                    continue
+                for name in sorted(set(lang[i:j])):
+                    found = [[] for _ in range(order + 1)]
+                    for r in i + np.flatnonzero(lang[i:j] == name):
+                        grams(LOWER[buf[offs[r]:offs[r + 1]]], 0, found)
+                    yield from record(name, found)
 
     counts = docs.select("text", "lang").mapInArrow(run, "lang string, width int, gram long, n long")
     return counts.groupBy("lang", "width", "gram").agg(F.sum("n").alias("n"))
@@ -198,16 +219,25 @@ def code_lengths(model: Model, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def sample_per_lang(docs: DataFrame, docs_per_lang: int) -> DataFrame:
-    """About ``docs_per_lang`` rows of each lang, by a hash of doc_id: rows whose hash falls under a share of the
-    range that is set from the language's row count."""
-    per = docs.groupBy("lang").count().collect()  # one row a language
+    """(text, lang) of the bounded sample of ``docs`` (doc_id, text, lang; no nulls). A language's share of its rows is
+    set from its row count; rows are drawn by a hash of doc_id and text, equal texts of a language count once, and whole
+    texts are taken in the order of another hash until the language's bytes are reached."""
+    spark = docs.sparkSession
+    per = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     if not per:
-        return docs.limit(0)
-    share: Column = F.lit(0.0)
-    for r in per:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, docs_per_lang / r["count"]))).otherwise(share)
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return docs.filter(u < share)
+        return docs.select("text", "lang").limit(0)
+    each, room = min(docs_per_lang, SAMPLE_DOCS / len(per)), min(LANG_BYTES, SAMPLE_BYTES // len(per))
+    share = spark.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in per], "lang string, share double")
+    u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = store(docs.join(F.broadcast(share), "lang").filter(u < F.col("share")).select("text", "lang").distinct(),
+                  "language-sample")
+
+    place = F.xxhash64("text")
+    sizes = drawn.select("lang", place.alias("place"), F.octet_length("text").cast("long").alias("bytes")).toPandas() \
+        .sort_values(["lang", "place"])
+    taken = sizes[sizes.groupby("lang")["bytes"].cumsum() - sizes["bytes"] < room].groupby("lang")["place"].max()
+    last = spark.createDataFrame([(k, int(v)) for k, v in taken.items()], "lang string, last long")
+    return drawn.join(F.broadcast(last), "lang").filter(place <= F.col("last")).select("text", "lang")
 
 
 def train(docs: DataFrame, order: int = ORDER, docs_per_lang: int = DOCS_PER_LANG) -> Model:

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -100,6 +101,27 @@ def test_language_query_held_out_accuracy(spark):
     assert len(got) == len(docs) and right[held].mean() > 0.98
 
 
+def test_language_sample_takes_whole_texts_and_bounds(spark, monkeypatch):
+    step = textkit.SLICE_BYTES // 4
+    long = "ab" * step + "zq" * 50  # several slices; its last bytes count as well
+    docs = spark.createDataFrame([(1, long, "xx"), (2, "short text", "xx"), (2, "short text", "xx"), (3, "mot", "yy")],
+                                 "doc_id long, text string, lang string")
+    counts = {(r.lang, r.width, r.gram): r.n for r in ppm.count_ngrams(docs.filter("doc_id = 1"), 2).collect()}
+    raw = long.encode()
+    for width in (1, 2, 3):
+        want = Counter(raw[i:i + width] for i in range(len(raw) - width + 1))
+        assert {g: n for (_, w, g), n in counts.items() if w == width} == \
+            {int.from_bytes(g, "big"): n for g, n in want.items()}
+    assert sorted(r.text[:9] for r in ppm.sample_per_lang(docs, 600).collect()) == ["ababababa", "mot", "short tex"]
+    many = spark.createDataFrame([(i, f"text number {i} of it", f"l{i % 500:03d}") for i in range(2000)],
+                                 "doc_id long, text string, lang string")
+    monkeypatch.setattr(ppm, "MAX_LANGS", 200)
+    monkeypatch.setattr(ppm, "SAMPLE_BYTES", 200 * 40)
+    got = Counter(r.lang for r in ppm.sample_per_lang(many, 600).collect())
+    assert set(got) == {f"l{i:03d}" for i in range(200)}  # ties by name; whole texts until 40 bytes are reached
+    assert set(got.values()) == {2, 3} or set(got.values()) == {2}
+
+
 def test_language_odd_cases(spark, clashing_docs, no_docs, odd_rows):
     model = ppm.train(clashing_docs)
     got = ppm.predict(clashing_docs, model, ppm.held_out(4, 2)).toPandas()
@@ -246,6 +268,19 @@ def test_skip_chain_marks_repeats_of_known_entities(spark):
     assert masked[100].n_chars == len(masked[100].text)
 
 
+def test_name_part_of_an_email(spark):
+    rows = [(i, f"mail jane.smith{i}@mail.org or jane.smith{i}@mail.org, room {i}") for i in range(40)]
+    rows += [(100, "ask jane.smith@mail.org, then Jane.Smith, or info@mail.org for info"), (101, "jane.smith alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_pii(docs, pii.train(docs)).collect()}
+    assert got[100].spans == "email:4:23,email:30:40,email:45:58" and got[100].n_email == 2
+    assert got[101].spans == ""
+
+
+def test_token_shapes_use_the_whole_token():
+    assert pii.shape_bucket("a1-" * 40) != pii.shape_bucket("a1-" * 40 + "x")
+
+
 def test_message_passing_equals_enumeration():
     rng = np.random.default_rng(2)
     model = {"unary": rng.normal(size=(pii.SHAPES, 5)), "chain": rng.normal(size=(5, 5)), "skip": rng.normal(size=(5, 5))}
