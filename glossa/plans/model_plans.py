@@ -8,7 +8,9 @@ from glossa.operators import attribution as A
 from glossa.operators import labels as L
 from glossa.operators import lm
 from glossa.operators import probe
+from glossa.operators import textmatch as TM
 from glossa.operators import vectors as VEC
+from glossa.plans import text_plans
 from glossa.plans.registry import query, round_doubles
 from glossa.sources import fixtures as V
 from glossa.sources.tables import load
@@ -37,6 +39,46 @@ def f7_greedy_match_pairs(spark, sf):
     return round_doubles(VEC.greedy_match_pairs(V.tokvec(spark, sf)))
 
 
+_CODE = "instr('0123456789abcdef', substr(md5({w}), {i}, 1)) - 1"
+_TEXT_MATCH_SQL = _with(f"""
+, texts AS (SELECT row_number() OVER () AS tid, * FROM (
+    SELECT system, row_id, -1 AS ref_idx, generated_text AS x FROM gen_eval
+    UNION ALL SELECT system, row_id, unnest(range(0, len("references"))), unnest("references") FROM gen_eval)),
+tok AS (SELECT tid, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i
+        FROM (SELECT tid, {text_plans._ws('x')} AS w FROM texts)),
+coded AS (SELECT tid, i, w, {_CODE.format(w='w', i=1)} AS spot,
+                 CASE WHEN {_CODE.format(w='w', i=2)} < 8 THEN 1 ELSE -1 END AS sign FROM tok),
+offs AS (SELECT unnest(range(-{TM.REACH}, {TM.REACH} + 1)) AS o),
+places AS (SELECT tid, w, i + o AS j FROM tok CROSS JOIN offs),
+near AS (SELECT a.w, b.spot, sum(b.sign) AS n FROM places a JOIN coded b ON a.tid = b.tid AND a.j = b.i GROUP BY ALL),
+vecs AS (SELECT w, CAST([{', '.join(f'coalesce(sum(n) FILTER (WHERE spot = {k}), 0)' for k in range(TM.WIDTH))}]
+                        AS DOUBLE[{TM.WIDTH}]) AS v FROM near GROUP BY w),
+bag AS (SELECT tid, w, count(*) AS n FROM tok GROUP BY ALL),
+vbag AS (SELECT tid, n, v, array_inner_product(v, v) AS q FROM bag JOIN vecs USING (w)),
+pairs AS (SELECT p.system, p.tid AS pid, r.tid AS rid FROM texts p JOIN texts r
+          ON p.system = r.system AND p.row_id = r.row_id AND p.ref_idx = -1 AND r.ref_idx >= 0),
+pb AS (SELECT pid, rid, row_number() OVER () AS u, n, v, q FROM pairs JOIN vbag ON tid = pid),
+rb AS (SELECT pid, rid, row_number() OVER () AS u, n, v, q FROM pairs JOIN vbag ON tid = rid),
+s AS (SELECT p.pid, p.rid, p.u AS pu, r.u AS ru, p.n AS pn, r.n AS rn,
+             CASE WHEN p.q * r.q > 0 THEN array_inner_product(p.v, r.v) / sqrt(p.q * r.q) ELSE 0 END AS c
+      FROM pb p JOIN rb r ON p.pid = r.pid AND p.rid = r.rid),
+pp AS (SELECT pid, rid, sum(n * m) / sum(n) AS precision
+       FROM (SELECT pid, rid, pu, any_value(pn) AS n, max(c) AS m FROM s GROUP BY ALL) GROUP BY ALL),
+rr AS (SELECT pid, rid, sum(n * m) / sum(n) AS recall
+       FROM (SELECT pid, rid, ru, any_value(rn) AS n, max(c) AS m FROM s GROUP BY ALL) GROUP BY ALL),
+prf AS (SELECT system, precision, recall, CASE WHEN precision + recall <> 0
+                                          THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1
+        FROM (SELECT system, coalesce(precision, 0) AS precision, coalesce(recall, 0) AS recall
+              FROM pairs LEFT JOIN pp USING (pid, rid) LEFT JOIN rr USING (pid, rid)))
+SELECT system, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1
+FROM prf GROUP BY system""", "gen_eval")
+
+
+@query("f7_text_match", ops=("F7", "E9"), sql=_TEXT_MATCH_SQL)
+def f7_text_match(spark, sf):
+    return round_doubles(TM.text_match(V.gen_eval(spark, sf), "generated_text", "references", ["system"]))
+
+
 @query("e9_greedy_match_mean", ops=("F7", "E9"), sql=_with(_GM_PAIRS + """
 SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1 FROM prf""",
                                                            "tokvec"))

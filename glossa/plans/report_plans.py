@@ -13,15 +13,13 @@ from glossa.operators import analysis as AN
 from glossa.operators import labels as L
 from glossa.operators import prep as P
 from glossa.operators import textmetrics as T
-from glossa.operators import vectors as VEC
-from glossa.plans import model_plans, text_plans  # noqa: F401  (registers e9 first)
+from glossa.operators.textmatch import text_match
+from glossa.plans import model_plans, text_plans  # noqa: F401  (registers f7 first)
 from glossa.plans.registry import REGISTRY, query, round_doubles
 from glossa.session import shared_path
 from glossa.sources import fixtures as V
 from glossa.sources import io
 
-SYSTEMS = [s for s, _ in V.SYSTEMS]
-
 
 def _ctes(sql: str) -> str:
     """The WITH part of a twin query (everything before its final SELECT)."""
@@ -42,20 +40,16 @@ _LABEL_SQL = V.with_views("""
 SELECT system, round(sum(CASE WHEN reference_label = predicted_label THEN n ELSE 0 END) / sum(n), 6) AS acc
 FROM conf GROUP BY system""".replace("\n, conf", "__X__"), "label_preds").replace("\n__X__", ",\nconf")
 
-_BERT_SQL = REGISTRY["e9_greedy_match_mean"].sql
-
 _CLS_LONG = "\nUNION ALL\n".join(
     f"SELECT system, '{m}' AS metric, acc AS value FROM ({_LABEL_SQL})" for m in ("test/acc", "test/f1"))
-_BERT_LONG = "\nUNION ALL\n".join(
-    f"SELECT s.system, 'test/bert/{c}' AS metric, b.{c} AS value FROM ({_BERT_SQL}) b "
-    f"CROSS JOIN (VALUES ('A'), ('B')) AS s(system)" for c in ("precision", "recall", "f1"))
+_BERT_COLS = {c: f"test/bert/{c}" for c in ("precision", "recall", "f1")}
+_BERT_LONG = _long(REGISTRY["f7_text_match"].sql, _BERT_COLS)
 
 
 def _bert_long(spark, sf) -> DataFrame:
-    bert = VEC.greedy_match(V.tokvec(spark, sf))
-    long = T.to_long(bert, [], {c: f"test/bert/{c}" for c in ("precision", "recall", "f1")})
-    systems = F.explode(F.array(*[F.lit(s) for s in SYSTEMS]))
-    return long.select(systems.alias("system"), "metric", "value")
+    """Greedy match of each system's own texts to each reference."""
+    match = text_match(V.gen_eval(spark, sf), "generated_text", "references", ["system"])
+    return T.to_long(match, ["system"], _BERT_COLS)
 
 
 def _cls_long(spark, sf) -> DataFrame:
