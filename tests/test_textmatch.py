@@ -91,3 +91,20 @@ def test_index_codes_are_computed_once_a_text(spark, df):
     assert plan.count("md5") == 2
     line = next(x for x in plan.splitlines() if "slice(" in x)
     assert "md5" not in line
+
+
+@pytest.mark.parametrize("slice_chars", [1 << 22, 10])
+def test_vectors_of_arrays_equal_those_of_texts(spark, df, monkeypatch, slice_chars):
+    monkeypatch.setattr(TM, "SLICE_CHARS", slice_chars)
+    lists = spark.createDataFrame([([p, *(refs or [])],) for _, _, p, refs in ROWS] + [(None,), ([],)], "x array<string>")
+    one = {r.token: r.vec for r in TM.token_vectors(lists.select(F.explode("x").alias("x")), "x").collect()}
+    assert one and {r.token: r.vec for r in TM.token_vectors(lists, "x").collect()} == one
+
+
+def test_text_match_is_never_gathered_on_the_driver(spark, df):
+    """The vectors of an unbounded vocabulary were broadcast whenever their estimate was small, and every token of
+    every text was exploded with its neighbours."""
+    match = TM.text_match(df, "p", "refs", ["system"])
+    match.collect()
+    plan = match._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "explode" not in plan
