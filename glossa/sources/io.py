@@ -100,10 +100,13 @@ def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], parti
     return reader.parquet(current(spark, path) or rebuild(spark, path, build, partition_by))
 
 
+FILE_ROWS = 20_000  # rows a CSV file: one with newlines in its texts can't be split, so it is read by one task
+
+
 def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A4: CSV with header, no index; quotes escaped by doubling so texts with newlines and quotes
     round-trip. Outer blanks are kept, and an empty text is written quoted, a null one unquoted."""
-    df.write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", '""') \
+    df.write.mode(mode).option("maxRecordsPerFile", FILE_ROWS).option("header", True).option("escape", '"').option("emptyValue", '""') \
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
