@@ -133,13 +133,14 @@ def stream_samples(stream: DataFrame, every: int, n: int, batch_size: int, sink:
     """First n rows of every N-th sample batch. With a dense ``row_idx`` the
     position inside a batch is ``row_idx % batch_size``, so the selection is
     stateless and exact whatever the micro-batch boundaries; the sink overwrites
-    the ``(batch_id, micro_batch)`` partitions it writes, so a replay is idempotent."""
+    the ``micro_batch`` partition it writes, so a replay is idempotent. Sample batches grow with
+    the input, so they are a column and not a folder each."""
     def write(df: DataFrame, batch_id: int) -> None:
         picked = df.filter(((F.col(batch) + 1) % every == 0) & (F.col(index) % batch_size < n))
-        # keyed by (sample batch, micro-batch): a replay rewrites only its own files,
+        # keyed by micro-batch: a replay rewrites only its own files,
         # and a sample batch split over two micro-batches keeps both halves
         (picked.withColumn("micro_batch", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(batch, "micro_batch").parquet(sink))
+         .option("partitionOverwriteMode", "dynamic").partitionBy("micro_batch").parquet(sink))
     return on_batch(stream, write, checkpoint, available_now)
 
 

@@ -30,6 +30,22 @@ def test_stream_samples_replay_is_idempotent(spark, tmp_path):
     assert first == again == batch and len(batch) > 0
 
 
+def test_samples_have_no_folder_per_sample_batch(spark, tmp_path):
+    src, out, ck = _folders(tmp_path)
+    staged = spark.range(4000).select("id", F.col("id").alias("row_idx"), (F.col("id") / 8).cast("long").alias("batch_id"))
+    S.stage_files(staged.coalesce(2), src)
+    S.stream_samples(S.file_stream(spark, src, staged.schema, 1), 5, 3, 8, out, ck).awaitTermination()
+    assert [d for d in sorted(os.listdir(out)) if "=" in d] == ["micro_batch=0", "micro_batch=1"]
+    got = spark.read.parquet(out)
+    assert dict(got.dtypes)["batch_id"] == "bigint" and got.count() == 300
+
+
+def test_predictions_are_written_in_files_of_bounded_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(io, "FILE_ROWS", 10)
+    io.write_predictions(spark.range(35).select(F.concat(F.lit("a\n"), "id").alias("t")).coalesce(1), str(tmp_path / "csv"))
+    assert sum(f.endswith(".csv") for f in os.listdir(tmp_path / "csv")) == 4
+
+
 def _folders(tmp_path):
     return str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
 
