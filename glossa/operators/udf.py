@@ -9,7 +9,7 @@
   plus a per-span aggregate. It is registered as a Spark SQL function
   (``CREATE TEMPORARY FUNCTION … RETURN expr``), which Catalyst inlines, so it
   stays native in both the DataFrame API and SQL. The aggregate is one of the
-  built-in names, a function of a span's values (a grouped-aggregate pandas UDF:
+  built-in names, a function of a span's values (gathered per span:
   for spans of bounded size), or a ``UserAggregate``, which is computed in
   parts: each Arrow batch reduces its values to one state a span, and only
   states are shuffled and merged, so a span may hold any share of the rows.
@@ -20,12 +20,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from glossa.operators.attribution import _agg, span_position
 
@@ -91,7 +94,7 @@ class UserAggregate:
     finish: Callable[[list[float]], float | None]
 
 
-_MERGE_GROUPS = 32  # states of one span are merged in so many groups first, then the groups
+_HELD = 100_000  # spans whose states a task holds, to merge those of its batches before the shuffle
 
 
 def user_aggregate(df: DataFrame, agg: UserAggregate, value: str, keys: Sequence[str], out: str) -> DataFrame:
@@ -100,31 +103,40 @@ def user_aggregate(df: DataFrame, agg: UserAggregate, value: str, keys: Sequence
     keys = list(keys)
     fields = {f.name: f for f in df.schema.fields}
     state = T.ArrayType(T.DoubleType())
-    parts = T.StructType([*[T.StructField(k, fields[k].dataType) for k in keys], T.StructField("_state", state),
-                          T.StructField("_group", T.IntegerType())])
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for n, pdf in enumerate(batches):
-            rows = pdf.groupby(keys, dropna=False, sort=False)[value] if keys else [((), pdf[value])]
-            found = [(key, agg.update(agg.zero(), values.dropna().to_numpy(dtype=float))) for key, values in rows if len(values)]
-            yield pd.DataFrame({**{k: pd.Series([key[i] for key, _ in found], dtype=pdf[k].dtype) for i, k in enumerate(keys)},
-                                "_state": [list(map(float, s)) for _, s in found],
-                                "_group": pd.Series([n % _MERGE_GROUPS] * len(found), dtype="int32")})
-
-    @F.pandas_udf(state)
-    def merged(states: pd.Series) -> list[float]:
-        return list(map(float, reduce(agg.merge, [list(s) for s in states], agg.zero())))
+    parts = T.StructType([*[T.StructField(k, fields[k].dataType) for k in keys], T.StructField("_state", state)])
+    kinds = to_arrow_schema(parts)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[float]] = {}
+
+        def table() -> pa.RecordBatch:
+            cols = list(zip(*held)) if keys and held else [()] * len(keys)
+            return pa.RecordBatch.from_arrays([*[pa.array(c, f.type) for c, f in zip(cols, kinds)],
+                                               pa.array(list(held.values()), kinds.field("_state").type)], schema=kinds)
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(len(keys))]
+            found: dict[tuple, list[float]] = {}
+            for key, x in zip(zip(*columns) if keys else repeat(()), batch.column(len(keys)).to_pylist()):
+                values = found.setdefault(key, [])
+                if x is not None and x == x:
+                    values.append(x)
+            for key, values in found.items():
+                own = list(map(float, agg.update(agg.zero(), np.array(values, dtype=float))))
+                held[key] = list(map(float, agg.merge(held[key], own))) if key in held else own
+            if len(held) > _HELD:
+                yield table()
+                held.clear()
+        yield table()
 
     @F.pandas_udf("double")
-    def finished(states: pd.Series) -> pd.Series:
-        return pd.Series([agg.finish(list(s)) for s in states], dtype="float64").astype(object).where(lambda x: x.notna(), None)
+    def finished(spans: pd.Series) -> pd.Series:
+        done = [agg.finish(list(map(float, reduce(agg.merge, [list(s) for s in states], agg.zero())))) for states in spans]
+        return pd.Series(done, dtype="float64").astype(object).where(lambda x: x.notna(), None)
 
-    once = df.select(*keys, F.col(value).cast("double").alias(value)).mapInPandas(partial, parts)
-    # map tasks begin their batches at 0: the task's number tells theirs apart
-    group = F.pmod(F.col("_group") + F.spark_partition_id(), F.lit(_MERGE_GROUPS))
-    states = once.groupBy(*keys, group.alias("_group")).agg(merged("_state").alias("_state")) \
-        .groupBy(*keys).agg(merged("_state").alias("_state"))
-    return states.select(*keys, finished("_state").alias(out))
+    once = df.select(*keys, F.col(value).cast("double").alias(value)).mapInArrow(partial, parts)
+    # only lists of states are gathered: at most one a task and ``_HELD`` spans
+    return once.groupBy(*keys).agg(F.collect_list("_state").alias("_states")).select(*keys, finished("_states").alias(out))
 
 
 @dataclass(frozen=True)
@@ -162,7 +174,10 @@ def apply_metric(df: DataFrame, name: str, args: Sequence[str], keys: Sequence[s
         fn = m.aggregate
 
         @F.pandas_udf("double")
-        def whole(values: pd.Series) -> float:
-            return fn(values)
-        return mapped.groupBy(*keys, step).agg(whole(name).alias(name))
+        def whole(spans: pd.Series) -> pd.Series:
+            return pd.Series([fn(pd.Series(values, dtype="float64")) for values in spans], dtype="float64")
+        # one call a batch of spans; a null value reaches the function as NaN
+        value = F.coalesce(F.col(name).cast("double"), F.lit(float("nan")))
+        return mapped.groupBy(*keys, step).agg(F.collect_list(value).alias("_values")).select(
+            *keys, step, whole("_values").alias(name))
     return mapped.groupBy(*keys, step).agg(_agg(m.aggregate, F.col(name)).alias(name))
