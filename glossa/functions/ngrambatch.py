@@ -18,7 +18,7 @@ from glossa.functions.seqstats import chrf_words, rouge_tokens, ws_tokens
 CHAR_ORDER = 6
 WORD_ORDER = 2
 BETA = 2.0
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18  # the sorted windows of a chunk stay in a core's cache
 
 
 class Counts:

@@ -19,7 +19,7 @@ _PUNCT = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 # dropped. tests/test_seqstats.py checks token-for-token equality with the Spark expressions.
 _WS = re.compile(r"[ \t\n\x0b\f\r]+")
 _SENTENCE = re.compile(r"(?<=[.!?])[ \t\n\x0b\f\r]+")
-_NON_ALNUM = re.compile(r"[^a-z0-9]+")
+_ALNUM = re.compile(r"[a-z0-9]+")
 
 
 def ws_tokens(text) -> list[str]:
@@ -29,7 +29,7 @@ def ws_tokens(text) -> list[str]:
 
 def rouge_tokens(text) -> list[str]:
     """``text.rouge_tokens``: lower case, runs outside [a-z0-9] separate tokens."""
-    return [t for t in _NON_ALNUM.split(text.lower()) if t] if text else []
+    return _ALNUM.findall(text.lower()) if text else []
 
 
 def rouge_sentences(text) -> list[list[str]]:
@@ -77,24 +77,25 @@ def lcs_target_positions(pred, target, masks=None) -> list[int]:
     """Target positions of one LCS, backtracking from the end; on a tie the
     prediction index moves first only when that keeps a strictly longer LCS.
     ``masks`` (``_masks(target)``) may be passed when the target is reused."""
-    if len(pred) == 0 or len(target) == 0:
-        return []
-    rows = _rows(pred, target, masks)
-
-    def table(i: int, j: int) -> int:
-        return j - (rows[i] & ((1 << j) - 1)).bit_count()
-
     i, j = len(pred), len(target)
     out: list[int] = []
-    while i > 0 and j > 0:
-        if pred[i - 1] == target[j - 1]:
-            out.append(j - 1)
-            i -= 1
-            j -= 1
-        elif table(i - 1, j) > table(i, j - 1):
-            i -= 1
-        else:
-            j -= 1
+    while i > 0 and j > 0 and pred[i - 1] == target[j - 1]:  # a common end is matched whatever the rows say
+        i -= 1
+        j -= 1
+        out.append(j)
+    if i > 0 and j > 0:
+        rows = _rows(pred[:i], target, masks)  # a row's low bits do not depend on its high ones
+        while i > 0 and j > 0:
+            if pred[i - 1] == target[j - 1]:
+                i -= 1
+                j -= 1
+                out.append(j)
+            # for two different tokens L(i, j) is the larger of L(i - 1, j) and L(i, j - 1): where the row steps at j,
+            # L(i, j - 1) is less, so L(i - 1, j) is the larger; elsewhere it is not
+            elif rows[i] >> (j - 1) & 1:
+                j -= 1
+            else:
+                i -= 1
     out.reverse()
     return out
 

@@ -146,3 +146,16 @@ def test_python_tokenisation_equals_spark(spark):
     bad = texts.select(mismatch("t", tokens("t"), rouge_tokens("t"), F.transform(sentences("t"), rouge_tokens))
                        .alias("m")).filter("m <> 0").count()
     assert bad == 0
+
+
+def test_backtracking_reads_no_table():
+    """A common end is matched without any row of bits; the rest reads one bit a step."""
+    a, b = ["x"] * 3 + list("abcde") * 400 + ["end"], ["y"] * 3 + list("edcba") * 400 + ["end"]
+    assert S.lcs_target_positions(a, b) == dp_positions(a, b)
+    with mock.patch.object(S, "_rows", side_effect=AssertionError("a common end needs no rows")):
+        assert S.lcs_target_positions(["q", *b], b) == list(range(len(b)))
+
+
+def test_rouge_tokens_are_runs_of_letters_and_digits():
+    assert S.rouge_tokens(" A-b  c3_Dİe!") == ["a", "b", "c3", "di", "e"]
+    assert S.rouge_tokens("--") == S.rouge_tokens("") == S.rouge_tokens(None) == []
