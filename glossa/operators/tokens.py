@@ -13,8 +13,10 @@ own: only its distinct tokens are shuffled to the vocabulary, and their ids meet
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +34,7 @@ SPECIAL_IDS = (PAD, EOS, UNK)
 # under about 0.5 GB per 8-core executor; a 32k-entry vocabulary is about 1 MB.
 BROADCAST_BUDGET = 16 << 20
 CHUNK_ROWS = 1024  # rows that share a dictionary beyond the budget
+SLICE_TEXTS = 256  # texts that are strings in Python at a time
 
 
 def build_vocab(df: DataFrame, cols: Sequence[str], max_size: int = 32000) -> DataFrame:
@@ -96,15 +99,26 @@ def by_dictionary(rows: DataFrame, lists: Column, vocab: DataFrame, key: str, ke
 def token_ids(spark, table: dict, texts: Sequence[Column]) -> Column:
     """``array<array<int>>``: the ids of the whitespace tokens of each text (OOV → unk), no eos.
     The texts cross Arrow as strings and are tokenised in Python exactly as ``tokens`` does."""
-    bc = spark.sparkContext.broadcast(table)
+    bc, per_row = spark.sparkContext.broadcast(table), len(texts)
 
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-    def lookup(rows: pd.Series) -> pd.Series:
-        get, tok = bc.value.get, seqstats.ws_tokens
-        return pd.Series([[[get(t, UNK) for t in tok(x)] for x in row] for row in rows], dtype=object)
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+    def lookup(rows: pa.Array) -> pa.Array:
+        lists = ids_of(rows.flatten(), bc.value)
+        return pa.ListArray.from_arrays(pa.array(range(0, len(lists) + 1, per_row), pa.int32()), lists)
     return lookup(F.array(*texts))
 
 
+def ids_of(texts: pa.Array, table: dict) -> pa.ListArray:
+    """The ids of the tokens of each text (null: none), as a flat array of four bytes an id: only ``SLICE_TEXTS`` texts
+    and one text's tokens are Python objects at a time."""
+    ids, ends = array("i"), array("i", [0])
+    for start in range(0, len(texts), SLICE_TEXTS):
+        for text in texts.slice(start, SLICE_TEXTS).to_pylist():
+            ids.extend([table.get(t, UNK) for t in seqstats.ws_tokens(text)])
+            ends.append(len(ids))
+    return pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(ids, np.int32)))
+
+
 def truncate(ids, n: int) -> Column:
     """Keep at most n ids, the last kept one being eos."""
     c = F.col(ids) if isinstance(ids, str) else ids
