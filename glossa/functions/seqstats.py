@@ -45,18 +45,23 @@ def _masks(target) -> dict:
 
 
 def _rows(pred, target, masks=None):
-    """Bit rows V_0..V_m over target positions; bit j set = no LCS step at j."""
+    """Match bits m_1..m_k and bit rows V_1..V_k over target positions; bit j of a row set = no LCS step at j. Of
+    neighbouring tokens that the target lacks, the first stands for all: their rows are equal and match nothing."""
     masks = _masks(target) if masks is None else masks
     full = (1 << len(target)) - 1
-    v = full
-    rows = [v]
+    v, last = full, 1
+    hits, rows = [], []
     for t in pred:
-        m = masks.get(t)
+        m = masks.get(t, 0)
         if m:
             u = v & m
             v = ((v + u) | (v - u)) & full
+        elif not last:
+            continue
+        last = m
+        hits.append(m)
         rows.append(v)
-    return rows
+    return hits, rows
 
 
 def lcs_length(pred, target) -> int:
@@ -84,18 +89,19 @@ def lcs_target_positions(pred, target, masks=None) -> list[int]:
         j -= 1
         out.append(j)
     if i > 0 and j > 0:
-        rows = _rows(pred[:i], target, masks)  # a row's low bits do not depend on its high ones
-        while i > 0 and j > 0:
-            if pred[i - 1] == target[j - 1]:
-                i -= 1
-                j -= 1
-                out.append(j)
+        below = (1 << j) - 1
+        hits, rows = _rows(pred[:i], target, masks)  # a row's low bits do not depend on its high ones
+        for m, v in zip(reversed(hits), reversed(rows)):
             # for two different tokens L(i, j) is the larger of L(i - 1, j) and L(i, j - 1): where the row steps at j,
-            # L(i, j - 1) is less, so L(i - 1, j) is the larger; elsewhere it is not
-            elif rows[i] >> (j - 1) & 1:
+            # L(i, j - 1) is less, so L(i - 1, j) is the larger; elsewhere it is not. So j goes down to the next match
+            # or step, and then i does
+            j = ((~v | m) & below).bit_length()
+            if not j:
+                break
+            if m >> (j - 1) & 1:
                 j -= 1
-            else:
-                i -= 1
+                out.append(j)
+            below = (1 << j) - 1
     out.reverse()
     return out
 
