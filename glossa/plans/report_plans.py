@@ -13,7 +13,7 @@ from glossa.operators import analysis as AN
 from glossa.operators import labels as L
 from glossa.operators import prep as P
 from glossa.operators import textmetrics as T
-from glossa.operators.textmatch import text_match
+from glossa.operators.textmatch import match_rows, text_rows, texts_of
 from glossa.plans import model_plans, text_plans  # noqa: F401  (registers f7 first)
 from glossa.plans.registry import REGISTRY, query, round_doubles
 from glossa.session import shared_path
@@ -46,10 +46,11 @@ _BERT_COLS = {c: f"test/bert/{c}" for c in ("precision", "recall", "f1")}
 _BERT_LONG = _long(REGISTRY["f7_text_match"].sql, _BERT_COLS)
 
 
-def _bert_long(spark, sf) -> DataFrame:
-    """Greedy match of each system's own texts to each reference."""
-    match = text_match(V.gen_eval(spark, sf), "generated_text", "references", ["system"])
-    return T.to_long(match, ["system"], _BERT_COLS)
+def _texts_long(spark, sf, rouge_keys=T.ROUGE_KEYS) -> tuple[DataFrame, DataFrame]:
+    """Generation metrics, and greedy match of each system's own texts to each reference, of the same stored texts."""
+    rows = text_rows(V.gen_eval(spark, sf), "generated_text", "references", ["system", "row_id"])
+    gen = T.generation_scores(texts_of(rows, "generated_text", "references"), by="system", rouge_keys=rouge_keys)
+    return T.to_long(gen, ["system"], T.report_names(rouge_keys)), T.to_long(match_rows(rows, ["system"]), ["system"], _BERT_COLS)
 
 
 def _cls_long(spark, sf) -> DataFrame:
@@ -59,9 +60,8 @@ def _cls_long(spark, sf) -> DataFrame:
 
 
 def test_report(spark, sf) -> DataFrame:
-    gen = T.generation_scores(V.gen_eval(spark, sf), by="system")
-    gen_long = T.to_long(gen, ["system"], T.report_names())
-    return gen_long.unionByName(_bert_long(spark, sf)).unionByName(_cls_long(spark, sf)) \
+    gen_long, bert_long = _texts_long(spark, sf)
+    return gen_long.unionByName(bert_long).unionByName(_cls_long(spark, sf)) \
         .withColumn("value", F.round("value", 6))
 
 
@@ -106,11 +106,6 @@ def b11_rename_metrics(spark, sf):
 ROUGE_N = ("rouge1", "rouge2")  # the ROUGE keys with a SQL twin; the headline has no other
 
 
-def _generation_long(spark, sf) -> DataFrame:
-    gen = T.generation_scores(V.gen_eval(spark, sf), by="system", rouge_keys=ROUGE_N)
-    return T.to_long(gen, ["system"], T.report_names(ROUGE_N))
-
-
 _D6_PARTS = "\nUNION ALL\n".join([_long(text_plans._BLEU_SQL, {"bleu": "test/blue"}),
                                   _long(text_plans._CHRF_SQL, {"chrf": "test/chrf"}),
                                   _long(text_plans._ROUGE_N_SQL, {c: f"test/rouge/{c}" for c in T._rouge_cols(ROUGE_N)}),
@@ -124,14 +119,15 @@ UNION ALL
 SELECT system, metric, value, 'summary' AS section FROM parts
 WHERE metric IN ({", ".join(f"'{m}'" for m in AN.HEADLINE)})""")
 def d6_compose_summary(spark, sf):
-    out = AN.compose_summary(_generation_long(spark, sf), _bert_long(spark, sf), _cls_long(spark, sf))
+    out = AN.compose_summary(*_texts_long(spark, sf, ROUGE_N), _cls_long(spark, sf))
     return out.withColumn("value", F.round("value", 6))
 
 
 @query("a6_a7_summary_json", ops=("A6", "A7"), sql=f"""
 SELECT system AS run, metric, value FROM ({_D6_PARTS})""")
 def a6_a7_summary_json(spark, sf):
-    long = _generation_long(spark, sf).unionByName(_bert_long(spark, sf)).unionByName(_cls_long(spark, sf)) \
+    gen_long, bert_long = _texts_long(spark, sf, ROUGE_N)
+    long = gen_long.unionByName(bert_long).unionByName(_cls_long(spark, sf)) \
         .withColumn("value", F.round("value", 6)).withColumnRenamed("system", "run")
     path = shared_path(spark, "summaries-" + hashlib.md5(sf.encode()).hexdigest()[:10])
     io.write_summary(long, path, headline=AN.HEADLINE)

@@ -108,3 +108,27 @@ def test_text_match_is_never_gathered_on_the_driver(spark, df):
     match.collect()
     plan = match._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "explode" not in plan
+
+
+def test_texts_are_read_once_for_tokens_and_vectors(spark, df):
+    """The tokens of a chunk and their sums took a pass each, a shuffle each and a join."""
+    plan = TM.text_match(df, "p", "refs", ["system"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("chunk_rows, slice_chars, cells, block", [(4, 1 << 22, 1 << 17, 512), (1, 10, 1, 2), (1 << 14, 30, 40, 3)])
+def test_groups_equal_brute_force(spark, df, monkeypatch, chunk_rows, slice_chars, cells, block):
+    """However rows fall into chunks, slices and pairs matched together; f1 of a negative sum keeps its sign."""
+    for name, value in (("CHUNK_ROWS", chunk_rows), ("SLICE_CHARS", slice_chars), ("CELLS", cells), ("BLOCK", block)):
+        monkeypatch.setattr(TM, name, value)
+    vec = _vectors([t for r in ROWS for t in [r[2], *(r[3] or [])]])
+    for r in TM.text_match(df, "p", "refs", ["system"]).collect():
+        pairs = np.array([_score(vec, p, ref) for _, s, p, refs in ROWS if s == r.system for ref in refs or []])
+        f1 = [2 * p * q / (p + q) if p + q else 0.0 for p, q in pairs]
+        assert np.allclose([r.precision, r.recall, r.f1], [*pairs.mean(axis=0), np.mean(f1)], atol=1e-9)
+
+
+def test_negative_cosines_keep_their_f1():
+    names, unit = TM.pa.array(["a", "b"]), np.array([[1.0] + [0.0] * 15, [-0.6, 0.8] + [0.0] * 14, [0.0] * 16])
+    p, q = TM.Bags(["a", "b", "a c"], names, unit).match(np.array([0, 0, 2]), np.array([1, 2, 1]))
+    assert np.allclose(p, [-0.6, 1.0, -0.3]) and np.allclose(q, [-0.6, 0.5, 0.0])
