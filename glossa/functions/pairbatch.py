@@ -19,7 +19,7 @@ from glossa.functions import ngrambatch, seqstats
 from glossa.functions.ngrambatch import CHAR_ORDER, WORD_ORDER, chunks
 
 CHUNK_CHARS = 1 << 21  # characters whose lanes step together
-SORT_UNITS = 1 << 17  # units whose windows are sorted together: they stay in a core's cache
+SORT_UNITS = 1 << 16  # units whose windows are sorted together: they stay in a core's cache
 SIDE = 4  # predictions and references of a group, at most; a text's number in it takes 3 bits
 LANE_STEPS = 1 << 19  # steps of lanes whose rows are held together
 FEW = 32  # lanes that are not worth an array operation a step
@@ -32,6 +32,7 @@ _PUNCT[[ord(c) for c in seqstats._PUNCT]] = True
 _END[list(b".!?")] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
+_ONE = np.uint64(1)
 _TO_ASCII = "\u0130\u212a"  # the letters beyond ASCII whose lower case holds one of a-z
 
 
@@ -132,35 +133,40 @@ class Groups:
         return row, self.pred[row], self.ref[row] + k
 
 
-def _sorted_windows(ids, owner, groups: Groups, orders: int) -> Iterator[tuple[np.ndarray, int]] | None:
-    """Sorted keys (group, ``orders`` units, text of the group) of parts of the groups, and the bits of a unit; None if
-    they don't fit a word."""
+def _sorted_windows(ids: np.ndarray, owner: np.ndarray, groups: Groups, orders: int,
+                    dense: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]] | None:
+    """Sorted keys (group, ``orders`` units, number ``dense`` of the text in it) of parts of the groups, the bits of a unit
+    and the part's first group; None if they don't fit a word."""
     bits = int(ids.max(initial=0) + 1).bit_length()
     room = 64 - 3 - orders * bits
     if room < 4:
         return None
 
     def parts():
-        first = np.searchsorted(owner, groups.begin)  # first unit of each group
+        units, slot = ids.astype(np.uint64) + _ONE, dense[groups.slot].astype(np.uint64)
+        begin = np.searchsorted(owner, np.arange(len(groups.texts) + 1))
+        first = begin[groups.begin]  # first unit of each group
         g = 0
         while g < groups.n:
             to = min(g + (1 << min(room, 30)), max(g + 1, int(np.searchsorted(first, first[g] + SORT_UNITS, "right")) - 1), groups.n)
             a, z = int(first[g]), int(first[to])
             if z > a:
-                own = owner[a:z]
-                spot = np.arange(z - a) + (own - own[0]) * (orders - 1)
-                padded = np.zeros(int(spot[-1]) + 2 * orders, dtype=np.uint64)
-                padded[spot] = ids[a:z] + 1
-                have, key = 1, padded
+                key, have = np.zeros(z - a + 2 * orders, dtype=np.uint64), 1
+                key[:z - a] = units[a:z]
                 while have < orders:
                     more = min(have, orders - have)
-                    # the first ``more`` units of the window ``have`` further on
-                    nxt = key[have:] >> np.uint64((have - more) * bits)
+                    nxt = key[have:] >> np.uint64((have - more) * bits)  # the first ``more`` units of the next window
                     key = (key[:len(nxt)] << np.uint64(more * bits)) | nxt
                     have += more
-                key = key[spot]
-                key = ((((groups.group[own] - g).astype(np.uint64) << np.uint64(orders * bits)) | key) << np.uint64(3)) \
-                    | groups.slot[own].astype(np.uint64)
+                key = key[:z - a]
+                texts = slice(int(groups.begin[g]), int(groups.begin[to]))
+                start, end = begin[texts] - a, begin[texts.start + 1:texts.stop + 1] - a
+                for d in range(1, orders):  # the window d before a text's end has d units
+                    at = (end - d)[end - d >= start]
+                    key[at] &= np.uint64(((1 << d * bits) - 1) << (orders - d) * bits)
+                head = ((groups.group[texts] - g).astype(np.uint64) << np.uint64(orders * bits + 3)) | slot[texts]
+                key <<= np.uint64(3)
+                key |= np.repeat(head, end - start)
                 key.sort()
                 yield key, bits, g
             g = to
@@ -170,49 +176,62 @@ def _sorted_windows(ids, owner, groups: Groups, orders: int) -> Iterator[tuple[n
 def match_windows(ids: np.ndarray, owner: np.ndarray, groups: Groups, orders: int, best: bool = False) -> np.ndarray | None:
     """Clipped matches of orders 1..``orders`` by (order, group, prediction, reference), or (order, group, prediction) if
     ``best``: a window then counts as often as in the reference that has it most. None if the windows don't fit a word."""
-    parts = _sorted_windows(ids, owner, groups, orders)
-    if parts is None:
-        return None
     out = np.zeros((orders, groups.n, SIDE) + (() if best else (SIDE,)), dtype=np.int64)
     used = np.flatnonzero(np.bincount(groups.slot, minlength=2 * SIDE))
     dense = np.zeros(2 * SIDE, dtype=np.int64)
     dense[used] = np.arange(len(used))
-    preds, refs = used[used < SIDE], used[used >= SIDE]
-    if not len(preds) or not len(refs):
+    parts = _sorted_windows(ids, owner, groups, orders, dense)
+    if parts is None:
+        return None
+    n_pred = int((used < SIDE).sum())
+    if not n_pred or n_pred == len(used):
         return out
+    # a number of windows a text, side by side in a word
+    width = min(64 // len(used), 62)
+    one = _ONE << (np.arange(8, dtype=np.uint64) * np.uint64(width))
+    shift = np.arange(len(used), dtype=np.uint64)[:, None] * np.uint64(width)
+    low = np.uint64((1 << width) - 1)
+    in_pred, in_ref = (np.bitwise_or.reduce((low << shift)[at, 0]) for at in (slice(n_pred), slice(n_pred, None)))
     for key, bits, g in parts:
-        slot = dense[(key & np.uint64(7)).astype(np.int64)]
-        unit = np.uint64((1 << bits) - 1)
+        unit, slot = np.uint64((1 << bits) - 1), (key & np.uint64(7)).astype(np.intp)
+        before = np.zeros(len(key) + 1, dtype=np.uint64)  # windows before each; sums may run over, their differences don't
+        np.cumsum(one[slot], out=before[1:])
         for n in range(1, orders + 1):
             win = key >> np.uint64(3 + (orders - n) * bits)
-            new = np.empty(len(win), dtype=bool)
-            new[0] = True
-            np.not_equal(win[1:], win[:-1], out=new[1:])
+            new = np.empty(len(win) + 1, dtype=bool)
+            new[0] = new[-1] = True
+            np.not_equal(win[1:], win[:-1], out=new[1:-1])
             first = np.flatnonzero(new)
-            number = np.cumsum(new)
-            size = len(first)
-            counts = np.bincount(slot * size + (number - 1), minlength=len(used) * size).reshape(len(used), size)
-            win = win[first]
-            counts[:, (win & unit) == 0] = 0  # shorter than the order
-            own = (win >> np.uint64(n * bits)).astype(np.int64)
-            start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            at = own[start] + g
-            counts = counts.astype(np.int32)
-            if best:
-                top = counts[len(preds):].max(axis=0)
-                for p in preds:
-                    out[n - 1, at, p] = np.add.reduceat(np.minimum(counts[dense[p]], top), start)
+            if int(np.diff(first).max()) <= int(low):
+                packed = np.diff(before[first])
+                win = win[first[:-1]]
+                # what a prediction and a reference share, and is no shorter than the order
+                both = np.flatnonzero(((packed & in_pred) != 0) & ((packed & in_ref) != 0) & ((win & unit) != 0))
+                win = win[both]
+                counts = ((packed[both] >> shift) & low).astype(np.int64)
             else:
-                for p in preds:
-                    for r in refs:
-                        out[n - 1, at, p, r - SIDE] = np.add.reduceat(np.minimum(counts[dense[p]], counts[dense[r]]), start)
+                size = len(first) - 1
+                counts = np.bincount(slot * size + np.cumsum(new[:-1]) - 1, minlength=len(used) * size).reshape(len(used), size)
+                win = win[first[:-1]]
+                both = np.flatnonzero((win & unit) != 0)
+                win, counts = win[both], counts[:, both]
+            if not len(win):
+                continue
+            own = win >> np.uint64(n * bits)
+            start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            at = own[start].astype(np.int64) + g
+            top = counts[n_pred:].max(axis=0) if best else None
+            for k, p in enumerate(used[:n_pred]):
+                if best:
+                    out[n - 1, at, p] = np.add.reduceat(np.minimum(counts[k], top), start)
+                    continue
+                for j, r in enumerate(used[n_pred:] - SIDE, start=n_pred):
+                    out[n - 1, at, p, r] = np.add.reduceat(np.minimum(counts[k], counts[j]), start)
     return out
 
 
 # ---- LCS -----------------------------------------------------------------------
 
-_ONE = np.uint64(1)
-
 
 def _spans(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number of the range, element) of all elements of the ranges start..start + size."""

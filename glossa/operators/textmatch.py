@@ -154,7 +154,8 @@ def _chunked(df: DataFrame, lists: Column, keys: list[str]) -> DataFrame:
         chunk, n, chars = TaskContext.get().partitionId() << 33, 0, 0
         for batch in batches:
             lists, where = batch.column(len(keys)), []
-            ends = np.concatenate(([0], np.cumsum([sum(len(t or "") for t in ts) for ts in lists.to_pylist()])))
+            sizes = np.concatenate(([0], np.cumsum(pc.fill_null(pc.utf8_length(lists.values), 0).to_numpy(zero_copy_only=False), dtype=np.int64)))
+            ends = sizes[lists.offsets.to_numpy()]
             for size in np.diff(ends):
                 if n and (n >= most_rows or chars + size > most_chars):
                     chunk, n, chars = chunk + 1, 0, 0

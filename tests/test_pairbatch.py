@@ -63,6 +63,11 @@ def test_long_sentences_and_large_alphabets():
         same(rows + [(signs[0] + signs[1][:50], signs)])
 
 
+def test_more_windows_than_a_part_of_a_word_counts():
+    many = [(t, ["ab " * 9, "a" * 6000 + " a" * 5000, "a a b"]) for t in ("a" * 5000, "a " * 4097, "b")]
+    same(many + [(f"{k} a", many[0][1]) for k in range(5)])
+
+
 def test_one_python_call_and_one_cut_a_row(spark):
     """Each metric tokenised all texts anew, ROUGE once for every copy of the prediction."""
     df = spark.createDataFrame([(1, "A", "the cat sat", ["a cat sat", "the cat"])], "row_id long, system string, "
